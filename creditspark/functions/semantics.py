@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Java parses "12.5d" and "0x1p3" as doubles; this pattern keeps those out.
-NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INFINITY_PATTERN = r"^(?i)[+-]?inf(inity)?$"
+NUMBER_PATTERN = r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?))$"
 
 
 def as_column(c: Column | str) -> Column:
@@ -57,8 +56,7 @@ def log1p_np(c: Column | str) -> Column:
 def text_to_number(c: Column | str) -> Column:
     """Double when the trimmed text is a plain number or an infinity, else NULL."""
     t = F.trim(as_column(c))
-    number = F.when(t.rlike(NUMBER_PATTERN) | t.rlike(INFINITY_PATTERN), t.try_cast("double"))
-    return nan_to_null(number)
+    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
 def clean_percent(c: Column | str) -> Column:

@@ -121,10 +121,13 @@ def psi(
 
 def psi_report(
     df: DataFrame, ts: str, key: Key, features: Mapping[str, str] = DRIFT_FEATURES,
-    fraction: float = BASELINE_FRACTION, limit: int = EXACT_LIMIT,
+    fraction: float = BASELINE_FRACTION, limit: int = EXACT_LIMIT, first: Column | None = None,
 ) -> DataFrame:
-    """PSI of the drift features, first part of the issue dates against the rest, 4 digits."""
-    first = chrono_predicate(df, ts, fraction, key)
+    """PSI of the drift features, first part of the issue dates against the rest, 4 digits.
+
+    `first` is the baseline predicate where the caller has found it already.
+    """
+    first = chrono_predicate(df, ts, fraction, key) if first is None else first
     sides = rename_features(df.withColumn("__first", first), features, keep=["__first"])
     values = psi(sides, F.col("__first"), list(features), limit=limit)
     return values.withColumn("psi_value", F.round("psi_value", 4))

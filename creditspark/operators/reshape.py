@@ -116,14 +116,22 @@ def flatten_local(doc: DataFrame, local: str = "local", profiles: Sequence[str]
 def keyed_map(df: DataFrame, key: str, cols: Sequence[str], out: str = "doc") -> DataFrame:
     """Report rows to one {key: struct} map."""
     entry = F.struct(F.col(key).alias("k"), F.struct(*cols).alias("v"))
-    return df.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(out))
+    return df.agg(F.map_from_entries(_by_key(F.collect_list(entry))).alias(out))
+
+
+def _by_key(items: Column) -> Column:
+    """Sort {k, v} structs by k alone; v may hold maps, which have no order."""
+    return F.array_sort(items, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
 
 
 def listed(df: DataFrame, cols: Sequence[str], out: str = "doc", order: Sequence[Column | str] = ()) -> DataFrame:
     """Report rows to one array of structs, sorted by `order`."""
-    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"__{i}") for i, o in enumerate(order)]
-    item = F.struct(*keys, F.struct(*cols).alias("v"))
-    return df.agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"]).alias(out))
+    value = F.struct(*cols).alias("v")
+    if not order:
+        return df.agg(F.collect_list(value).alias(out))
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]
+    items = F.collect_list(F.struct(F.struct(*keys).alias("k"), value))
+    return df.agg(F.transform(_by_key(items), lambda s: s["v"]).alias(out))
 
 
 def report_document(spark, sections: Mapping[str, DataFrame], out: str = "document") -> DataFrame:

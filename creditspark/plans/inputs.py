@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.operators import attribute as A
@@ -74,7 +74,14 @@ DRIFT_RAW = [
 
 def psi_table(spark: SparkSession, d: str, drifted: bool = False) -> DataFrame:
     source = X.loans_drift if drifted else X.loans
-    return D.psi_report(drift_input(source(spark, d, DRIFT_RAW)), "fecha_emision", "loan_id")
+    rows = drift_input(source(spark, d, DRIFT_RAW))
+    return D.psi_report(rows, "fecha_emision", "loan_id", first=baseline(spark, d))
+
+
+def baseline(spark: SparkSession, d: str) -> Column:
+    """First 80% of the mature loans by issue date; the cut reads orders only."""
+    keys = X.mature_loans(spark, d, ["loan_id", "fecha_emision"])
+    return S.chrono_predicate(keys, "fecha_emision", D.BASELINE_FRACTION, "loan_id")
 
 
 def split_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -92,3 +99,8 @@ def contributions(spark: SparkSession, d: str) -> DataFrame:
 
 def champion_scores(spark: SparkSession, d: str) -> DataFrame:
     return X.scored(spark, d).where("model_name = 'CatBoost'")
+
+
+def local_profiles(spark: SparkSession, d: str) -> DataFrame:
+    raw = C.select_present(X.clean_loans(spark, d), C.MODEL_NUMERIC + C.MODEL_CATEGORICAL, ["loan_id"])
+    return A.local_document(contributions(spark, d), champion_scores(spark, d), raw)

@@ -77,9 +77,9 @@ FORMULAS = ["cuota_mensual_estimada", "ratio_carga_financiera", "ingreso_residua
 
 
 def _formula(name: str, column: str) -> None:
-    @query(name, Q.sql(Q.CLEAN, f"SELECT loan_id, round({column}, 4) AS {column} FROM clean"))
+    @query(name, Q.sql(Q.CLEAN, f"SELECT loan_id, {column} FROM clean"))
     def _(spark, d):
-        return X.clean_loans(spark, d).select("loan_id", F.round(column, 4).alias(column))
+        return X.clean_loans(spark, d).select("loan_id", column)
 
 
 for _name, _column in zip(["est_installment", "burden_ratio", "residual_income", "overdebt_alert"], FORMULAS):
@@ -96,7 +96,7 @@ def _(spark, d):
     )
 
 
-ROUNDED = [*FORMULAS, "ingresos_anuales_log", "importe_solicitado_log"]
+ROUNDED = ["ingresos_anuales_log", "importe_solicitado_log"]
 
 
 @query("loan_features", Q.sql(Q.CLEAN, "SELECT * REPLACE (" + ", ".join(

@@ -72,11 +72,11 @@ def _(spark, d):
 
 
 @query("append_rows", Q.sql(Q.KPIS, """SELECT run_id, model_name, accuracy, precision, recall, f1_score, roc_auc, pipeline_latency,
-  pipeline_error_rate, true AS stamped FROM kpis"""))
+  pipeline_error_rate, true AS stamped FROM kpis WHERE roc_auc IS NOT NULL"""))
 def _(spark, d):
     db = database(spark)
     OUT.ensure_tables(spark, db)
-    rows = I.kpis(spark, d).drop("fecha_registro")
+    rows = I.kpis(spark, d).drop("fecha_registro").where("roc_auc IS NOT NULL")
     OUT.append_rows(rows.where("run_id <= 'run_23970'"), db, "t_modelo_campeon_kpis")
     OUT.append_rows(rows.where("run_id > 'run_23970'"), db, "t_modelo_campeon_kpis")
     back = spark.table(f"{db}.t_modelo_campeon_kpis")

@@ -95,13 +95,13 @@ SHORT = [c.but(**{k: 6}, learning_rate=0.3) for c, k in zip(
     T.CANDIDATES, ("iterations", "n_estimators", "n_estimators"))]
 
 
-def _short_candidates():
+def short_candidates():
     return [SHORT[0].but(depth=4), SHORT[1].but(num_leaves=15), SHORT[2].but(max_depth=4)]
 
 
 def _trained(spark, d, candidates=None):
     return T.train_candidates(
-        signal(spark, d), C.MODEL_NUMERIC, C.MODEL_CATEGORICAL, "loan_id", candidates or _short_candidates()
+        signal(spark, d), C.MODEL_NUMERIC, C.MODEL_CATEGORICAL, "loan_id", candidates or short_candidates()
     )
 
 
@@ -112,14 +112,14 @@ def _(spark, d):
 
 @query("run_log")
 def _(spark, d):
-    log = T.run_log(spark, _trained(spark, d, _short_candidates()[:1]))
+    log = T.run_log(spark, _trained(spark, d, short_candidates()[:1]))
     return log.select("position", "name", F.explode("params").alias("param", "value"))
 
 
 @query("random_search")
 def _(spark, d):
     rows = T.class_weights(_ready(spark, d).where("split = 'base'"), 3.8)
-    grid = {"reg": [0.0, 0.01, 0.1], "l1_share": [0.0, 0.5, 1.0], "iterations": [20, 50]}
+    grid = {"reg": [0.0, 0.01, 0.1], "l1_share": [0.0, 0.5, 1.0], "iterations": [10, 20]}
     _, _, table = T.random_search(
         lambda p: T.logistic(p, "target", "features", T.weight_column(1.0)), grid, rows, "loan_id", n=4
     )

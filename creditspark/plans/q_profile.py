@@ -78,11 +78,16 @@ def _(spark, d):
 
 def _corr_sql(cols) -> str:
     known = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    flat = ", ".join(f"min({a}) = max({a}) AS flat_{i}" for i, a in enumerate(cols))
+    cells = ", ".join(
+        f"corr({a}, {b}) AS c_{i}_{j}" for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j
+    )
     pairs = " UNION ALL ".join(
         f"SELECT '{a}' AS variable_x, '{b}' AS variable_y, "
-        f"CASE WHEN min({a}) = max({a}) OR min({b}) = max({b}) THEN 0e0 ELSE round(corr({a}, {b}), 3) + 0e0 END AS correlation "
-        f"FROM whole" for a in cols for b in cols)
-    return f", whole AS (SELECT * FROM clean WHERE {known}) {pairs}"
+        f"CASE WHEN flat_{i} OR flat_{j} THEN 0e0 ELSE round(c_{min(i, j)}_{max(i, j)}, 3) + 0e0 END AS correlation FROM one"
+        for i, a in enumerate(cols) for j, b in enumerate(cols))
+    return f""", whole AS MATERIALIZED (SELECT * FROM clean WHERE {known}), one AS MATERIALIZED (
+SELECT {flat}, {cells} FROM whole) {pairs}"""
 
 
 @query("correlation", Q.sql(Q.CLEAN, _corr_sql(C.PROFILE_NUMERIC)))
@@ -108,21 +113,19 @@ def _(spark, d):
 LOSS = "coalesce(importe_solicitado, 0e0) * 0.75e0"
 
 
-@query("expected_loss", Q.sql(Q.SCORED, f"""SELECT loan_id, round({LOSS}, 4) AS ead,
-  round({LOSS} * prob * 0.45e0, 4) AS expected_loss FROM scored WHERE model_name = 'CatBoost'"""))
+@query("expected_loss", Q.sql(Q.SCORED, f"""SELECT loan_id, {LOSS} AS ead,
+  {LOSS} * prob * 0.45e0 AS expected_loss FROM scored WHERE model_name = 'CatBoost'"""))
 def _(spark, d):
     rows = X.scored(spark, d, ["importe_solicitado"]).where("model_name = 'CatBoost'")
-    return E.expected_loss(rows).select(
-        "loan_id", F.round("ead", 4).alias("ead"), F.round("expected_loss", 4).alias("expected_loss")
-    )
+    return E.expected_loss(rows).select("loan_id", "ead", "expected_loss")
 
 
-@query("portfolio_loss", Q.sql(Q.SCORED, f"""SELECT model_name, grado_riesgo, count(*) AS loans, round(sum({LOSS}), 2) AS ead,
-  round(sum({LOSS} * prob * 0.45e0), 2) AS expected_loss FROM scored GROUP BY model_name, grado_riesgo"""))
+@query("portfolio_loss", Q.sql(Q.SCORED, f"""SELECT model_name, grado_riesgo, count(*) AS loans, round(sum({LOSS}), 4) AS ead,
+  round(sum({LOSS} * prob * 0.45e0), 4) AS expected_loss FROM scored GROUP BY model_name, grado_riesgo"""))
 def _(spark, d):
     rows = E.expected_loss(X.scored(spark, d, ["importe_solicitado", "grado_riesgo"]))
     return E.portfolio_loss(rows, ["model_name", "grado_riesgo"]).withColumns({
-        "ead": F.round("ead", 2), "expected_loss": F.round("expected_loss", 2)
+        "ead": F.round("ead", 4), "expected_loss": F.round("expected_loss", 4)
     })
 
 
@@ -144,8 +147,7 @@ def _(spark, d):
   FROM (SELECT feature_name, es, unnest(range(1, len(es) + 1)) AS i FROM psi_l)"""))
 def _(spark, d):
     rows = I.drift_input(X.loans(spark, d, I.DRIFT_RAW))
-    first, _ = S.chrono_split(rows, "fecha_emision", 0.8, "loan_id")
-    named = D.rename_features(first, D.DRIFT_FEATURES)
+    named = D.rename_features(rows.where(I.baseline(spark, d)), D.DRIFT_FEATURES)
     edges = D.quantile_edges(named, list(D.DRIFT_FEATURES))
     return D.edges_frame(named, edges).withColumn("edge", F.round("edge", 6))
 
@@ -153,8 +155,7 @@ def _(spark, d):
 @query("histogram", Q.sql(Q.PSI, "SELECT feature_name, side, CAST(bin AS INT) AS bin, n FROM psi_h"))
 def _(spark, d):
     rows = I.drift_input(X.loans(spark, d, I.DRIFT_RAW))
-    side = S.chrono_predicate(rows, "fecha_emision", 0.8, "loan_id")
-    named = D.rename_features(rows.withColumn("side", side), D.DRIFT_FEATURES, ["side"])
+    named = D.rename_features(rows.withColumn("side", I.baseline(spark, d)), D.DRIFT_FEATURES, ["side"])
     edges = D.quantile_edges(named.where("side"), list(D.DRIFT_FEATURES))
     return D.bin_counts(named, edges, F.col("side"))
 
@@ -162,8 +163,7 @@ def _(spark, d):
 @query("psi", Q.sql(Q.PSI, "SELECT feature_name, round(psi_raw, 8) AS psi_value FROM psi"))
 def _(spark, d):
     rows = I.drift_input(X.loans(spark, d, I.DRIFT_RAW))
-    side = S.chrono_predicate(rows, "fecha_emision", 0.8, "loan_id")
-    named = D.rename_features(rows.withColumn("side", side), D.DRIFT_FEATURES, ["side"])
+    named = D.rename_features(rows.withColumn("side", I.baseline(spark, d)), D.DRIFT_FEATURES, ["side"])
     return D.psi(named, F.col("side"), list(D.DRIFT_FEATURES)).withColumn("psi_value", F.round("psi_value", 8))
 
 

@@ -6,11 +6,8 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.scalars import model_family
 from creditspark.operators import attribute as A
-from creditspark.operators import clean as C
 from creditspark.operators import drift as D
-from creditspark.operators import evaluate as E
 from creditspark.operators import gate as G
-from creditspark.operators import profile as P
 from creditspark.operators import rank as R
 from creditspark.operators import reshape as H
 from creditspark.plans import inputs as I
@@ -132,14 +129,11 @@ def _(spark, d):
     return R.extremes(I.champion_scores(spark, d).select("loan_id", "prob"))
 
 
-@query("linear_contributions", Q.sql(CONTRIB, "SELECT loan_id, feature, value, round(contribution, 8) AS contribution FROM contrib"))
+@query("linear_contributions", Q.sql(CONTRIB, "SELECT loan_id, feature, round(value, 6) AS value, round(contribution, 8) AS contribution FROM contrib"))
 def _(spark, d):
-    return A.long_form(I.contributions(spark, d)).withColumn("contribution", F.round("contribution", 8))
-
-
-def _local(spark, d):
-    raw = C.select_present(X.clean_loans(spark, d), C.MODEL_NUMERIC + C.MODEL_CATEGORICAL, ["loan_id"])
-    return A.local_document(I.contributions(spark, d), I.champion_scores(spark, d), raw)
+    return A.long_form(I.contributions(spark, d)).withColumns({
+        "value": F.round("value", 6), "contribution": F.round("contribution", 8)
+    })
 
 
 def _scored_beside_clean(after: str) -> str:
@@ -151,7 +145,7 @@ def _scored_beside_clean(after: str) -> str:
   feature AS feature_name, CAST(round(value, 4) AS VARCHAR) AS feature_value, round(contribution, 4) AS shap_impact, orden
   FROM pair p JOIN ranked r ON r.loan_id = p.loan_id WHERE orden <= 6"""))
 def _(spark, d):
-    doc = _local(spark, d).select(F.struct("high_risk", "low_risk").alias("local"))
+    doc = I.local_profiles(spark, d).select(F.struct("high_risk", "low_risk").alias("local"))
     return H.flatten_local(doc)
 
 
@@ -161,7 +155,7 @@ def _(spark, d):
   c.tipo_interes, c.finalidad_prestamo FROM pair p JOIN clean c ON c.loan_id = p.loan_id"""))
 def _(spark, d):
     both = F.array(*[F.struct(F.lit(p).alias("perfil_tipo"), F.col(p).alias("d")) for p in ("high_risk", "low_risk")])
-    return _local(spark, d).select(F.inline(both)).select(
+    return I.local_profiles(spark, d).select(F.inline(both)).select(
         "perfil_tipo", "d.risk_label", "d.probability", F.size("d.factors").cast("long").alias("factors"),
         "d.raw_features.tipo_interes", "d.raw_features.finalidad_prestamo",
     )
@@ -211,70 +205,13 @@ def _(spark, d):
     return H.with_default(D.breaches(table), defaults)
 
 
-def _sections(spark, d) -> dict:
-    loans = X.loans(spark, d)
-    clean = X.clean_loans(spark, d)
-    compared = I.comparison(spark, d)
-    champ = R.champion(compared)
-    psi = I.psi_table(spark, d)
-    evolution = R.history(I.kpis(spark, d), "fecha_registro")
-    series = evolution.agg(F.sort_array(F.collect_list(F.struct("fecha_registro", "run_id", "f1_score", "roc_auc"))).alias("s"))
-    importance = A.global_importance(I.contributions(spark, d))
-    business = E.avoided_loss(clean, champ.select("recall").scalar())
-    eda = spark.range(1).select(
-        H.keyed_map(P.null_profile(loans), "campo", ["nulos", "porcentaje"]).scalar().alias("nulls"),
-        P.dimensions(loans, loans, clean).select(F.struct("*")).scalar().alias("dimensions"),
-        H.listed(P.target_distribution(clean), ["label", "count", "percentage"], order=["label"]).scalar()
-        .alias("target_distribution"),
-        H.keyed_map(P.describe(clean, C.PROFILE_NUMERIC), "variable", ["mean", "median", "std", "min", "max"]).scalar()
-        .alias("descriptive_stats"),
-        H.corr_matrix(P.correlation(clean, C.PROFILE_NUMERIC)).select(F.struct("*")).scalar().alias("correlation"),
-    )
-    return {
-        "champion": champ.select(F.struct(F.col("name").alias("model_name"), F.struct(
-            *[F.round(F.col(a) * 100, 2).alias(b) for a, b in H.AS_PERCENT.items()]).alias("metrics"))),
-        "business": business.select(F.struct("*")),
-        "comparison": H.listed(compared, ["name", "f1", "roc_auc", "accuracy", "recall"], order=[-F.col("f1"), "name"]),
-        "evolution": series.select(F.struct(
-            F.col("s.run_id").alias("labels"), F.col("s.f1_score").alias("f1_score"), F.col("s.roc_auc").alias("roc_auc"))),
-        "data_drift": H.listed(psi, ["feature_name", "psi_value"], order=[-F.col("psi_value"), "feature_name"]).select(
-            F.struct(F.col("doc.feature_name").alias("labels"), F.col("doc.psi_value").alias("psi"))),
-        "eda": eda.select(F.struct("*")),
-        "shap": A.attribution_document(importance, _local(spark, d)).select(F.struct("*")),
-    }
-
-
-DOC_SQL = Q.COMPARISON + CHAMPION + Q.features("mature", "clean")
-
-
-@query("report_document", Q.sql(DOC_SQL, f"""SELECT (SELECT name FROM champ) AS champion, (SELECT count(*) FROM comparison) AS compared,
-  CAST(5 AS BIGINT) AS drift_features, CAST((SELECT count(*) FROM loans) AS BIGINT) AS filas,
-  round((SELECT sum(importe_solicitado) FROM clean), 2) AS total_risk, CAST({len(I.COEF)} AS BIGINT) AS global_features,
-  CAST(7 AS BIGINT) AS sections"""))
-def _(spark, d):
-    doc = H.report_document(spark, _sections(spark, d))
-
-    def get(path: str):
-        return F.get_json_object("document", path)
-
-    return doc.select(
-        get("$.champion.model_name").alias("champion"),
-        F.json_array_length(get("$.comparison")).cast("long").alias("compared"),
-        F.json_array_length(get("$.data_drift.psi")).cast("long").alias("drift_features"),
-        get("$.eda.dimensions.total_rows_raw_est").cast("long").alias("filas"),
-        F.round(get("$.business.total_risk").cast("double"), 2).alias("total_risk"),
-        F.json_array_length(get("$.shap.global")).cast("long").alias("global_features"),
-        F.size(F.json_object_keys("document")).cast("long").alias("sections"),
-    )
-
-
 # --- gates ---------------------------------------------------------------------------
 
 GATE1 = "SELECT 'Test 1' AS test, count(*) > 0 AS passed, 'Pass: Dataset limpio válido.' AS message, false AS drift FROM mature"
 GATE2 = """SELECT 'Test 2' AS test, t = '' AS passed, CASE WHEN t = '' THEN 'Pass: Umbrales de rendimiento cumplidos.'
   ELSE 'Fail: Incumplimiento de umbral: ' || t END AS message, false AS drift FROM (SELECT concat_ws(', ',
   CASE WHEN f1_score < 35 THEN 'F1-score ' || CAST(f1_score AS VARCHAR) || '% < 35.0%' END,
-  CASE WHEN roc_auc < 65 THEN 'ROC-AUC ' || CAST(roc_auc AS VARCHAR) || '% < 65.0%' END,
+  CASE WHEN roc_auc IS NULL OR roc_auc < 65 THEN 'ROC-AUC ' || coalesce(CAST(roc_auc AS VARCHAR), 'nan') || '% < 65.0%' END,
   CASE WHEN recall < 50 THEN 'Recall ' || CAST(recall AS VARCHAR) || '% < 50.0%' END) AS t FROM {source})"""
 GATE3 = """SELECT 'Test 3' AS test, n = 0 AS passed, CASE WHEN n = 0 THEN 'Pass: Sin drift crítico.' ELSE 'Fail: Drift crítico en: ' || t END
   AS message, n > 0 AS drift FROM (SELECT count(*) FILTER (psi_value >= 0.25) AS n, string_agg(feature_name || ' (PSI=' ||
@@ -311,28 +248,6 @@ def _(spark, d):
     return _gate_model(spark, d)
 
 
-def _gate_attribution(spark, d):
-    doc = A.attribution_document(A.global_importance(I.contributions(spark, d)), _local(spark, d))
-    return G.gate_attribution(doc.select(F.to_json(F.struct("global", "local")).alias("shap")))
-
-
-@query("gate_attribution", Q.sql(Q.MATURE, """SELECT 'Test 5' AS test, count(*) > 0 AS passed,
-  'Pass: Integración de atribución validada.' AS message, false AS drift FROM mature"""))
-def _(spark, d):
-    return _gate_attribution(spark, d)
-
-
-def _gate_eda(spark, d):
-    eda = _sections(spark, d)["eda"]
-    return G.gate_eda(eda.select(F.to_json(eda.columns[0]).alias("eda")))
-
-
-@query("gate_eda", Q.sql(Q.MATURE, """SELECT 'Test 6' AS test, count(*) > 0 AS passed, 'Pass: Estructura de EDA validada.' AS message,
-  false AS drift FROM mature"""))
-def _(spark, d):
-    return _gate_eda(spark, d)
-
-
 def _rollup(spark, d, drifted: bool):
     kpis = H.as_percent(R.champion(I.comparison(spark, d)))
     gates = [
@@ -343,7 +258,6 @@ def _rollup(spark, d, drifted: bool):
 
 
 # the champion comes from the undrifted loans, the PSI from either table
-_ONLY_SCORED = Q.SCORED[len(Q.MATURE):]
 _ROLLUP_TAIL = Q.COMPARISON[len(Q.MATURE):] + CHAMPION + PERCENT + f""", gates AS ({GATE1} UNION ALL
   {GATE2.format(source='percented')} UNION ALL {GATE3} UNION ALL {GATE4})"""
 ROLLUP = """SELECT bool_and(passed) AS all_passed, bool_or(drift) AS retrain, count(*) FILTER (NOT passed) AS failed FROM gates"""

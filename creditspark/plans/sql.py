@@ -167,7 +167,7 @@ SELECT s.*, row_number() OVER (PARTITION BY s.target ORDER BY {hash_order('s.loa
 FROM {source} s JOIN {out}_k k ON k.target = s.target)"""
 
 
-SPLIT = split("clean", "outer_split", 42) + """, train_rows AS (
+SPLIT = CLEAN + split("clean", "outer_split", 42) + """, train_rows AS (
 SELECT * EXCLUDE (train) FROM outer_split WHERE train)""" + split("train_rows", "inner_split", "42-calib") + """, parted AS (
 SELECT o.* EXCLUDE (train), CASE WHEN NOT o.train THEN 'test' WHEN i.train THEN 'base' ELSE 'calib' END AS split
 FROM outer_split o LEFT JOIN inner_split i ON i.loan_id = o.loan_id)"""
