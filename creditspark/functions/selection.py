@@ -6,9 +6,9 @@ counts finer buckets there, and ranks rows only once few distinct ones are
 left. What reaches the driver is a small histogram per level; the answer is
 a plain predicate, so the split itself needs no join, window or shuffle.
 
-`quantiles` brackets each wanted rank between two approximate quantiles and
-narrows the bracket until few distinct values are left, then takes the exact
-value. Small columns use Spark's exact `percentile` at once.
+`quantiles` closes in on each wanted rank between two approximate quantiles
+until few distinct values are left, then takes the exact value. Small columns
+use Spark's exact `percentile` at once.
 """
 
 from __future__ import annotations
@@ -159,25 +159,23 @@ def largest_remainder(counts: Mapping, total: int) -> dict:
 # --- quantiles ---------------------------------------------------------------
 
 
-@dataclass
-class _Target:
-    column: str
-    prob: float
-    r0: int            # 0-based lower rank
-    r1: int
-    weight: float      # distance from r0 to the wanted position
-    lo: float | None = None
-    hi: float | None = None
-    below: int = 0     # rows smaller than lo
-    inside: int = 0
-    distinct: int = 0
-    value: float | None = None
+@dataclass(frozen=True)
+class _Gap:
+    """Open interval (lo, hi) that holds a wanted rank; None is unbounded."""
 
-    def settle(self, a: float, b: float) -> None:
-        if a == b:
-            self.value = a
-        else:
-            self.value = (1.0 - self.weight) * a + self.weight * b
+    lo: float | None
+    hi: float | None
+    offset: int    # rows at or below lo
+    inside: int
+    distinct: int
+
+    def holds(self, x: Column) -> Column:
+        cond = x.isNotNull()
+        if self.lo is not None:
+            cond = cond & (x > F.lit(self.lo))
+        if self.hi is not None:
+            cond = cond & (x < F.lit(self.hi))
+        return cond
 
 
 def quantiles(
@@ -189,8 +187,8 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation) of several columns, NULLs skipped.
 
-    `limit` bounds the distinct values that one aggregation state may hold;
-    larger columns go through narrowing brackets, with the same result.
+    `limit` bounds the distinct values that one aggregation state or one task
+    may hold; larger columns go through narrowing gaps, with the same result.
     """
     cols = list(cols)
     if not cols:
@@ -204,108 +202,118 @@ def quantiles(
     if small:
         plist = F.array(*[F.lit(float(p)) for p in probs])
         row = base.agg(*[F.percentile(c, plist).alias(c) for c in small]).first()
-        for c in small:
-            out[c] = list(row[c])
+        out.update({c: list(row[c]) for c in small})
     big = [c for c in cols if counts[c] > limit]
     if big:
-        targets = []
-        for c in big:
-            for p in probs:
-                pos = p * (counts[c] - 1)
-                r0 = math.floor(pos)
-                targets.append(_Target(c, p, r0, min(r0 + 1, counts[c] - 1), pos - r0))
-        _bracketed(base, targets, counts, limit)
+        places = {c: [p * (counts[c] - 1) for p in probs] for c in big}
+        ranks = {c: {r for x in xs for r in (math.floor(x), math.ceil(x))} for c, xs in places.items()}
+        values = _values_at(base.select(*big), ranks, counts, limit)
         for c in big:
-            out[c] = [t.value for t in targets if t.column == c]
+            out[c] = [_interpolate(values[c], x) for x in places[c]]
     return out
 
 
-def _between(t: _Target) -> Column:
-    return (F.col(t.column) >= F.lit(t.lo)) & (F.col(t.column) <= F.lit(t.hi))
+def _interpolate(values: Mapping[int, float], place: float) -> float:
+    low, high = math.floor(place), math.ceil(place)
+    a, b = values[low], values[high]
+    return a if a == b else (high - place) * a + (place - low) * b
 
 
-def _bracketed(base: DataFrame, targets: list[_Target], counts: Mapping[str, int], limit: int) -> None:
-    cols = sorted({t.column for t in targets})
-    ends = base.agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in cols]).first()
-    for t in targets:
-        t.lo, t.hi = ends[t.column]["a"], ends[t.column]["b"]
-        t.below, t.inside, t.distinct = 0, counts[t.column], counts[t.column]
-    while True:
-        for t in targets:
-            if t.value is None and t.lo == t.hi:
-                t.settle(t.lo, t.hi)
-        open_ = [t for t in targets if t.value is None and t.distinct > limit]
-        if not open_:
-            break
-        if not _narrow(base, open_):
-            break
-    rest = [t for t in targets if t.value is None]
-    if rest:
-        _finish(base, rest)
-
-
-def _narrow(base: DataFrame, targets: list[_Target]) -> bool:
-    """One round: propose a tighter bracket, count, keep it if it still holds both ranks."""
-    proposals = []
-    for i, t in enumerate(targets):
-        share = [(t.r0 - t.below) / t.inside, (t.r1 - t.below + 1) / t.inside]
-        slack = 2.0 / ACCURACY
-        ps = [max(0.0, share[0] - slack), min(1.0, share[1] + slack)]
-        inside = F.when(_between(t), F.col(t.column))
-        proposals.append(
-            F.percentile_approx(inside, F.array(*[F.lit(p) for p in ps]), ACCURACY).alias(f"q{i}")
-        )
-    picked = base.agg(*proposals).first()
-    checks = []
-    for i, t in enumerate(targets):
-        lo, hi = picked[f"q{i}"]
-        x = F.col(t.column)
-        inside = F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x)
-        checks += [
-            F.count_if(x < F.lit(lo)).alias(f"b{i}"),
-            F.count(inside).alias(f"n{i}"),
-            F.approx_count_distinct(inside).alias(f"d{i}"),
-        ]
-    seen = base.agg(*checks).first()
-    moved = False
-    for i, t in enumerate(targets):
-        lo, hi = picked[f"q{i}"]
-        below, inside = seen[f"b{i}"], seen[f"n{i}"]
-        holds = below <= t.r0 and below + inside > t.r1
-        if holds and inside < t.inside:
-            t.lo, t.hi, t.below, t.inside = lo, hi, below, inside
-            t.distinct = min(inside, seen[f"d{i}"])
-            moved = True
-        elif holds:
-            t.distinct = min(inside, seen[f"d{i}"])
-    return moved
-
-
-def _finish(base: DataFrame, targets: list[_Target]) -> None:
-    """Rank the few distinct values left in each bracket."""
+def _values_at(base: DataFrame, ranks: Mapping[str, set], counts: Mapping[str, int], limit: int) -> dict:
+    """Values at 0-based ranks per column.
+
+    Each round cuts every gap at two approximate quantiles around its ranks and
+    counts rows per piece exactly. A cut value is a piece of its own, so a value
+    that fills a third of the column is found or left behind at once.
+    """
+    found: dict = {c: {} for c in ranks}
+    gaps = {c: {r: _Gap(None, None, 0, counts[c], counts[c]) for r in rs} for c, rs in ranks.items()}
+    while any(g.distinct > limit for by_rank in gaps.values() for g in by_rank.values()):
+        cuts = _cut_values(base, gaps, limit)
+        pieces = _count_pieces(base, cuts)
+        for c, bounds in cuts.items():
+            passed = 0
+            open_ = {r for r, g in gaps[c].items() if g.distinct > limit}
+            for code in range(2 * len(bounds) + 1):
+                n, distinct = pieces.get((c, code), (0, 0))
+                i, on_cut = divmod(code, 2)
+                for r in [r for r in open_ if passed <= r < passed + n]:
+                    if on_cut:
+                        found[c][r] = bounds[i]
+                        del gaps[c][r]
+                    else:
+                        lo = bounds[i - 1] if i else None
+                        hi = bounds[i] if i < len(bounds) else None
+                        gaps[c][r] = _Gap(lo, hi, passed, n, min(n, distinct))
+                passed += n
+    _rank_inside(base, gaps, found)
+    return found
+
+
+def _cut_values(base: DataFrame, gaps: Mapping, limit: int) -> dict[str, list[float]]:
+    slack = 2.0 / ACCURACY
+    asked: dict = {}
+    for c, by_rank in gaps.items():
+        for r, g in by_rank.items():
+            if g.distinct > limit:
+                at = (r - g.offset) / g.inside
+                asked.setdefault((c, g), set()).update((max(0.0, at - slack), min(1.0, at + slack)))
+    aggs = [
+        F.percentile_approx(F.when(g.holds(F.col(c)), F.col(c)), F.array(*map(F.lit, sorted(ps))), ACCURACY).alias(f"q{i}")
+        for i, ((c, g), ps) in enumerate(asked.items())
+    ]
+    row = base.agg(*aggs).first()
+    cuts: dict = {}
+    for i, (c, g) in enumerate(asked):
+        cuts.setdefault(c, set()).update(row[f"q{i}"])
+        cuts[c].update(v for v in (g.lo, g.hi) if v is not None)
+    return {c: sorted(vs) for c, vs in cuts.items()}
+
+
+def _count_pieces(base: DataFrame, cuts: Mapping[str, Sequence[float]]) -> dict:
+    """Rows and distinct values per piece: code 2i is below cut i, 2i + 1 is on it."""
+    cells = []
+    for c, bounds in cuts.items():
+        x, code = F.col(c), F.lit(0)
+        for b in bounds:
+            code = code + (x > F.lit(b)).cast("int") + (x >= F.lit(b)).cast("int")
+        cells.append(F.struct(F.lit(c).alias("c"), code.alias("code"), x.alias("x")))
+    rows = (
+        base.select(F.inline(F.array(*cells)))
+        .where("x is not null")
+        .groupBy("c", "code")
+        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x").alias("d"))
+        .collect()
+    )
+    return {(r["c"], r["code"]): (r["n"], r["d"]) for r in rows}
+
+
+def _rank_inside(base: DataFrame, gaps: Mapping, found: dict) -> None:
+    """Rank the few distinct values left in each gap."""
+    wanted: dict = {}
+    for c, by_rank in gaps.items():
+        for r, g in by_rank.items():
+            wanted.setdefault((c, g), []).append(r - g.offset)
+    if not wanted:
+        return
     tagged = [
-        F.when(_between(t), F.struct(F.lit(i).alias("t"), F.col(t.column).alias("x")))
-        for i, t in enumerate(targets)
+        F.when(g.holds(F.col(c)), F.struct(F.lit(i).alias("t"), F.col(c).alias("x")))
+        for i, (c, g) in enumerate(wanted)
     ]
-    values = (
+    upto = Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    need = F.create_map(*[
+        x for i, rs in enumerate(wanted.values()) for x in (F.lit(i), F.array(*map(F.lit, sorted(rs))))
+    ])
+    last = F.col("u") - 1
+    hits = (
         base.select(F.explode(F.filter(F.array(*tagged), lambda s: s.isNotNull())).alias("s"))
         .groupBy("s.t", "s.x")
         .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.lit(None).cast("long")
-    second = F.lit(None).cast("long")
-    for i, t in enumerate(targets):
-        first = F.when(F.col("t") == i, F.lit(t.r0 - t.below)).otherwise(first)
-        second = F.when(F.col("t") == i, F.lit(t.r1 - t.below)).otherwise(second)
-    ranked = values.withColumn("u", F.sum("n").over(upto))
-    hits = (
-        ranked.groupBy("t")
-        .agg(
-            F.min(F.when(F.col("u") > first, F.col("x"))).alias("a"),
-            F.min(F.when(F.col("u") > second, F.col("x"))).alias("b"),
-        )
+        .withColumn("u", F.sum("n").over(upto))
+        .where(F.exists(F.try_element_at(need, F.col("t")), lambda r: (r <= last) & (r > last - F.col("n"))))
         .collect()
     )
-    for r in hits:
-        targets[r["t"]].settle(r["a"], r["b"])
+    for i, ((c, g), rs) in enumerate(wanted.items()):
+        for r in rs:
+            value = next(h["x"] for h in hits if h["t"] == i and h["u"] - h["n"] <= r < h["u"])
+            found[c][r + g.offset] = value

@@ -193,9 +193,10 @@ def local_document(
     pair = extremes(scored.select(key, prob), prob, key)
     label = F.when(F.col("perfil_tipo") == "high_risk", "Alto Riesgo").otherwise("Bajo Riesgo")
     raw_cols = [c for c in raw.columns if c != key]
+    # two loans: both joins look them up by a two-row broadcast
+    explained = F.broadcast(pair).join(contrib.select(key, strongest().alias("factors")), key)
     rows = (
-        F.broadcast(pair)  # two rows
-        .join(contrib.select(key, strongest().alias("factors")), key)
+        F.broadcast(explained)
         .join(raw.select(key, F.struct(*raw_cols).alias("raw_features")), key)
         .select(
             "perfil_tipo",

@@ -94,8 +94,11 @@ def champion_in_order(
     if runs.limit(RUNS_IN_ONE_TRAINING + 1).count() > RUNS_IN_ONE_TRAINING:
         return champion(runs, f1, auc, name, tol)
     names = runs.columns
-    item = F.struct(F.col(order).alias("__o"), F.struct(*names).alias("run"))
-    log = runs.groupBy().agg(F.array_sort(F.collect_list(item)).alias("log"))
+    item = F.struct(F.col(order).alias("o"), F.struct(*names).alias("run"))
+    by_order = F.array_sort(
+        F.collect_list(item), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    )
+    log = runs.groupBy().agg(by_order.alias("log"))
 
     def step(best: Column, cur: Column) -> Column:
         run = cur["run"]
