@@ -13,18 +13,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def key_text(key: str | Sequence[str]) -> Column:
+def _key(key: str | Sequence[str]) -> str:
     keys = [key] if isinstance(key, str) else list(key)
-    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return "concat_ws('|', " + ", ".join(f"CAST(`{k}` AS STRING)" for k in keys) + ")"
 
 
 def hash_text(key: str | Sequence[str], salt: str | int) -> Column:
-    return F.md5(F.concat(key_text(key), F.lit(f":{salt}")))
+    return F.expr(f"md5({_key(key)} || ':{salt}')")
 
 
 def order_text(key: str | Sequence[str], salt: str | int) -> Column:
     """Hash first, key second: one text that is unique where the key is unique."""
-    return F.concat(hash_text(key, salt), F.lit(":"), key_text(key))
+    return F.expr(f"md5({_key(key)} || ':{salt}') || ':' || {_key(key)}")
 
 
 def bernoulli(key: str | Sequence[str], fraction: float, salt: str | int) -> Column:

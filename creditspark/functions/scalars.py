@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.functions.semantics import as_column, ieee_div, or_default
+from creditspark.functions.semantics import as_column, ieee_div, or_default, sql_double, sql_text
 
 # --- fixed values -----------------------------------------------------------
 SENIORITY = {
@@ -30,8 +29,8 @@ def term_months(c: Column | str) -> Column:
 
 def map_ordinal(c: Column | str, mapping: Mapping[str, float], default: float) -> Column:
     """Label to number through a literal map; unknown and NULL give `default`."""
-    pairs = itertools.chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in mapping.items())
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), as_column(c)), F.lit(float(default)))
+    pairs = ", ".join(f"{sql_text(k)}, {sql_double(v)}" for k, v in mapping.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), as_column(c)), F.lit(float(default)))
 
 
 def est_installment(amount: Column, rate: Column, term: Column) -> Column:

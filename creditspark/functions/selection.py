@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditspark.functions.semantics import sql_double, sql_text
+
 SMALL = 100_000        # rows that one task may rank
 EXACT_LIMIT = 1_000_000  # distinct values that one exact percentile may hold
 MAX_CLASSES = 1_000
@@ -193,15 +195,15 @@ def quantiles(
     cols = list(cols)
     if not cols:
         return {}
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    base = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols])
     if counts is None:
-        row = base.agg(*[F.count(c).alias(c) for c in cols]).first()
+        row = base.agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in cols]).first()
         counts = {c: row[c] for c in cols}
     out: dict = {c: [None] * len(probs) for c in cols}
     small = [c for c in cols if 0 < counts[c] <= limit]
     if small:
-        plist = F.array(*[F.lit(float(p)) for p in probs])
-        row = base.agg(*[F.percentile(c, plist).alias(c) for c in small]).first()
+        plist = ", ".join(f"{float(p)!r}D" for p in probs)
+        row = base.agg(*[F.expr(f"percentile(`{c}`, array({plist})) AS `{c}`") for c in small]).first()
         out.update({c: list(row[c]) for c in small})
     big = [c for c in cols if counts[c] > limit]
     if big:
@@ -274,12 +276,12 @@ def _count_pieces(base: DataFrame, cuts: Mapping[str, Sequence[float]]) -> dict:
     """Rows and distinct values per piece: code 2i is below cut i, 2i + 1 is on it."""
     cells = []
     for c, bounds in cuts.items():
-        x, code = F.col(c), F.lit(0)
-        for b in bounds:
-            code = code + (x > F.lit(b)).cast("int") + (x >= F.lit(b)).cast("int")
-        cells.append(F.struct(F.lit(c).alias("c"), code.alias("code"), x.alias("x")))
+        steps = "".join(
+            f" + CAST(`{c}` > {v} AS INT) + CAST(`{c}` >= {v} AS INT)" for v in map(sql_double, bounds)
+        )
+        cells.append(f"struct({sql_text(c)} AS c, 0{steps} AS code, `{c}` AS x)")
     rows = (
-        base.select(F.inline(F.array(*cells)))
+        base.selectExpr(f"inline(array({', '.join(cells)}))")
         .where("x is not null")
         .groupBy("c", "code")
         .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x").alias("d"))

@@ -18,6 +18,19 @@ from pyspark.sql import types as T
 NUMBER_PATTERN = r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?))$"
 
 
+def sql_double(x: float) -> str:
+    """A double literal in SQL text.
+
+    Long literal lists are written as SQL text: one parse instead of a call to
+    the JVM per literal.
+    """
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

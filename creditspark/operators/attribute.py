@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.functions.scalars import effect_label
+from creditspark.functions.semantics import sql_double, sql_text
 from creditspark.operators.rank import TOP_FACTORS, TOP_FEATURES, extremes, top_n
 
 MAX_NODES = 5_000_000  # tree nodes that may be broadcast (about 60 bytes each)
@@ -24,16 +25,13 @@ def linear_contributions(
     df: DataFrame, coef: Mapping[str, float], mean: Mapping[str, float], keep: Sequence[str] = ("loan_id",)
 ) -> DataFrame:
     """coef * (x - mean) per feature: exact for a linear score; NULL counts as the mean."""
-    cells = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(c).cast("double").alias("value"),
-            (F.lit(float(b)) * (F.coalesce(F.col(c).cast("double"), F.lit(float(mean[c]))) - F.lit(float(mean[c]))))
-            .alias("contribution"),
+    cells = []
+    for c, b in coef.items():
+        x, m = f"CAST(`{c}` AS DOUBLE)", sql_double(mean[c])
+        cells.append(
+            f"struct({sql_text(c)} AS feature, {x} AS value, {sql_double(b)} * (coalesce({x}, {m}) - {m}) AS contribution)"
         )
-        for c, b in coef.items()
-    ]
-    return df.select(*keep, F.array(*cells).alias("factors"))
+    return df.select(*keep, F.expr(f"array({', '.join(cells)})").alias("factors"))
 
 
 # --- trees ---------------------------------------------------------------------
@@ -135,7 +133,7 @@ def tree_contributions(
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, vector_to_array(features).alias("x"))
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = F.expr(f"array({', '.join(map(sql_text, names))})")
     out = rows.mapInPandas(explain, f"{key} {kind}, base double, x array<double>, phi array<double>")
     zipped = F.arrays_zip(labels.alias("feature"), F.col("x").alias("value"), F.col("phi").alias("contribution"))
     return out.select(key, "base", zipped.alias("factors"))

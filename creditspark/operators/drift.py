@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.functions.selection import EXACT_LIMIT, quantiles
+from creditspark.functions.semantics import sql_double, sql_text
 from creditspark.operators.split import Key, chrono_predicate
 
 # --- fixed values -----------------------------------------------------------
@@ -46,13 +47,13 @@ def edges_frame(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFram
     return df.sparkSession.createDataFrame(rows, "feature_name string, position int, edge double")
 
 
-def bin_of(x: Column, edges: Sequence[float]) -> Column:
-    """Index of the bin [e_i, e_i+1), the last one closed; NULL outside the edges."""
-    low, high, last = edges[0], edges[-1], len(edges) - 2
-    index = F.lit(last)
-    for i in range(last, 0, -1):
-        index = F.when(x < F.lit(edges[i]), F.lit(i - 1)).otherwise(index)
-    return F.when((x >= F.lit(low)) & (x <= F.lit(high)), index)
+def bin_of(column: str, edges: Sequence[float]) -> str:
+    """SQL for the index of the bin [e_i, e_i+1), the last one closed; NULL outside the edges."""
+    x = f"CAST(`{column}` AS DOUBLE)"
+    e = [sql_double(v) for v in edges]
+    inner = " ".join(f"WHEN {x} < {v} THEN {i}" for i, v in enumerate(e[1:-1]))
+    last = f"WHEN {x} <= {e[-1]} THEN {len(e) - 2}"
+    return f"CASE WHEN {x} < {e[0]} THEN NULL {inner} {last} END"
 
 
 def bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], side: Column | None = None) -> DataFrame:
@@ -63,19 +64,16 @@ def bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], side: Column
     """
     side = F.lit(True) if side is None else side
     usable = {f: es for f, es in edges.items() if len(es) >= 2}
-    cells = [
-        F.struct(
-            F.lit(f).alias("feature_name"), F.col("__side").alias("side"),
-            F.col(f).isNotNull().alias("known"), bin_of(F.col(f).cast("double"), es).alias("bin"),
-        )
+    cells = ", ".join(
+        f"struct({sql_text(f)} AS feature_name, __side AS side, `{f}` IS NOT NULL AS known, {bin_of(f, es)} AS bin)"
         for f, es in usable.items()
-    ]
+    )
     if not cells:
         empty = "feature_name string, side boolean, bin int, n bigint"
         return df.sparkSession.createDataFrame([], empty)
     return (
         df.select(*usable, side.alias("__side"))
-        .select(F.inline(F.array(*cells)))
+        .selectExpr(f"inline(array({cells}))")
         .where("known")
         .groupBy("feature_name", "side", "bin")
         .agg(F.count(F.lit(1)).alias("n"))

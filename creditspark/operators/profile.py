@@ -11,18 +11,13 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.scalars import label_nan
 from creditspark.functions.selection import EXACT_LIMIT, quantiles
-from creditspark.functions.semantics import evaluate_once, percent_of
+from creditspark.functions.semantics import evaluate_once, percent_of, sql_text
 
 # --- fixed values -----------------------------------------------------------
 SOLVENT, DEFAULTED = "Solvente (Clase 0)", "Impago/Default (Clase 1)"
 # -----------------------------------------------------------------------------
 
 
-def rows_of(wide: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    """One row per struct of a one-row frame (the long form of wide aggregates)."""
-    return wide.select(F.inline(F.array(*structs)))
-
-
 def dimensions(raw: DataFrame, sample: DataFrame, clean: DataFrame) -> DataFrame:
     """Rows of raw, rows of the sample, columns of raw, rows of clean."""
 
@@ -42,16 +37,12 @@ def null_profile(df: DataFrame) -> DataFrame:
     cols = df.columns
     wide = df.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.expr(f"count_if(`{c}` IS NULL) AS n{i}") for i, c in enumerate(cols)],
+    )
+    cells = ", ".join(f"struct({sql_text(c)} AS campo, n{i} AS nulos)" for i, c in enumerate(cols))
+    return wide.selectExpr("__rows", f"inline(array({cells}))").select(
+        "campo", "nulos", percent_of(F.col("nulos"), F.col("__rows")).alias("porcentaje")
     )
-    return rows_of(wide, [
-        F.struct(
-            F.lit(c).alias("campo"),
-            F.col(f"n{i}").alias("nulos"),
-            percent_of(F.col(f"n{i}"), F.col("__rows")).alias("porcentaje"),
-        )
-        for i, c in enumerate(cols)
-    ])
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
@@ -73,14 +64,12 @@ def target_distribution(df: DataFrame, target: str = "target") -> DataFrame:
         F.count_if(F.col(target) == 0).alias("n0"),
         F.count_if(F.col(target) == 1).alias("n1"),
     )
-    return rows_of(wide, [
-        F.struct(
-            F.lit(label).alias("label"),
-            F.col(n).alias("count"),
-            percent_of(F.col(n), F.col("rows")).alias("percentage"),
-        )
-        for label, n in ((SOLVENT, "n0"), (DEFAULTED, "n1"))
-    ])
+    cells = ", ".join(
+        f"struct({sql_text(label)} AS label, {n} AS count)" for label, n in ((SOLVENT, "n0"), (DEFAULTED, "n1"))
+    )
+    return wide.selectExpr("rows", f"inline(array({cells}))").select(
+        "label", "count", percent_of(F.col("count"), F.col("rows")).alias("percentage")
+    )
 
 
 def describe(
@@ -92,16 +81,13 @@ def describe(
     `percentile_approx` and saves the extra passes.
     """
     cols = [c for c in cols if c in df.columns]
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        mid = F.percentile_approx(x, 0.5, 10_000) if approximate else F.lit(None).cast("double")
-        aggs.append(F.struct(
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), mid.alias("median"), F.max(x).alias("max"),
-        ).alias(c))
+    mid = "percentile_approx({x}, 0.5D, 10000)" if approximate else "CAST(NULL AS DOUBLE)"
+    each = (
+        "struct(count({x}) AS count, avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS min, "
+        + mid + " AS median, max({x}) AS max) AS `{c}`"
+    )
     # one row per profiled column is all that reaches the driver
-    stats = df.agg(*aggs).first().asDict()
+    stats = df.agg(*[F.expr(each.format(c=c, x=f"CAST(`{c}` AS DOUBLE)")) for c in cols]).first().asDict()
     medians = {}
     if not approximate:
         found = quantiles(df, cols, [0.5], limit, counts={c: stats[c]["count"] for c in cols})

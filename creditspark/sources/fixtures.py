@@ -8,17 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.operators import clean as C
 
-LOAN_COLUMNS = [
-    "loan_id", "importe_solicitado", "tipo_interes", "plazo_prestamo", "antiguedad_laboral", "grado_riesgo",
-    "ingresos_anuales", "ratio_prestamo_ingresos", "puntuacion_crediticia_media", "bancarrotas_publicas",
-    "consultas_credito_ultimos_6_meses", "impago_ultimos_2_anios", "porcentaje_uso_credito_revolving",
-    "finalidad_prestamo", "tipo_vivienda", "estado_prestamo", "fecha_emision",
-]
 FROM_LINES = {
     "tipo_interes", "puntuacion_crediticia_media", "bancarrotas_publicas", "consultas_credito_ultimos_6_meses",
     "impago_ultimos_2_anios", "porcentaje_uso_credito_revolving",
@@ -29,75 +23,67 @@ FROM_CUSTOMER = {
 PSEUDO_MODELS = ["CatBoost", "LightGBM", "XGBoost"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# a declared schema saves a footer-reading job per table and query
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
+    "lineitem": "l_orderkey bigint, l_quantity double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string",
+}
 
+LOAN_SQL = {
+    "loan_id": "o_orderkey",
+    "importe_solicitado": "o_totalprice",
+    "tipo_interes": """CASE WHEN o_orderkey % 97 = 0 THEN 'n/a'
+        ELSE CAST(CAST(5 + max_tax * 100 + o_orderkey % 17 AS DECIMAL(6,2)) AS STRING) || '%' END""",
+    "plazo_prestamo": """CASE WHEN o_orderkey % 97 = 3 THEN NULL WHEN o_orderkey % 3 = 0 THEN ' 60 months'
+        ELSE ' 36 months' END""",
+    "antiguedad_laboral": """CASE c_custkey % 13 WHEN 0 THEN '< 1 year' WHEN 1 THEN '1 year' WHEN 10 THEN '10+ years'
+        WHEN 11 THEN NULL WHEN 12 THEN 'n/a' ELSE CAST(c_custkey % 13 AS STRING) || ' years' END""",
+    "grado_riesgo": """CASE WHEN c_custkey % 8 = 7 THEN NULL
+        ELSE substring('ABCDEFG', CAST(c_custkey % 8 + 1 AS INT), 1) END""",
+    "ingresos_anuales": "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal * 12 END",
+    "ratio_prestamo_ingresos": "CASE WHEN c_acctbal > 0 THEN try_divide(o_totalprice, c_acctbal * 12) END",
+    "puntuacion_crediticia_media": "CAST(600 + qty / 2 AS DOUBLE)",
+    "bancarrotas_publicas": "CAST(n_ret AS DOUBLE)",
+    "consultas_credito_ultimos_6_meses": "CAST(n_lines AS DOUBLE)",
+    "impago_ultimos_2_anios": "CAST(n_ret_f AS DOUBLE)",
+    "porcentaje_uso_credito_revolving": "CAST(CAST(max_disc * 1000 AS DECIMAL(6,1)) AS STRING) || '%'",
+    "finalidad_prestamo": "o_orderpriority",
+    "tipo_vivienda": "c_mktsegment",
+    "estado_prestamo": """CASE o_orderstatus WHEN 'P' THEN 'Pagado completamente'
+        WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Al corriente' ELSE 'Pagado completamente' END
+        ELSE CASE o_orderkey % 5 WHEN 0 THEN 'Incobrable' WHEN 1 THEN 'Default' WHEN 2 THEN 'Retraso de 31 a 120 días'
+             WHEN 3 THEN 'Periodo de gracia' ELSE 'Pagado completamente' END END""",
+    "fecha_emision": "o_orderdate",
+}
+LOAN_COLUMNS = list(LOAN_SQL)
 
-def _line_facts(lines: DataFrame) -> DataFrame:
-    returned = F.col("l_returnflag") == "R"
-    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.max("l_tax").alias("max_tax"),
-        F.max("l_discount").alias("max_disc"),
-        F.sum("l_quantity").alias("qty"),
-        F.count_if(returned).alias("n_ret"),
-        F.count_if(returned & (F.col("l_linestatus") == "F")).alias("n_ret_f"),
-    )
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _loan_expressions() -> dict[str, Column]:
-    key, cust, balance = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_acctbal")
-    slot = cust % 13
-    percent = F.lit("%")
-    rate = (5 + F.col("max_tax") * 100 + key % 17).cast("decimal(6,2)").cast("string")
-    return {
-        "loan_id": key,
-        "importe_solicitado": F.col("o_totalprice"),
-        "tipo_interes": F.when(key % 97 == 0, "n/a").otherwise(F.concat(rate, percent)),
-        "plazo_prestamo": F.when(key % 97 == 3, F.lit(None)).when(key % 3 == 0, " 60 months").otherwise(" 36 months"),
-        "antiguedad_laboral": (
-            F.when(slot == 0, "< 1 year").when(slot == 1, "1 year").when(slot == 10, "10+ years")
-            .when(slot == 11, F.lit(None)).when(slot == 12, "n/a")
-            .otherwise(F.concat(slot.cast("string"), F.lit(" years")))
-        ),
-        "grado_riesgo": F.when(
-            cust % 8 != 7, F.substring(F.lit("ABCDEFG"), (cust % 8 + 1).cast("int"), F.lit(1))
-        ),
-        "ingresos_anuales": F.when(balance >= 0, balance * 12),
-        "ratio_prestamo_ingresos": F.when(balance > 0, F.try_divide(F.col("o_totalprice"), balance * 12)),
-        "puntuacion_crediticia_media": (600 + F.col("qty") / 2).cast("double"),
-        "bancarrotas_publicas": F.col("n_ret").cast("double"),
-        "consultas_credito_ultimos_6_meses": F.col("n_lines").cast("double"),
-        "impago_ultimos_2_anios": F.col("n_ret_f").cast("double"),
-        "porcentaje_uso_credito_revolving": F.concat(
-            (F.col("max_disc") * 1000).cast("decimal(6,1)").cast("string"), percent
-        ),
-        "finalidad_prestamo": F.col("o_orderpriority"),
-        "tipo_vivienda": F.col("c_mktsegment"),
-        "estado_prestamo": (
-            F.when(F.col("o_orderstatus") == "P", "Pagado completamente")
-            .when(
-                F.col("o_orderstatus") == "O",
-                F.when(key % 2 == 0, "Al corriente").otherwise("Pagado completamente"),
-            )
-            .when(key % 5 == 0, "Incobrable").when(key % 5 == 1, "Default")
-            .when(key % 5 == 2, "Retraso de 31 a 120 días").when(key % 5 == 3, "Periodo de gracia")
-            .otherwise("Pagado completamente")
-        ),
-        "fecha_emision": F.col("o_orderdate"),
-    }
+def _line_facts(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*map(F.expr, (
+        "count(*) AS n_lines", "max(l_tax) AS max_tax", "max(l_discount) AS max_disc", "sum(l_quantity) AS qty",
+        "count_if(l_returnflag = 'R') AS n_ret", "count_if(l_returnflag = 'R' AND l_linestatus = 'F') AS n_ret_f",
+    )))
 
 
 def loans(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     wanted = list(columns) if columns else LOAN_COLUMNS
     frame = table(spark, sf_dir, "orders")
     if FROM_LINES & set(wanted):
-        frame = frame.join(_line_facts(table(spark, sf_dir, "lineitem")), "o_orderkey", "left")
+        # the facts come out of their aggregation partitioned by order: join them there
+        # rather than ship one row per order to every executor
+        facts = _line_facts(table(spark, sf_dir, "lineitem")).hint("merge")
+        frame = frame.join(facts, "o_orderkey", "left")
     if FROM_CUSTOMER & set(wanted):
-        customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-        frame = frame.join(customer, F.col("c_custkey") == F.col("o_custkey"), "left")
-    rules = _loan_expressions()
-    return frame.select(*[rules[c].alias(c) for c in wanted])
+        customer = table(spark, sf_dir, "customer")
+        frame = frame.join(customer, F.expr("c_custkey = o_custkey"), "left")
+    return frame.selectExpr(*[f"{LOAN_SQL[c]} AS {c}" for c in wanted])
 
 
 def mature_loans(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
@@ -113,26 +99,22 @@ def clean_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loans_drift(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Loans whose amounts rise by 80% from 2000 on."""
-    shifted = F.when(
-        F.col("fecha_emision") >= F.lit("2000-01-01").cast("timestamp_ntz"), F.col("importe_solicitado") * 1.8
-    ).otherwise(F.col("importe_solicitado"))
+    shifted = F.expr("""CASE WHEN fecha_emision >= TIMESTAMP_NTZ '2000-01-01' THEN importe_solicitado * 1.8D
+        ELSE importe_solicitado END""")
     return loans(spark, sf_dir, columns).withColumn("importe_solicitado", shifted)
 
 
 def loans_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All loans with features and a target that the grade explains in part."""
-    planted = F.col("grado_riesgo_num") * 10 + (F.col("loan_id") * 7919) % 100 >= 120
-    return C.loan_features(loans(spark, sf_dir)).withColumn("target", planted.cast("int"))
+    planted = F.expr("CAST(grado_riesgo_num * 10 + (loan_id * 7919) % 100 >= 120 AS INT)")
+    return C.loan_features(loans(spark, sf_dir)).withColumn("target", planted)
 
 
 def scored(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ()) -> DataFrame:
     """Three pseudo-models' scores of every mature loan: loan_id, model_name, target, prob."""
     base = mature_loans(spark, sf_dir, ["loan_id", *columns])
-    models = F.array(*[
-        F.struct(F.lit(k).cast("long").alias("k"), F.lit(m).alias("model_name")) for k, m in enumerate(PSEUDO_MODELS)
-    ])
-    points = (F.col("loan_id") * (7919 + 2 * F.col("m.k"))) % 1000 + 250 * F.col("target")
-    return base.select("*", F.explode(models).alias("m")).select(
-        "loan_id", F.col("m.model_name").alias("model_name"), "target",
-        (points.cast("double") / F.lit(1250.0)).alias("prob"), *columns,
+    models = ", ".join(f"struct({k}L AS k, '{m}' AS model_name)" for k, m in enumerate(PSEUDO_MODELS))
+    points = "CAST((loan_id * (7919 + 2 * m.k)) % 1000 + 250 * target AS DOUBLE) / 1250e0"
+    return base.selectExpr("*", f"explode(array({models})) AS m").selectExpr(
+        "loan_id", "m.model_name AS model_name", "target", f"{points} AS prob", *columns
     )
