@@ -35,32 +35,33 @@ def threshold_table(
 ) -> DataFrame:
     """F1 at every threshold: one count per reached threshold, then sums over 92 cells."""
     by = list(by)
-    pos, neg = F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)
-    cells = scored.groupBy(*by, thresholds_reached(F.col(prob)).alias("b")).agg(pos.alias("pos"), neg.alias("neg"))
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
+    cells = scored.groupBy(*by, thresholds_reached(F.col(prob)).alias("__b")).agg(
+        F.count_if(F.col(target) == 1).alias("__pos"), F.count_if(F.col(target) == 0).alias("__neg")
+    )
+    zero = F.expr("struct(0L AS __pos, 0L AS __neg)")
     filled = cells.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("b", F.struct("pos", "neg")))).alias("m")
+        F.map_from_entries(F.collect_list(F.struct("__b", F.struct("__pos", "__neg")))).alias("__cells")
     ).select(
         *by,
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), F.lit(THRESHOLDS)), lambda i: F.coalesce(F.try_element_at("m", i), zero))
-        ).alias("b", "cell"),
+        F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.lit(THRESHOLDS)), lambda i: F.coalesce(F.try_element_at("__cells", i), zero)
+        )).alias("__b", "__cell"),
     )
-    above = Window.partitionBy(*by).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*by).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*by)
-    tp, predicted = F.col("tp"), F.col("tp") + F.col("fp")
+    tp, predicted = F.col("__tp"), F.col("__tp") + F.col("__fp")
     return (
         filled.select(
-            *by, "b",
-            F.sum("cell.pos").over(above).alias("tp"),
-            F.sum("cell.neg").over(above).alias("fp"),
-            F.sum("cell.pos").over(everything).alias("positives"),
+            *by, "__b",
+            F.sum("__cell.__pos").over(above).alias("__tp"),
+            F.sum("__cell.__neg").over(above).alias("__fp"),
+            F.sum("__cell.__pos").over(everything).alias("__positives"),
         )
-        .where("b > 0")
+        .where("__b > 0")
         .select(
             *by,
-            threshold_at(F.col("b") - 1).alias("threshold"),
-            safe_ratio(2 * tp, predicted + F.col("positives")).alias("f1"),
+            threshold_at(F.col("__b") - 1).alias("threshold"),
+            safe_ratio(2 * tp, predicted + F.col("__positives")).alias("f1"),
         )
     )
 
@@ -112,38 +113,34 @@ def roc_auc(
     over its own small groups, and the three partial pair counts simply add up.
     """
     by = list(by)
-    pos, neg = F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__s")))
     scores = (
         scored.groupBy(*by, F.col(prob).alias("__s"))
-        .agg(pos.alias("pos"), neg.alias("neg"))
+        .agg(F.count_if(F.col(target) == 1).alias("__pos"), F.count_if(F.col(target) == 0).alias("__neg"))
         .withColumns({
-            "coarse": F.floor(clamped * COARSE).cast("int"), "fine": F.floor(clamped * FINE).cast("int"),
+            "__coarse": F.floor(clamped * COARSE).cast("int"), "__fine": F.floor(clamped * FINE).cast("int"),
         })
     )
-    sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg")]
-    fine = scores.groupBy(*by, "coarse", "fine").agg(*sums)
-    coarse = fine.groupBy(*by, "coarse").agg(*sums)
+    sums = [F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg")]
+    fine = scores.groupBy(*by, "__coarse", "__fine").agg(*sums)
+    coarse = fine.groupBy(*by, "__coarse").agg(*sums)
 
     def pairs(level: DataFrame, group: list[str], order: str, ties: bool) -> DataFrame:
         before = Window.partitionBy(*by, *group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("neg").over(before), F.lit(0)) * 2
-        won = below + F.col("neg") if ties else below
+        below = F.coalesce(F.sum("__neg").over(before), F.lit(0)) * 2
+        won = below + F.col("__neg") if ties else below
         # decimal keeps the pair count exact beyond 2**63
-        product = F.col("pos").cast("decimal(18,0)") * F.col("won").cast("decimal(19,0)")
-        totals = ["pos", "neg"] if ties else []
-        return level.withColumn("won", won).groupBy(*by).agg(
-            F.sum(product).alias("won"),
-            *[(F.sum(c) if totals else F.lit(0).cast("long")).alias(c) for c in ("pos", "neg")],
-        )
+        product = F.col("__pos").cast("decimal(18,0)") * F.col("__won").cast("decimal(19,0)")
+        totals = [(F.sum(c) if ties else F.lit(0).cast("long")).alias(c) for c in ("__pos", "__neg")]
+        return level.withColumn("__won", won).groupBy(*by).agg(F.sum(product).alias("__won"), *totals)
 
     parts = (
-        pairs(scores, ["fine"], "__s", ties=True)
-        .unionByName(pairs(fine, ["coarse"], "fine", ties=False))
-        .unionByName(pairs(coarse, [], "coarse", ties=False))
+        pairs(scores, ["__fine"], "__s", ties=True)
+        .unionByName(pairs(fine, ["__coarse"], "__fine", ties=False))
+        .unionByName(pairs(coarse, [], "__coarse", ties=False))
     )
-    both = F.sum("pos").cast("double") * F.sum("neg").cast("double") * 2
-    return parts.groupBy(*by).agg(F.try_divide(F.sum("won").cast("double"), both).alias("roc_auc"))
+    both = F.sum("__pos").cast("double") * F.sum("__neg").cast("double") * 2
+    return parts.groupBy(*by).agg(F.try_divide(F.sum("__won").cast("double"), both).alias("roc_auc"))
 
 
 def with_gini(df: DataFrame, auc: str = "roc_auc") -> DataFrame:
