@@ -186,16 +186,20 @@ def quantiles(
     probs: Sequence[float],
     limit: int = EXACT_LIMIT,
     counts: Mapping[str, int] | None = None,
+    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation) of several columns, NULLs skipped.
 
     `limit` bounds the distinct values that one aggregation state or one task
     may hold; larger columns go through narrowing gaps, with the same result.
+    `rows` is the row count, or a bound of it, where the caller knows one.
     """
     cols = list(cols)
     if not cols:
         return {}
     base = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols])
+    if counts is None and rows is not None and rows <= limit:
+        counts = {c: rows for c in cols}
     if counts is None:
         row = base.agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in cols]).first()
         counts = {c: row[c] for c in cols}
@@ -204,7 +208,7 @@ def quantiles(
     if small:
         plist = ", ".join(f"{float(p)!r}D" for p in probs)
         row = base.agg(*[F.expr(f"percentile(`{c}`, array({plist})) AS `{c}`") for c in small]).first()
-        out.update({c: list(row[c]) for c in small})
+        out.update({c: list(row[c]) for c in small if row[c] is not None})
     big = [c for c in cols if counts[c] > limit]
     if big:
         places = {c: [p * (counts[c] - 1) for p in probs] for c in big}

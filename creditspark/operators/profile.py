@@ -73,39 +73,39 @@ def target_distribution(df: DataFrame, target: str = "target") -> DataFrame:
 
 
 def describe(
-    df: DataFrame, cols: Sequence[str], limit: int = EXACT_LIMIT, approximate: bool = False
+    df: DataFrame, cols: Sequence[str], limit: int = EXACT_LIMIT, approximate: bool = False, rows: int | None = None
 ) -> DataFrame:
     """count, mean, std, min, median, max per present column; undefined reads 0.
 
     The median is exact at any size (see `quantiles`); `approximate=True` takes
-    `percentile_approx` and saves the extra passes.
+    `percentile_approx` and saves the extra passes. Up to `limit` rows, as told by
+    `rows`, one pass does it all.
     """
     cols = [c for c in cols if c in df.columns]
-    mid = "percentile_approx({x}, 0.5D, 10000)" if approximate else "CAST(NULL AS DOUBLE)"
+    one_pass = approximate or (rows is not None and rows <= limit)
+    mid = "percentile_approx({x}, 0.5D, 10000)" if approximate else "percentile({x}, 0.5D)"
+    if not one_pass:
+        mid = "CAST(NULL AS DOUBLE)"
     each = (
         "struct(count({x}) AS count, avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS min, "
         + mid + " AS median, max({x}) AS max) AS `{c}`"
     )
     # one row per profiled column is all that reaches the driver
     stats = df.agg(*[F.expr(each.format(c=c, x=f"CAST(`{c}` AS DOUBLE)")) for c in cols]).first().asDict()
-    medians = {}
-    if not approximate:
+    medians = {c: stats[c]["median"] for c in cols}
+    if not one_pass:
         found = quantiles(df, cols, [0.5], limit, counts={c: stats[c]["count"] for c in cols})
         medians = {c: v[0] for c, v in found.items()}
 
     def shown(v) -> float:
         return 0.0 if v is None or v != v else float(v)
 
-    rows = []
-    for c in cols:
-        s = stats[c]
-        mid = s["median"] if approximate else medians[c]
-        rows.append((
-            c, s["count"], shown(s["mean"]), shown(s["std"]), shown(s["min"]), shown(mid), shown(s["max"]),
-        ))
+    long = [
+        (c, s["count"], shown(s["mean"]), shown(s["std"]), shown(s["min"]), shown(medians[c]), shown(s["max"]))
+        for c, s in ((c, stats[c]) for c in cols)
+    ]
     schema = "variable string, count bigint, mean double, std double, min double, median double, max double"
-    long = df.sparkSession.createDataFrame(rows, schema)
-    return long.select(
+    return df.sparkSession.createDataFrame(long, schema).select(
         "variable", "count", *[F.round(m, 2).alias(m) for m in ("mean", "std", "min", "median", "max")]
     )
 

@@ -102,7 +102,14 @@ def _order_micros(df: DataFrame, ts: str) -> Column:
 def chrono_predicate(
     df: DataFrame, ts: str, fraction: float, key: Key, seed: int | str = SEED, small: int = SMALL
 ) -> Column:
-    """True for the first int(fraction * rows) rows by time; NULL times last.
+    """True for the first int(fraction * rows) rows by time; NULL times last."""
+    return chrono_cut(df, ts, fraction, key, seed, small)[0]
+
+
+def chrono_cut(
+    df: DataFrame, ts: str, fraction: float, key: Key, seed: int | str = SEED, small: int = SMALL
+) -> tuple[Column, int]:
+    """The predicate of `chrono_predicate`, and the number of rows it is true for.
 
     Equal times are ordered by the hash of the key, so that even a third of all
     rows on one instant splits into buckets.
@@ -115,15 +122,16 @@ def chrono_predicate(
         frame, ["__us", "__t"], levels, lambda n: {c: int(fraction * k) for c, k in n.items()}, small=small
     )
     if not cuts:
-        return F.lit(True)
+        return F.lit(True), 0
     k, rows, values = cuts[0]
     if values is None:
-        return F.lit(k >= rows)
+        return F.lit(k >= rows), k
     at, text_cut = values
     micros, text = _order_micros(df, ts), order_text(key, seed)
     if at is None:
-        return micros.isNotNull() | (text <= F.lit(text_cut))
-    return micros.isNotNull() & ((micros < F.lit(at)) | ((micros == F.lit(at)) & (text <= F.lit(text_cut))))
+        return micros.isNotNull() | (text <= F.lit(text_cut)), k
+    tie = (micros == F.lit(at)) & (text <= F.lit(text_cut))
+    return micros.isNotNull() & ((micros < F.lit(at)) | tie), k
 
 
 def chrono_split(

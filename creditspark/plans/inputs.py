@@ -75,13 +75,13 @@ DRIFT_RAW = [
 def psi_table(spark: SparkSession, d: str, drifted: bool = False) -> DataFrame:
     source = X.loans_drift if drifted else X.loans
     rows = drift_input(source(spark, d, DRIFT_RAW))
-    return D.psi_report(rows, "fecha_emision", "loan_id", first=baseline(spark, d))
+    return D.psi_report(rows, "fecha_emision", "loan_id", cut=baseline(spark, d))
 
 
-def baseline(spark: SparkSession, d: str) -> Column:
+def baseline(spark: SparkSession, d: str) -> tuple[Column, int]:
     """First 80% of the mature loans by issue date; the cut reads orders only."""
     keys = X.mature_loans(spark, d, ["loan_id", "fecha_emision"])
-    return S.chrono_predicate(keys, "fecha_emision", D.BASELINE_FRACTION, "loan_id")
+    return S.chrono_cut(keys, "fecha_emision", D.BASELINE_FRACTION, "loan_id")
 
 
 def split_clean(spark: SparkSession, d: str) -> DataFrame:

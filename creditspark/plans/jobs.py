@@ -25,15 +25,18 @@ from creditspark.operators import train as T
 from creditspark.sources import sinks as OUT
 from creditspark.sources.scratch import scratch_path
 
-CLEAN_TABLE = "loans_clean"
+RAW_TABLE, CLEAN_TABLE = "loans_raw", "loans_clean"
 
 
 def clean_and_profile(raw: DataFrame, db: str, key: str, fraction: float = 1.0) -> DataFrame:
     """Write the clean table and the seven profile tables; returns the clean table.
 
-    `fraction` below 1 profiles exact samples of raw and clean, drawn independently.
+    The raw file is parsed once, into a columnar table; the profiles then read
+    only the columns they need. `fraction` below 1 profiles exact samples of raw
+    and clean, drawn independently.
     """
     OUT.ensure_db(raw.sparkSession, db)
+    raw = OUT.write_replace(raw, f"{db}.{RAW_TABLE}")
     clean = OUT.write_replace(C.clean(raw), f"{db}.{CLEAN_TABLE}")
     raw_sample = S.sample_exact(raw, fraction, key)
     clean_sample = S.sample_exact(clean, fraction, key, f"{S.SEED}-clean")
@@ -42,7 +45,7 @@ def clean_and_profile(raw: DataFrame, db: str, key: str, fraction: float = 1.0)
         "eda_nulls": P.null_profile(raw_sample),
         "eda_estado_prestamo_distribution": P.value_counts(raw_sample, "estado_prestamo"),
         "eda_target_distribution": P.target_distribution(clean_sample),
-        "eda_descriptive_stats": P.describe(clean_sample, C.PROFILE_NUMERIC),
+        "eda_descriptive_stats": P.describe(clean_sample, C.PROFILE_NUMERIC, rows=clean.count()),
         "eda_categorical_distribution": P.categorical(raw_sample, C.PROFILE_CATEGORICAL),
         "eda_correlation": P.correlation(clean_sample, C.PROFILE_NUMERIC),
     }, db)
@@ -77,8 +80,8 @@ def train(
 
 
 def consolidate(
-    clean: DataFrame, log: DataFrame, attribution: DataFrame, db: str, key: str, first: Column | None = None,
-    latency: int | None = None, error_rate: float | None = None,
+    clean: DataFrame, log: DataFrame, attribution: DataFrame, db: str, key: str,
+    cut: tuple[Column, int] | None = None, latency: int | None = None, error_rate: float | None = None,
 ) -> None:
     """Governance tables from a run log (name and metrics per run), the loans and an attribution document.
 
@@ -106,7 +109,7 @@ def consolidate(
         F.col("fecha_registro").cast("date").alias("fecha_auditoria"),
     )
     OUT.delete_reload(evolution, db, "t_modelo_evaluacion_temporal")
-    psi = D.psi_report(clean, "fecha_emision", key, first=first)
+    psi = D.psi_report(clean, "fecha_emision", key, cut=cut)
     OUT.delete_reload(psi, db, "t_modelo_data_drift_psi")
     top = attribution.select(F.explode("global").alias("g")).select(
         F.col("g.feature").alias("feature_name"), F.col("g.importance").alias("shap_importance")

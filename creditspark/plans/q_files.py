@@ -17,6 +17,7 @@ from creditspark.operators import reshape as H
 from creditspark.operators import train as TR
 from creditspark.plans import inputs as I
 from creditspark.plans import sql as Q
+from creditspark.plans.q_model import signal
 from creditspark.plans.q_profile import TARGET_SQL
 from creditspark.plans.q_report import CHAMPION
 from creditspark.plans.registry import query
@@ -148,7 +149,7 @@ def _(spark, d):
 @query("save_model")
 def _(spark, d):
     """A logistic champion saved, loaded and used again on every loan."""
-    rows = X.loans_signal(spark, d)
+    rows = signal(spark, d).drop("split")
     features = M.feature_pipeline(C.MODEL_NUMERIC, C.MODEL_CATEGORICAL).fit(rows)
     ready = TR.class_weights(features.transform(rows), 3.8)
     base = TR.logistic({"iterations": 30}, "target", "features", TR.weight_column(1.0)).fit(ready)

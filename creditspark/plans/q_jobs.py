@@ -29,7 +29,7 @@ def governed(spark, d) -> str:
     local = A.local_document(contrib, I.champion_scores(spark, d), raw)
     doc = OUT.write_replace(A.attribution_document(A.global_importance(contrib), local), f"{db}.attribution")
     log = OUT.write_replace(I.comparison(spark, d), f"{db}.run_log")
-    J.consolidate(clean, log, doc, db, "loan_id", first=I.baseline(spark, d), latency=50, error_rate=0.0)
+    J.consolidate(clean, log, doc, db, "loan_id", latency=50, error_rate=0.0)
     return db
 
 
@@ -99,6 +99,6 @@ def _(spark, d):
     clean = J.clean_and_profile(X.loans(spark, d), db, "loan_id")
     signal = OUT.write_replace(X.loans_signal(spark, d), f"{db}.signal")
     log, doc = J.train(signal, db, "loan_id", scratch_path(spark, "model"), short_candidates())
-    J.consolidate(clean, log, doc, db, "loan_id", first=I.baseline(spark, d))
+    J.consolidate(clean, log, doc, db, "loan_id")
     models = log.select(H.display_name(F.col("name")).alias("display_name"))
     return J.quality_check(spark, db, J.report(spark, db), models).select("test", "passed", "drift")

@@ -36,7 +36,8 @@ FLAGS = [f"missing_{c}" for c in ("ingresos_anuales", "ratio_prestamo_ingresos",
     f"round(imp_{c}, 6) AS imp_{c}" for c in NUM + FLAGS) + " FROM imputed"))
 def _(spark, d):
     rows = I.split_clean(spark, d)
-    out = M.MedianImputer(NUM).fit(rows.where("split = 'base'")).transform(rows)
+    n = X.mature_loans(spark, d, []).count()  # an upper bound, from one column of orders
+    out = M.MedianImputer(NUM, rows=n).fit(rows.where("split = 'base'")).transform(rows)
     return out.select("loan_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(M.IMPUTED)])
 
 
@@ -47,7 +48,8 @@ def _(spark, d):
     + " FROM imputed, st"))
 def _(spark, d):
     rows = I.split_clean(spark, d)
-    model = Pipeline(stages=[M.MedianImputer(NUM), M.PopulationScaler()]).fit(rows.where("split = 'base'"))
+    n = X.mature_loans(spark, d, []).count()
+    model = Pipeline(stages=[M.MedianImputer(NUM, rows=n), M.PopulationScaler()]).fit(rows.where("split = 'base'"))
     out = model.transform(rows)
     return out.select("loan_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(M.SCALED)])
 
@@ -78,9 +80,10 @@ def _(spark, d):
 
 
 def signal(spark, d):
-    """Planted-signal loans with their split."""
-    rows = X.loans_signal(spark, d)
-    return S.with_split(rows, "target", "loan_id")
+    """Planted-signal loans with their split, written once: training reads them many times."""
+    path = scratch_path(spark, "signal")
+    X.loans_signal(spark, d).write.parquet(path)
+    return S.with_split(spark.read.parquet(path), "target", "loan_id")
 
 
 @query("feature_vector")
