@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from creditspark.functions.semantics import sql_double, sql_text
 
 SMALL = 100_000        # rows that one task may rank
-EXACT_LIMIT = 1_000_000  # distinct values that one exact percentile may hold
+EXACT_LIMIT = 200_000  # distinct values that one exact percentile may hold, per column
 MAX_CLASSES = 1_000
 ACCURACY = 10_000
 

@@ -192,9 +192,9 @@ def local_document(
     label = F.when(F.col("perfil_tipo") == "high_risk", "Alto Riesgo").otherwise("Bajo Riesgo")
     raw_cols = [c for c in raw.columns if c != key]
     # two loans: both joins look them up by a two-row broadcast
-    explained = F.broadcast(pair).join(contrib.select(key, strongest().alias("factors")), key)
+    explained = F.broadcast(pair).join(contrib.select(key, "factors"), key)
     rows = (
-        F.broadcast(explained)
+        F.broadcast(explained.withColumn("factors", strongest()))
         .join(raw.select(key, F.struct(*raw_cols).alias("raw_features")), key)
         .select(
             "perfil_tipo",
