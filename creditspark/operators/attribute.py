@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +140,26 @@ def tree_contributions(
     return out.select(key, "base", zipped.alias("factors"))
 
 
+def model_contributions(
+    df: DataFrame, classifier, path: str, names: Sequence[str], key: str = "loan_id", features: str = "features"
+) -> DataFrame:
+    """Attribution of a fitted classifier's margin: exact for linear models, path-dependent for trees."""
+    if not hasattr(classifier, "coefficients"):
+        return tree_contributions(df, classifier, path, names, key, features)
+    mean = df.agg(Summarizer.mean(F.col(features)).alias("m")).first()["m"].toArray()
+    coef = classifier.coefficients.toArray()
+
+    def numbers(values) -> str:
+        return "array(" + ", ".join(map(sql_double, values)) + ")"
+
+    base = float(classifier.intercept + coef @ mean)
+    zipped = f"arrays_zip(array({', '.join(map(sql_text, names))}), x, {numbers(coef)}, {numbers(mean)})"
+    one = "struct(z['0'] AS feature, z['x'] AS value, z['2'] * (z['x'] - z['3']) AS contribution)"
+    return df.select(key, F.lit(base).alias("base"), vector_to_array(features).alias("x")).select(
+        key, "base", F.expr(f"transform({zipped}, z -> {one})").alias("factors")
+    )
+
+
 # --- reports on attributions ----------------------------------------------------
 
 

@@ -153,7 +153,10 @@ def compare(
 ) -> DataFrame:
     """All metrics per model (or per any grouping)."""
     metrics = classification_metrics(scored, threshold, by, prob, target).drop("tp", "fp", "fn", "tn")
-    return metrics.join(roc_auc(scored, by, prob, target), list(by))
+    names = [c for c in metrics.columns if c not in by]
+    # one row per group from either side; grouping keeps a NULL group, a join would not
+    both = metrics.unionByName(roc_auc(scored, by, prob, target), allowMissingColumns=True)
+    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in (*names, "roc_auc")])
 
 
 def total_exposure(df: DataFrame, amount: str = "importe_solicitado") -> DataFrame:

@@ -71,7 +71,7 @@ def train(
     scored = OUT.write_replace(
         T.score(best.model, test, best.threshold).select(key, "target", "prob", "decision", "features"), f"{db}.scored_test"
     )
-    contrib = A.tree_contributions(scored, best.classifier, scratch_path(spark, "trees"), best.names, key)
+    contrib = A.model_contributions(scored, best.classifier, scratch_path(spark, "trees"), best.names, key)
     contrib = OUT.write_replace(contrib, f"{db}.attributions")
     raw = C.select_present(test, C.MODEL_NUMERIC + C.MODEL_CATEGORICAL, [key])
     local = A.local_document(contrib, scored, raw, key)

@@ -146,9 +146,9 @@ def _(spark, d):
     )
 
 
-@query("save_model")
+@query("save_model", "SELECT o_orderkey AS loan_id, 'logistic' AS name, true AS same FROM orders")
 def _(spark, d):
-    """A logistic champion saved, loaded and used again on every loan."""
+    """A logistic champion saved, loaded and compared with the one in memory on every loan."""
     rows = signal(spark, d).drop("split")
     features = M.feature_pipeline(C.MODEL_NUMERIC, C.MODEL_CATEGORICAL).fit(rows)
     ready = TR.class_weights(features.transform(rows), 3.8)
@@ -156,9 +156,13 @@ def _(spark, d):
     slicer = VectorSlicer(inputCol="probability", outputCol=TR.SCORE, indices=[1])
     sigmoid = TR.platt(slicer.transform(base.transform(ready)))
     path = scratch_path(spark, "champion")
-    OUT.save_model(PipelineModel([features, base, slicer, sigmoid]), 0.21, path, "logistic")
+    kept = PipelineModel([features, base, slicer, sigmoid])
+    OUT.save_model(kept, 0.21, path, "logistic")
     model, threshold, name = OUT.load_model(spark, path)
-    return TR.score(model, rows, threshold).select("loan_id", F.lit(name).alias("name"), "prob", "decision")
+    a = TR.score(kept, rows, 0.21).select("loan_id", "prob", "decision")
+    b = TR.score(model, rows, threshold).select("loan_id", F.col("prob").alias("p"), F.col("decision").alias("d"))
+    same = (F.col("prob") == F.col("p")) & (F.col("decision") == F.col("d"))
+    return a.join(b, "loan_id").select("loan_id", F.lit(name).alias("name"), same.alias("same"))
 
 
 @query("quality_log_stream", Q.sql(Q.KPIS, """SELECT 'proyecto' AS gcp_project, run_id AS gcs_bucket,

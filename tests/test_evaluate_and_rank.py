@@ -72,6 +72,13 @@ def test_auc_of_scores_inside_one_fine_bucket_and_out_of_range(spark):
     assert E.roc_auc(df).first()[0] == pytest.approx(sum(pairs) / 9)
 
 
+def test_compare_keeps_a_null_group(spark):
+    rows = [(None, 1, 0.9), (None, 0, 0.1), ("a", 1, 0.2), ("a", 0, 0.6)]
+    df = spark.createDataFrame(rows, "g string, target int, prob double")
+    got = {r["g"]: (r["f1"], r["roc_auc"]) for r in E.compare(df, ["g"]).collect()}
+    assert got == {None: (1.0, 1.0), "a": (0.0, 0.0)}
+
+
 def test_metrics_undefined_is_zero(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.2)], "target int, prob double")
     r = E.classification_metrics(df, 0.5).first()

@@ -138,6 +138,23 @@ def test_linear_attribution_sums_to_the_score(spark, loans):
     assert (top["orden"], top["feature"]) == (1, "z")
 
 
+def test_linear_model_attribution_sums_to_its_margin(spark, loans):
+    model = M.feature_pipeline(["x", "z"], ["cat"]).fit(loans)
+    ready = T.class_weights(model.transform(loans), 2.0)
+    fitted = T.logistic({"iterations": 20}, "target", "features", T.weight_column(1.0)).fit(ready)
+    contrib = A.model_contributions(ready, fitted, "unused", M.feature_names(model))
+    total = F.col("base") + F.reduce("factors", F.lit(0.0), lambda a, f: a + f["contribution"])
+    margin = fitted.transform(ready).select("loan_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    assert contrib.join(margin, "loan_id").where(F.abs(total - F.col("margin")) > 1e-9).count() == 0
+    assert {f["feature"] for f in contrib.first()["factors"]} == set(M.feature_names(model))
+
+
+def test_too_many_categories_are_refused(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError, match="not a category"):
+        M.modes_of(df, ["c"], most=49)
+
+
 def test_training_calibration_and_saving(spark, loans):
     from creditspark.sources import sinks as OUT
 
