@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import bpe, exact, language, mixing, simhash, substrings, urls, vectors
+from creditspark.llm import bpe, exact, language, mixing, quality, simhash, substrings, urls, vectors
 from creditspark.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 4)
     judged = language.identify(docs, ~out, public_tokenizers.path("piece_bpe_32k.model"))
     return judged.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_quality_resampling")
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, table(spark, sf_dir, "labels"), columns=["doc_id"])
