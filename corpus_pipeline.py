@@ -1,6 +1,65 @@
-STAGES = []
+"""From raw documents to token ids: quality, exact and near duplicates, source mix, byte-pair encoding."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from creditspark.llm.bpe import decode, encode
+from creditspark.llm.exact import exact_duplicates
+from creditspark.llm.mixing import mixed
+from creditspark.llm.quality import resample
+from creditspark.llm.simhash import near_duplicates
+from creditspark.llm.text import materialise
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample takes; what counts as good is learned from the labels.
+
+    Rows without words compete with ratio 0; without labels everything stays.
+    """
+    kept = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept")
+    return kept.select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text the one with the largest identifier; null texts count as empty."""
+    return exact_duplicates(docs, keep="largest").where("kept").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints are linked the one with the smallest identifier; texts without words are one group."""
+    return near_duplicates(docs, shingle=3, distance=2, columns=docs.columns).where("kept").select(*docs.columns)
+
+
+def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it: not at all, once or twice."""
+    return mixed(docs)
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that they stand for; null and empty texts have none."""
+    coded = decode(encode(docs, TOKENIZER), TOKENIZER)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("mix", in_proportion),
+    ("bpe", as_tokens),
+]
+#: Hashed fingerprints, random rounding and byte-pair merges are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`; each is written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,6 +18,8 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, PRIOR = 1 << 17, 0.5
 #: Labelled rows that define the target at most; chosen by the hash of their identifier.
 FIT_ROWS = 200_000
+#: Share of the good documents left out of the target that may fall below the level.
+SPARE = 0.005
 REMEMBERED = 300_000
 #: Pairs of tokens are hashed by an odd multiple of the first and a rotation.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -98,35 +100,37 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep_share: float | None = None, seed: int = 11,
-    fit_rows: int = FIT_ROWS, buckets: int = BUCKETS, columns: Sequence[str] | None = None,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep_share: float | None = None, spare: float = SPARE,
+    seed: int = 11, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS, columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every row (all its columns, or those named) with `log_ratio`, `n_grams`, `gumbel_key` and `kept`.
 
     The target is the text of documents labelled good (`labels`: doc_id, quality 1,
     toxic 0), the raw text that of all documents. Both are bags of tokens and token pairs hashed into
     `buckets`; `log_ratio` is the sum over a text's n-grams of their log importance.
-    With a Gumbel number added, the largest keys are a sample without replacement
-    in proportion to importance. `keep_share` of all rows are kept; by default the
-    share of good quality among the labels.
+    With a Gumbel number added, the k largest keys are a sample without replacement
+    in proportion to importance.
 
-    Labels define the target for at most `fit_rows` documents, the smallest by hash; counts
+    k is `keep_share` of all rows, or else it is learned: a fifth of the good documents is
+    left out of the target, and k is the number of rows whose ratio reaches the level
+    that all but the share `spare` of these reach. Without such documents all rows stay.
+
+    Labels are read for at most `fit_rows` good documents, the smallest by hash; counts
     and scores cover all rows. Null and empty texts have no n-grams and ratio 0. The number
     depends on the identifier, so repeated rows share their fate, and rows that tie
     with the last one kept are kept too. Null labels and labels of unknown documents
-    count for nothing. Without good labels all ratios are 0; without any labels all
-    rows stay. An empty table gives an empty one; columns named like a result are replaced.
+    count for nothing. Without a target all ratios are 0. An empty table gives an
+    empty one; columns named like a result are replaced.
     """
-    made = ("log_ratio", "n_grams", "gumbel_key", "kept", "__scored")
+    made = ("log_ratio", "n_grams", "gumbel_key", "kept", "__scored", "__id")
     own = [F.col(f"`{c}`") for c in columns or docs.columns if c not in made]
-    given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
-    if keep_share is None:
-        keep_share = given.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-        keep_share = 1.0 if keep_share is None else keep_share
-    good = given.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("__good")).distinct()
+    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__good")).distinct()
+    good = materialise(good.orderBy(F.xxhash64("__good"), "__good").limit(fit_rows), "good")
+    aside = F.pmod(F.xxhash64("__good", F.lit(seed)), F.lit(5)) == 0
     # at most fit_rows numbers, so they may be broadcast
-    good = F.broadcast(good.orderBy(F.xxhash64("__good"), "__good").limit(fit_rows))
-    marked = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text")).join(good, F.col("__key") == F.col("__good"), "left")
+    marked = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text")).join(
+        F.broadcast(good.where(~aside)), F.col("__key") == F.col("__good"), "left",
+    )
     ratios = docs.sparkSession.sparkContext.broadcast(
         log_ratios(marked.select("text", F.col("__good").isNotNull().alias("target")), buckets).astype(np.float64),
     )
@@ -135,15 +139,24 @@ def resample(
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, table = TokenHashes(), ratios.value
         for b in batches:
-            found = [buckets_of(t.as_py(), known, buckets) for t in b]
-            yield pa.StructArray.from_arrays(
-                [pa.array([float(table[f].sum()) for f in found], pa.float64()), pa.array(list(map(len, found)), pa.int64())], names=["log_ratio", "n_grams"],
-            )
+            sums, sizes = [], []
+            for t in b:
+                found = buckets_of(t.as_py(), known, buckets)
+                sums.append(float(table[found].sum()))
+                sizes.append(len(found))
+            yield pa.StructArray.from_arrays([pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=["log_ratio", "n_grams"])
 
     noise = gumbel(F.coalesce(F.col("__id").cast("string"), F.lit("")), seed)
     rows = docs.select(*own, F.col(f"`{key}`").alias("__id"), scored(F.col(f"`{text}`")).alias("__scored")).select(
         *own, "__id", F.col("__scored.log_ratio").alias("log_ratio"), F.col("__scored.n_grams").alias("n_grams"),
     )
-    rows = materialise(rows.withColumn("gumbel_key", F.col("log_ratio") + noise).drop("__id"), "importance")
-    cut = kth_largest(rows, "gumbel_key", round(keep_share * rows.count()))
-    return rows.withColumn("kept", F.lit(False) if cut is None else F.col("gumbel_key") >= F.lit(cut))
+    rows = materialise(rows.withColumn("gumbel_key", F.col("log_ratio") + noise), "importance")
+    if keep_share is not None:
+        k = round(keep_share * rows.count())
+    else:
+        known_good = rows.join(F.broadcast(good.where(aside)), F.col("__id") == F.col("__good")).select("log_ratio")
+        n = known_good.count()
+        level = kth_largest(known_good, "log_ratio", n - int(spare * n))
+        k = rows.count() if level is None else rows.where(F.col("log_ratio") >= F.lit(level)).count()
+    cut = kth_largest(rows, "gumbel_key", k)
+    return rows.drop("__id").withColumn("kept", F.lit(False) if cut is None else F.col("gumbel_key") >= F.lit(cut))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -117,21 +118,31 @@ def near_links(marks: DataFrame, distance: int) -> DataFrame:
     return map_batches(postings, links, "a string, b string")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's `doc_id` (under its own name), `fingerprint` and `component_id`.
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text", columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Every row (its identifier, or the columns named) with `fingerprint`, `component_id` and `kept`.
 
     Fingerprints at `distance` bits or fewer are linked, and a component holds all that
-    links reach; its id is the smallest identifier in it. Texts without words (null,
-    empty, blank) have fingerprint zero and are linked like any other. Rows of equal
-    fingerprint are one node, so copies cost one row each. Null identifiers get
-    an id unless their whole component has none. Repeated rows are given
-    again; an empty table gives an empty one; other columns are not carried.
+    links reach; its id is the smallest identifier in it, and the row that bears
+    it is kept. Texts without words (null, empty, blank) have fingerprint zero and are
+    linked like any other. Rows of equal fingerprint are one node, so copies cost one row
+    each. A component of null identifiers alone has a null id. Of rows that share
+    an identifier the one with the smallest hash of its text is kept; rows equal in
+    both share their fate. An empty table gives an empty one; columns named like
+    a result are replaced.
     """
-    marked = with_fingerprint(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text")), shingle, "__text")
-    marked = materialise(marked.select(key, "fingerprint"), "fingerprints")
-    nodes = marked.groupBy("fingerprint").agg(F.min(key).alias("__first"))
+    made = ("fingerprint", "component_id", "kept")
+    own = [F.col(f"`{c}`") for c in columns or [key] if c not in made]
+    id_ = F.col(f"`{key}`")
+    order = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text")).alias("__order")
+    marked = with_fingerprint(docs.select(*own, order, F.col(f"`{text}`").alias("__text")), shingle, "__text")
+    marked = materialise(marked.drop("__text"), "fingerprints")
+    nodes = marked.groupBy("fingerprint").agg(F.min("__order").alias("__first"))
     reached = components(near_links(nodes.select("fingerprint"), distance)).withColumnRenamed("node", "fingerprint")
     rooted = nodes.join(reached, "fingerprint", "left").select("fingerprint", "__first", F.coalesce("root", "fingerprint").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("__first").alias("component_id"))
-    of = materialise(rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id"), "components")
-    return marked.join(of, "fingerprint").select(key, "fingerprint", "component_id")
+    named = rooted.groupBy("root").agg(F.min("__first").alias("__best"))
+    of = materialise(rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "__best"), "components")
+    return marked.join(of, "fingerprint").select(
+        *own, "fingerprint", F.col("__best.id").alias("component_id"), F.col("__order").eqNullSafe(F.col("__best")).alias("kept"),
+    )

@@ -17,7 +17,7 @@ def corpus():
     good = lambda: " ".join(random.choice(["the", "and", "sea", "is", "calm"]) for _ in range(random.randint(5, 60)))
     bad = lambda: " ".join(random.choice(["BUY!!", "NOW!!", "$$$", "|", "the"]) for _ in range(random.randint(5, 60)))
     rows = [(i, bad() if i % 5 == 0 else good()) for i in range(400)]
-    labels = [(i, int(i % 5 != 0), 0) for i in range(0, 400, 2)] + [(None, 1, 0), (7, None, None), (99_999, 1, 0), (11, 1, 1)]
+    labels = [(i, int(i % 5 != 0), 0) for i in range(0, 400)] + [(None, 1, 0), (7, None, None), (99_999, 1, 0), (11, 1, 1)]
     return rows, labels
 
 
@@ -36,16 +36,20 @@ def test_ratios_equal_plain_counts_and_bad_texts_go(spark):
     rows += [(1000, None), (1001, ""), (1002, "the sea " * 20_000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
     got = resample(df, spark.createDataFrame(labels, LABELS), buckets=256).collect()
-    good = {i for i, q, x in labels if q == 1 and not x}
+    numbers = spark.createDataFrame([(i,) for i, q, x in labels if q == 1 and not x and i is not None], "i long")
+    aside = {r.i for r in numbers.where(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(5)) == 0).collect()}
+    good = {r.i for r in numbers.collect()} - aside
     want = plain_ratio(rows, good, 256)
     assert len(got) == len(rows)
     for r in got:
         assert r.log_ratio == pytest.approx(want[r.doc_id], rel=1e-9, abs=1e-9)
-    share = np.mean([q for i, q, _ in labels if q is not None and i is not None])
     kept = {r.doc_id for r in got if r.kept}
-    assert len(kept) == round(share * len(rows))
+    level = min(want[i] for i in aside & want.keys())
+    assert len(kept) == sum(r.log_ratio >= level - 1e-9 for r in got)
     assert {r.doc_id for r in sorted(got, key=lambda r: -r.gumbel_key)[: len(kept)]} == kept
-    assert sum(i % 5 == 0 for i in kept if i < 400) <= 4
+    assert sum(i % 5 == 0 for i in kept if i < 400) <= 6
+    half = resample(df, spark.createDataFrame(labels, LABELS), buckets=256, keep_share=0.5).where("kept").count()
+    assert half == round(0.5 * len(rows))
 
 
 def test_noise_is_gumbel(spark):
@@ -69,4 +73,5 @@ def test_odd_tables(spark):
     same = spark.createDataFrame([(5, "a b"), (5, "a b"), (None, None)], "doc_id long, text string")
     assert [r.kept for r in resample(same, none).collect()] == [True] * 3
     rows = resample(same, spark.createDataFrame([(5, 0, 0)], LABELS)).collect()
-    assert [(r.kept, r.log_ratio) for r in rows] == [(False, 0.0)] * 3
+    assert [(r.kept, r.log_ratio) for r in rows] == [(True, 0.0)] * 3
+    assert not resample(same, none, keep_share=0.0).where("kept").count()
