@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import bpe, exact, language, mixing, quality, simhash, substrings, urls, vectors
+from creditspark.llm import bpe, exact, language, lm, mixing, quality, simhash, substrings, urls, vectors
 from creditspark.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.resample(docs, table(spark, sf_dir, "labels"), columns=["doc_id"])
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 7)
+    scored = lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~out, group="lang")
+    return scored.withColumn("held_out", out)
