@@ -17,6 +17,17 @@ EAD_SHARE, LGD = 0.75, 0.45
 COARSE, FINE = 2**12, 2**24
 
 
+def judged(scored: DataFrame, prob: str = "prob", target: str = "target") -> DataFrame:
+    """Rows that a metric can judge: score and target are known. Every metric below starts from these alone."""
+    return scored.where(F.col(prob).isNotNull() & F.col(target).isNotNull())
+
+
+def left_out(scored: DataFrame, by: Sequence[str] = (), prob: str = "prob", target: str = "target") -> DataFrame:
+    """Rows per group, and how many of them the metrics leave out."""
+    unknown = F.col(prob).isNull() | F.col(target).isNull()
+    return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("filas"), F.count_if(unknown).alias("sin_juzgar"))
+
+
 def threshold_at(i: Column) -> Column:
     return (i + 5) / F.lit(100.0)
 
@@ -35,7 +46,7 @@ def threshold_table(
 ) -> DataFrame:
     """F1 at every threshold: one count per reached threshold, then sums over 92 cells."""
     by = list(by)
-    cells = scored.groupBy(*by, thresholds_reached(F.col(prob)).alias("__b")).agg(
+    cells = judged(scored, prob, target).groupBy(*by, thresholds_reached(F.col(prob)).alias("__b")).agg(
         F.count_if(F.col(target) == 1).alias("__pos"), F.count_if(F.col(target) == 0).alias("__neg")
     )
     zero = F.expr("struct(0L AS __pos, 0L AS __neg)")
@@ -85,7 +96,7 @@ def classification_metrics(
     """accuracy, precision, recall, f1 of `prob >= threshold`; undefined is 0."""
     cut = F.lit(threshold) if isinstance(threshold, (int, float)) else as_column(threshold)
     said, is_pos = F.col(prob) >= cut, F.col(target) == 1
-    counts = scored.groupBy(*by).agg(
+    counts = judged(scored, prob, target).groupBy(*by).agg(
         F.count_if(said & is_pos).alias("tp"),
         F.count_if(said & ~is_pos).alias("fp"),
         F.count_if(~said & is_pos).alias("fn"),
@@ -111,14 +122,16 @@ def roc_auc(
     level where its scores differ: 4,096 coarse buckets, 4,096 fine buckets in
     each, or distinct scores inside a fine bucket. Each level is a running sum
     over its own small groups, and the three partial pair counts simply add up.
+    Scores outside [0, 1], margins for instance, have buckets of their own on both sides.
     """
     by = list(by)
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__s")))
+    s = F.col("__s")
+    placed = F.when(s < 0, s / (1 - s)).when(s > 1, 2 - 1 / s).otherwise(s)
     scores = (
-        scored.groupBy(*by, F.col(prob).alias("__s"))
+        judged(scored, prob, target).groupBy(*by, F.col(prob).alias("__s"))
         .agg(F.count_if(F.col(target) == 1).alias("__pos"), F.count_if(F.col(target) == 0).alias("__neg"))
         .withColumns({
-            "__coarse": F.floor(clamped * COARSE).cast("int"), "__fine": F.floor(clamped * FINE).cast("int"),
+            "__coarse": F.floor(placed * COARSE).cast("int"), "__fine": F.floor(placed * FINE).cast("int"),
         })
     )
     sums = [F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from creditspark.operators.drift import PSI_LIMIT
 from creditspark.operators.profile import missing_columns
-from creditspark.operators.reshape import model_exists
+from creditspark.operators.reshape import model_exists, with_default
 
 # --- fixed values -----------------------------------------------------------
 REQUIRED_COLUMNS = ["target", "importe_solicitado", "ingresos_anuales"]
@@ -42,7 +42,11 @@ def gate_schema(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> Da
 
 
 def gate_performance(kpis: DataFrame, minima=MINIMA) -> DataFrame:
-    """Champion percentages reach their minima; the message lists the ones that do not."""
+    """Champion percentages reach their minima; the message lists the ones that do not. Without a KPI row the gate fails."""
+    nothing = kpis.sparkSession.range(1).select(
+        *[F.lit(None).cast(kpis.schema[c].dataType).alias(c) for c in minima], F.lit(False).alias("__known"),
+    )
+    kpis = with_default(kpis.select(*minima, F.lit(True).alias("__known")), nothing)
     failures = [
         F.when(
             F.col(c).isNull() | (F.col(c) < limit),
@@ -52,8 +56,8 @@ def gate_performance(kpis: DataFrame, minima=MINIMA) -> DataFrame:
     ]
     text = F.concat_ws(", ", *failures)
     return _row(
-        kpis, TESTS[1], text == "", "Umbrales de rendimiento cumplidos.",
-        F.concat(F.lit("Incumplimiento de umbral: "), text),
+        kpis, TESTS[1], F.col("__known") & (text == ""), "Umbrales de rendimiento cumplidos.",
+        F.when(F.col("__known"), F.concat(F.lit("Incumplimiento de umbral: "), text)).otherwise("Sin métricas del campeón."),
     )
 
 
@@ -72,11 +76,13 @@ def gate_drift(psi: DataFrame, limit: float = PSI_LIMIT) -> DataFrame:
 
 
 def gate_model(champion: DataFrame, models: DataFrame, name: str = "name") -> DataFrame:
-    """The champion's display name is in the model list."""
-    seen = model_exists(champion, models, name)
+    """The champion's display name is in the model list. Without a champion the gate fails."""
+    nobody = champion.sparkSession.range(1).select(F.lit(None).cast("string").alias(name))
+    seen = model_exists(with_default(champion.select(F.col(name).cast("string").alias(name)), nobody), models, name)
     return _row(
-        seen, TESTS[3], F.col("found"), F.concat(F.lit("Modelo "), F.col("display_name"), F.lit(" localizado.")),
-        F.concat(F.lit("No se encontró el modelo '"), F.col("display_name"), F.lit("'.")),
+        seen, TESTS[3], F.col("found") & F.col("display_name").isNotNull(),
+        F.concat(F.lit("Modelo "), F.col("display_name"), F.lit(" localizado.")),
+        F.coalesce(F.concat(F.lit("No se encontró el modelo '"), F.col("display_name"), F.lit("'.")), F.lit("No hay campeón.")),
     )
 
 
@@ -110,10 +116,14 @@ def all_gates(gates: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, gates)
 
 
-def gate_rollup(gates: DataFrame) -> DataFrame:
-    """All passed, and whether to retrain: only a drift breach asks for it."""
+def gate_rollup(gates: DataFrame, expected: Sequence[str] = TESTS) -> DataFrame:
+    """All passed, and whether to retrain: only a drift breach asks for it. An expected test without a row has failed."""
+    absent = F.size(F.array_except(F.array(*map(F.lit, expected)), F.collect_set("test")))
     return gates.agg(
-        F.coalesce(F.bool_and("passed"), F.lit(False)).alias("all_passed"),
+        F.coalesce(F.bool_and("passed"), F.lit(False)).alias("__passed"),
         F.coalesce(F.bool_or("drift"), F.lit(False)).alias("retrain"),
-        F.count_if(~F.col("passed")).alias("failed"),
+        F.count_if(~F.col("passed")).alias("__failed"), absent.cast("long").alias("__absent"),
+    ).select(
+        (F.col("__passed") & (F.col("__absent") == 0)).alias("all_passed"), "retrain",
+        (F.col("__failed") + F.col("__absent")).alias("failed"),
     )

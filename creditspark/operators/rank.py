@@ -15,7 +15,6 @@ TOP_FEATURES, TOP_FACTORS = 12, 6
 HISTORY_ROWS, HISTORY_MIN = 7, 2
 # -----------------------------------------------------------------------------
 RUN_METRICS = ("f1", "roc_auc", "accuracy", "recall", "precision")
-RUNS_IN_ONE_TRAINING = 10_000
 
 
 def head(df: DataFrame, n: int, order: Sequence[str | Column] = ()) -> DataFrame:
@@ -61,14 +60,19 @@ def _first(df: DataFrame, order: Column, group: Sequence[Column | str] = ()) ->
     return df.groupBy(*group).agg(picked).where("w is not null").select("w.*")
 
 
+def _highest(metric: str, name: str) -> Column:
+    """Order with the highest metric first; an unknown metric loses to every known one."""
+    return F.struct(F.col(metric).isNull(), -F.col(metric), F.col(name))
+
+
 def best_run(runs: DataFrame, f1: str = "f1", name: str = "run_name") -> DataFrame:
     """Run with the highest F1; equal F1 goes by name."""
-    return _first(runs, F.struct(-F.col(f1), F.col(name)))
+    return _first(runs, _highest(f1, name))
 
 
 def best_per_family(runs: DataFrame, f1: str = "f1", name: str = "run_name") -> DataFrame:
     """Best run of each booster family, metrics at 3 digits."""
-    best = _first(runs, F.struct(-F.col(f1), F.col(name)), [model_family(name)])
+    best = _first(runs, _highest(f1, name), [model_family(name)])
     shown = [c for c in ("f1", "roc_auc", "accuracy", "recall") if c in best.columns]
     return best.select(model_family(name).alias("name"), *[F.round(c, 3).alias(c) for c in shown])
 
@@ -76,10 +80,10 @@ def best_per_family(runs: DataFrame, f1: str = "f1", name: str = "run_name") ->
 def champion(
     runs: DataFrame, f1: str = "f1", auc: str = "roc_auc", name: str = "name", tol: float = TIE
 ) -> DataFrame:
-    """Highest F1; among F1 within `tol` of it the highest AUC, then the name."""
+    """Highest F1; among F1 within `tol` of it the highest AUC, then the name. Runs without an F1 cannot win."""
     top = runs.agg(F.max(f1)).scalar()
     near = runs.where(F.col(f1) > top - F.lit(tol))
-    return _first(near, F.struct(-F.col(auc), F.col(name)))
+    return _first(near, _highest(auc, name))
 
 
 def champion_in_order(
@@ -88,11 +92,9 @@ def champion_in_order(
     """The running choice over the candidates of one training, in training order.
 
     A later run wins with a higher F1, or with an F1 closer than `tol` and a
-    higher AUC. The answer depends on the order, so the runs are folded as one
-    array; a log too long for one training uses the order-free `champion`.
+    higher AUC; an unknown F1 or AUC is below every known one. The answer depends on
+    the order, so the log of the training, a few numbers per run, is folded as one array.
     """
-    if runs.limit(RUNS_IN_ONE_TRAINING + 1).count() > RUNS_IN_ONE_TRAINING:
-        return champion(runs, f1, auc, name, tol)
     names = runs.columns
     item = F.struct(F.col(order).alias("o"), F.struct(*names).alias("run"))
     by_order = F.array_sort(
@@ -102,21 +104,22 @@ def champion_in_order(
 
     def step(best: Column, cur: Column) -> Column:
         run = cur["run"]
-        better = run[f1] > best[f1]
-        tie = (F.abs(run[f1] - best[f1]) < tol) & (run[auc] > best[auc])
+        above = lambda c: (run[c] > best[c]) | (run[c].isNotNull() & best[c].isNull())
+        better = above(f1)
+        tie = (F.abs(run[f1] - best[f1]) < tol) & above(auc)
         return F.when(better | tie, run).otherwise(best)
 
     return (
         log.where(F.size("log") > 0)
-        .select(F.reduce(F.slice("log", 2, RUNS_IN_ONE_TRAINING), F.col("log")[0]["run"], step).alias("w"))
+        .select(F.reduce(F.slice("log", F.lit(2), F.size("log")), F.col("log")[0]["run"], step).alias("w"))
         .select("w.*")
     )
 
 
 def extremes(scored: DataFrame, prob: str = "prob", key: str = "loan_id") -> DataFrame:
-    """The loans with the highest and the lowest probability; smallest key on ties."""
+    """The loans with the highest and the lowest probability; smallest key on ties. Unknown probabilities are neither."""
     row = F.struct(*scored.columns)
-    picked = scored.agg(
+    picked = scored.where(F.col(prob).isNotNull()).agg(
         F.min_by(row, F.struct(-F.col(prob), F.col(key))).alias("high_risk"),
         F.min_by(row, F.struct(F.col(prob), F.col(key))).alias("low_risk"),
     )

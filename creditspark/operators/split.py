@@ -143,29 +143,19 @@ def chrono_split(
 
 
 def kfold(
-    df: DataFrame, y: str, folds: int, key: str, seed: int | str = SEED, fold_col: str = "fold",
-    bucket_rows: int = BUCKET_ROWS,
+    df: DataFrame, y: str, folds: int, key: Key, seed: int | str = SEED, fold_col: str = "fold", small: int = SMALL
 ) -> DataFrame:
-    """Fold number: the rank of a row in its class, in hash order, modulo `folds`.
+    """Fold number: which n-th part of its class a row belongs to, in hash order.
 
-    The rank is the rows of earlier hash buckets plus the rank inside the
-    bucket. The bucket width follows the row count, so a window sorts about
-    `bucket_rows` rows however large the table is.
+    The parts are found as cuts of the order and tested row by row: no join, window
+    or shuffle. Fold sizes of a class differ by one row at most, and copies
+    of a key share a fold.
     """
-    rows = df.count()
-    width = max(1, math.ceil(math.log(max(rows / bucket_rows, 1.0), 16)))
-    marked = df.withColumn("__t", order_text(key, seed)).withColumn("__b", F.substring("__t", 1, width))
-    earlier = Window.partitionBy(y).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy(y, "__b")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .select(F.col(y).alias("__y"), F.col("__b").alias("__ob"), "__before")
-    )
-    inside = F.row_number().over(Window.partitionBy(y, "__b").orderBy("__t"))
-    return (
-        marked.withColumn("__r", inside)
-        .join(offsets, F.col(y).eqNullSafe(F.col("__y")) & (F.col("__b") == F.col("__ob")))
-        .withColumn(fold_col, ((F.col("__before") + F.col("__r") - 1) % folds).cast("int"))
-        .drop("__t", "__b", "__r", "__y", "__ob", "__before")
-    )
+    text, fold = order_text(key, seed), F.lit(0)
+    for part in range(1, folds):
+        later = F.lit(False)
+        for c, cut in _cut_of_hash(df, text, lambda counts, i=part: {c: n * i // folds for c, n in counts.items()}, y, small).items():
+            same = F.col(y).isNull() if c is None else F.col(y) == F.lit(c)
+            later = F.when(same, ~_takes(cut, text)).otherwise(later)
+        fold = fold + later.cast("int")
+    return df.withColumn(fold_col, fold)

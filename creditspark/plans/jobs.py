@@ -26,6 +26,7 @@ from creditspark.sources import sinks as OUT
 from creditspark.sources.scratch import scratch_path
 
 RAW_TABLE, CLEAN_TABLE = "loans_raw", "loans_clean"
+CHOSEN = "elegido"
 
 
 def clean_and_profile(raw: DataFrame, db: str, key: str, fraction: float = 1.0) -> DataFrame:
@@ -63,10 +64,11 @@ def train(
     spark = clean.sparkSession
     rows = S.with_split(C.ensure_target(clean), "target", key)
     trained = T.train_candidates(rows, C.MODEL_NUMERIC, C.MODEL_CATEGORICAL, key, candidates, search_draws=search_draws)
-    log = OUT.write_replace(T.run_log(spark, trained), f"{db}.run_log")
+    log = T.run_log(spark, trained)
     name = R.champion_in_order(log, "position").first()["name"]
+    log = OUT.write_replace(log.withColumn(CHOSEN, F.col("name") == name), f"{db}.run_log")
     best = next(t for t in trained if t.name == name)
-    OUT.save_model(best.model, best.threshold, model_path, name)
+    OUT.save_model(best.model, best.threshold, model_path, name, spark)
     test = rows.where("split = 'test'")
     scored = OUT.write_replace(
         T.score(best.model, test, best.threshold).select(key, "target", "prob", "decision", "features"), f"{db}.scored_test"
@@ -85,11 +87,12 @@ def consolidate(
 ) -> None:
     """Governance tables from a run log (name and metrics per run), the loans and an attribution document.
 
-    `latency` and `error_rate` are what the caller measured of its own run.
+    The champion is the run that the training has marked as chosen, whose model it saved; a log without
+    marks goes by `rank.champion`. `latency` and `error_rate` are what the caller measured of its own run.
     """
     spark = clean.sparkSession
     OUT.ensure_tables(spark, db)
-    champ = R.champion(log)
+    champ = log.where(CHOSEN) if CHOSEN in log.columns else R.champion(log)
     measured = {
         "run_id": F.concat(F.lit("run_"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmss")),
         "pipeline_latency": F.lit(latency).cast("long"),
@@ -163,8 +166,13 @@ def report(spark: SparkSession, db: str) -> DataFrame:
     })
 
 
-def quality_check(spark: SparkSession, db: str, document: DataFrame, models: DataFrame) -> DataFrame:
-    """The six gates over the clean table, the governance tables and the report."""
+def quality_check(
+    spark: SparkSession, db: str, document: DataFrame, models: DataFrame | None = None, model_path: str = "",
+) -> DataFrame:
+    """The six gates over the clean table, the governance tables and the report.
+
+    Without a list of models the fourth gate looks for the model saved at `model_path`.
+    """
     last = R.latest(spark.table(f"{db}.t_modelo_campeon_kpis"), "fecha_registro")
     champion = last.select(F.col("model_name").alias("name"))
     sections = document.select(
@@ -174,7 +182,7 @@ def quality_check(spark: SparkSession, db: str, document: DataFrame, models: Dat
         G.gate_schema(spark.table(f"{db}.{CLEAN_TABLE}")),
         G.gate_performance(last),
         G.gate_drift(spark.table(f"{db}.t_modelo_data_drift_psi")),
-        G.gate_model(champion, models),
+        G.gate_model_path(spark, OUT.model_saved(spark, model_path), model_path) if models is None else G.gate_model(champion, models),
         G.gate_attribution(sections),
         G.gate_eda(sections),
     ])

@@ -270,7 +270,8 @@ def _(spark, d):
 
 
 @query("kfold_column", Q.sql(Q.MATURE, f"""SELECT loan_id, target,
-  CAST((row_number() OVER (PARTITION BY target ORDER BY {Q.hash_order()}) - 1) % 3 AS INT) AS fold FROM mature"""))
+  CAST(r > n // 3 AS INT) + CAST(r > n * 2 // 3 AS INT) AS fold FROM (SELECT *, count(*) OVER (PARTITION BY target) AS n,
+  row_number() OVER (PARTITION BY target ORDER BY {Q.hash_order()}) AS r FROM mature)"""))
 def _(spark, d):
     rows = X.mature_loans(spark, d, ["loan_id"]).select("loan_id", "target")
     return P.kfold(rows, "target", 3, "loan_id")

@@ -53,6 +53,26 @@ def _(spark, d):
     return loans_through_csv(spark, d).withColumn("plazo_prestamo", F.trim("plazo_prestamo"))
 
 
+@query("read_loans_csv_mixed", Q.sql(Q.LOANS, LOAN_SQL + " WHERE loan_id % 2 = 0 OR loan_id % 3 = 0"))
+def _(spark, d):
+    """Files whose headers name the columns in different orders."""
+    path = scratch_path(spark, "loans-csv")
+    rows = X.loans(spark, d).withColumn("fecha_emision", F.date_format("fecha_emision", "yyyy-MM-dd"))
+    options = {"sep": ";", "header": True, "encoding": "UTF-8"}
+    rows.where("loan_id % 2 = 0").write.csv(f"{path}/par", **options)
+    rows.where("loan_id % 2 <> 0 AND loan_id % 3 = 0").select(*reversed(rows.columns)).write.csv(f"{path}/impar", **options)
+    back = IN.read_loans_csv(spark, f"{path}/*")
+    return back.withColumn("loan_id", F.col("loan_id").cast("long")).withColumn("plazo_prestamo", F.trim("plazo_prestamo"))
+
+
+@query("broken_lines", Q.sql(Q.LOANS, "SELECT count(*) AS lineas, CAST(0 AS BIGINT) AS rotas FROM loans"))
+def _(spark, d):
+    path = scratch_path(spark, "loans-csv")
+    rows = X.loans(spark, d).withColumn("fecha_emision", F.date_format("fecha_emision", "yyyy-MM-dd"))
+    rows.write.csv(path, sep=";", header=True, encoding="UTF-8")
+    return IN.broken_lines(spark, path)
+
+
 @query("write_replace", Q.sql(Q.MATURE, "SELECT loan_id, target, importe_solicitado FROM mature"))
 def _(spark, d):
     name = f"{database(spark)}.loans_clean"
@@ -73,11 +93,11 @@ def _(spark, d):
 
 
 @query("append_rows", Q.sql(Q.KPIS, """SELECT run_id, model_name, accuracy, precision, recall, f1_score, roc_auc, pipeline_latency,
-  pipeline_error_rate, true AS stamped FROM kpis WHERE roc_auc IS NOT NULL"""))
+  pipeline_error_rate, true AS stamped FROM kpis"""))
 def _(spark, d):
     db = database(spark)
     OUT.ensure_tables(spark, db)
-    rows = I.kpis(spark, d).drop("fecha_registro").where("roc_auc IS NOT NULL")
+    rows = I.kpis(spark, d).drop("fecha_registro")
     OUT.append_rows(rows.where("run_id <= 'run_23970'"), db, "t_modelo_campeon_kpis")
     OUT.append_rows(rows.where("run_id > 'run_23970'"), db, "t_modelo_campeon_kpis")
     back = spark.table(f"{db}.t_modelo_campeon_kpis")

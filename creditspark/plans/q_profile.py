@@ -192,7 +192,7 @@ def _(spark, d):
 
 SWEEP = Q.SCORED + f""", grid AS (SELECT (5 + i) / 100e0 AS t FROM range(91) AS r(i)), cells AS (
 SELECT model_name, prob, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target = 0) AS neg
-FROM scored GROUP BY model_name, prob), swept AS (
+FROM scored WHERE prob IS NOT NULL GROUP BY model_name, prob), swept AS (
 SELECT c.model_name, t, {Q.ratio('2 * sum(CASE WHEN prob >= t THEN pos ELSE 0 END)',
     'sum(CASE WHEN prob >= t THEN pos + neg ELSE 0 END) + sum(pos)')} AS f1
 FROM cells c, grid GROUP BY c.model_name, t)"""
@@ -209,6 +209,12 @@ def _(spark, d):
     return E.threshold_sweep(X.scored(spark, d), ["model_name"])
 
 
+@query("left_out", Q.sql(Q.SCORED, """SELECT model_name, count(*) AS filas, count(*) FILTER (prob IS NULL) AS sin_juzgar
+  FROM scored GROUP BY model_name"""))
+def _(spark, d):
+    return E.left_out(X.scored(spark, d), ["model_name"])
+
+
 @query("confusion_metrics", Q.sql(Q.SCORED + Q.metrics("scored", "model_name", "0.3e0", "m"), "SELECT * FROM m"))
 def _(spark, d):
     return E.classification_metrics(X.scored(spark, d), 0.3, ["model_name"])

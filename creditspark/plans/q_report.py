@@ -119,9 +119,9 @@ def _(spark, d):
     return R.top_per(rows, ["grado_riesgo"], F.col("importe_solicitado"), 6, ["loan_id"])
 
 
-EXTREMES = """, pair AS (SELECT 'high_risk' AS perfil_tipo, * FROM (SELECT loan_id, prob FROM scored WHERE model_name = 'CatBoost'
+EXTREMES = """, pair AS (SELECT 'high_risk' AS perfil_tipo, * FROM (SELECT loan_id, prob FROM scored WHERE model_name = 'CatBoost' AND prob IS NOT NULL
   ORDER BY prob DESC, loan_id LIMIT 1) UNION ALL SELECT 'low_risk', * FROM (SELECT loan_id, prob FROM scored
-  WHERE model_name = 'CatBoost' ORDER BY prob, loan_id LIMIT 1))"""
+  WHERE model_name = 'CatBoost' AND prob IS NOT NULL ORDER BY prob, loan_id LIMIT 1))"""
 
 
 @query("extreme_loans", Q.sql(Q.SCORED + EXTREMES, "SELECT * FROM pair"))
@@ -248,13 +248,35 @@ def _(spark, d):
     return _gate_model(spark, d)
 
 
+@query("gate_performance_empty", Q.sql(Q.KPIS, """SELECT 'Test 2' AS test, false AS passed, 'Fail: Sin métricas del campeón.' AS message,
+  false AS drift WHERE (SELECT count(*) FROM kpis WHERE fecha_registro > TIMESTAMP '2100-01-01') = 0"""))
+def _(spark, d):
+    return G.gate_performance(I.kpis(spark, d).where("fecha_registro > timestamp_ntz '2100-01-01'"))
+
+
+@query("gate_model_absent", Q.sql(Q.COMPARISON + CHAMPION, """SELECT 'Test 4' AS test, false AS passed,
+  'Fail: No se encontró el modelo ''Champion_' || name || '_MVP_Balanced''.' AS message, false AS drift FROM champ
+  UNION ALL SELECT 'Test 4', false, 'Fail: No hay campeón.', false"""))
+def _(spark, d):
+    compared = I.comparison(spark, d)
+    best = R.champion(compared)
+    others = compared.join(best.select("name"), "name", "left_anti").select(H.display_name(F.col("name")).alias("display_name"))
+    return G.gate_model(best, others).union(G.gate_model(R.champion(compared.where("f1 > 2")), others))
+
+
+@query("gate_rollup_absent", Q.sql(Q.MATURE, f"""SELECT false AS all_passed, false AS retrain,
+  CAST(count(*) FILTER (NOT passed) + 5 AS BIGINT) AS failed FROM ({GATE1})"""))
+def _(spark, d):
+    return G.gate_rollup(G.gate_schema(X.clean_loans(spark, d)))
+
+
 def _rollup(spark, d, drifted: bool):
     kpis = H.as_percent(R.champion(I.comparison(spark, d)))
     gates = [
         G.gate_schema(X.clean_loans(spark, d)), G.gate_performance(kpis), G.gate_drift(I.psi_table(spark, d, drifted)),
         _gate_model(spark, d),
     ]
-    return G.gate_rollup(G.all_gates(gates))
+    return G.gate_rollup(G.all_gates(gates), G.TESTS[:4])
 
 
 # the champion comes from the undrifted loans, the PSI from either table

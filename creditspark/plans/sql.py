@@ -86,7 +86,7 @@ SELECT *, CAST(grado_riesgo_num * 10 + (loan_id * 7919) % 100 >= 120 AS INT) AS
 
 SCORED = MATURE + """, scored AS (
 SELECT m.*, k.name AS model_name,
-  CAST((loan_id * (7919 + 2 * k.k)) % 1000 + 250 * target AS DOUBLE) / 1250e0 AS prob
+  CASE WHEN loan_id % 89 <> 5 THEN CAST((loan_id * (7919 + 2 * k.k)) % 1000 + 250 * target AS DOUBLE) / 1250e0 END AS prob
 FROM mature m, (VALUES (0, 'CatBoost'), (1, 'LightGBM'), (2, 'XGBoost')) AS k(k, name))"""
 
 
@@ -102,7 +102,7 @@ def auc(source: str, by: str, out: str) -> str:
     """CTE with the exact AUC per group."""
     return f""", {out}_s AS (
 SELECT {by}, prob, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target = 0) AS neg
-FROM {source} GROUP BY {by}, prob), {out}_w AS (
+FROM {source} WHERE prob IS NOT NULL GROUP BY {by}, prob), {out}_w AS (
 SELECT *, coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY prob
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {out}_s), {out} AS (
 SELECT {by}, CAST(sum(pos * (2 * below + neg)) AS DOUBLE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,19 +12,42 @@ from creditspark.functions.semantics import frame_nan_to_null
 from creditspark.sources.schema import LOAN_SCHEMA
 
 
-def read_loans_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Semicolon-separated loans with a header.
+CSV = {"sep": ";", "header": True, "encoding": "UTF-8"}
+BROKEN = "linea_rota"
+
+
+def read_loans_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, keep_broken: bool = False
+) -> DataFrame:
+    """Semicolon-separated loans with a header in every file.
 
-    The columns are found by the header, in any order; a known column missing
-    from the file is left out rather than filled.
+    The columns are found by each file's own header, in any order: files that share a
+    header are read together, and the groups are joined by name. A known column missing
+    from all files is left out rather than filled. With `keep_broken`, a line that
+    does not fit its header or types stands in the column `linea_rota` (NULL for sound lines).
     """
-    options = {"sep": ";", "header": True, "encoding": "UTF-8"}
     known = {f.name: f.dataType for f in (schema or LOAN_SCHEMA)}
-    # without a schema only the first line is read, for the header
-    header = spark.read.csv(path, inferSchema=False, **options).columns
-    ordered = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
-    rows = spark.read.csv(path, schema=ordered, mode="PERMISSIVE", enforceSchema=True, **options)
-    return frame_nan_to_null(rows)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        # without a schema only the first line is read, for the header
+        groups.setdefault(tuple(spark.read.csv(file, inferSchema=False, **CSV).columns), []).append(file)
+    parts = []
+    for header, files in groups.items():
+        broken = [T.StructField(BROKEN, T.StringType())] if keep_broken else []
+        ordered = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header] + broken)
+        parts.append(spark.read.csv(files, schema=ordered, mode="PERMISSIVE", enforceSchema=True, columnNameOfCorruptRecord=BROKEN, **CSV))
+    if not parts:
+        raise ValueError(f"no file at {path}")
+    return frame_nan_to_null(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def broken_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Lines of the files, and how many of them are broken."""
+    rows = read_loans_csv(spark, path, schema, keep_broken=True)
+    # a whole row is read for every line, else the parser would not look at the values
+    return rows.select(F.struct(*rows.columns).alias("r")).agg(
+        F.count(F.lit(1)).alias("lineas"), F.count_if(F.col(f"r.{BROKEN}").isNotNull()).alias("rotas"),
+    )
 
 
 def scan(spark: SparkSession, name: str) -> DataFrame:

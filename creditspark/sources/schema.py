@@ -25,7 +25,8 @@ GOVERNANCE_TABLES = {
     "t_modelo_campeon_kpis": [
         ("run_id", "string", False), ("model_name", "string", True), ("accuracy", "double", True),
         ("precision", "double", True), ("recall", "double", True), ("f1_score", "double", True),
-        ("roc_auc", "double", True), ("pipeline_latency", "bigint", False),
+        # a month whose loans are all of one class has no AUC
+        ("roc_auc", "double", False), ("pipeline_latency", "bigint", False),
         ("pipeline_error_rate", "double", False), ("fecha_registro", "timestamp", False),
     ],
     "t_modelo_comparativa": [

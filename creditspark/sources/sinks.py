@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from creditspark.operators.reshape import with_default
 from creditspark.sources.schema import GOVERNANCE_TABLES, required_columns, table_ddl
 
 STAGING = "__next"
+DECISION = "name string, decision_threshold double"
 
 
 def ensure_db(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -69,7 +72,7 @@ def write_all(frames: Mapping[str, DataFrame], db: str) -> dict[str, DataFrame]:
 def _insert(df: DataFrame, table: str, into: str) -> None:
     wanted = [c for c, _, _ in GOVERNANCE_TABLES[table] if c in df.columns]
     checked = with_required(df.select(*wanted), required_columns(table))
-    view = f"__rows_{table}"
+    view = f"__rows_{table}_{uuid.uuid4().hex[:12]}"
     checked.createOrReplaceTempView(view)
     columns = ", ".join(f"`{c}`" for c in wanted)
     # columns left out get their default, the load time
@@ -107,13 +110,22 @@ def write_doc(df: DataFrame, path: str) -> None:
     df.select(F.col(df.columns[0]).alias("value")).write.mode("overwrite").text(path)
 
 
-def save_model(model: PipelineModel, threshold: float, path: str, name: str = "") -> None:
+def save_model(model: PipelineModel, threshold: float, path: str, name: str = "", spark: SparkSession | None = None) -> None:
     """A fitted pipeline with the decision threshold that belongs to it."""
     model.write().overwrite().save(f"{path}/model")
-    row = SparkSession.getActiveSession().createDataFrame([(name, float(threshold))], "name string, decision_threshold double")
+    spark = spark or SparkSession.active()
+    row = spark.createDataFrame([(name, float(threshold))], DECISION)
     row.write.mode("overwrite").json(f"{path}/decision")
 
 
+def model_saved(spark: SparkSession, path: str) -> bool:
+    """Whether `save_model` has left a model with its threshold at the path."""
+    try:
+        return bool(path) and spark.read.json(f"{path}/decision", schema=DECISION).limit(1).count() == 1
+    except AnalysisException:
+        return False
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, float, str]:
-    decision = spark.read.json(f"{path}/decision", schema="name string, decision_threshold double").first()
+    decision = spark.read.json(f"{path}/decision", schema=DECISION).first()
     return PipelineModel.load(f"{path}/model"), decision["decision_threshold"], decision["name"]

@@ -140,3 +140,39 @@ def test_top_per_limits_groups_before_the_shuffle(spark):
 def test_extremes_break_ties_by_key(spark):
     df = spark.createDataFrame([(2, 0.9), (1, 0.9), (4, 0.1), (3, 0.1)], "loan_id long, prob double")
     assert {r["perfil_tipo"]: r["loan_id"] for r in R.extremes(df).collect()} == {"high_risk": 1, "low_risk": 3}
+
+
+def test_unknown_scores_count_nowhere(spark):
+    rows = [(1, 0.9, 1), (2, 0.8, 1), (3, 0.2, 0), (4, 0.1, 0), (5, None, 0), (6, 0.95, None)]
+    df = spark.createDataFrame(rows, "loan_id long, prob double, target int")
+    assert E.roc_auc(df).first().roc_auc == 1.0
+    best = E.threshold_sweep(df).first()
+    assert best.best_f1 == 1.0
+    m = E.classification_metrics(df, 0.5).first()
+    assert (m.tp, m.fp, m.fn, m.tn) == (2, 0, 0, 2)
+    assert {r.loan_id for r in R.extremes(df.where("target is not null")).collect()} == {1, 4}
+    assert tuple(E.left_out(df).first()) == (6, 2)
+
+
+def test_margins_outside_the_unit_interval(spark):
+    import itertools
+
+    rows = [(s, t) for s, t in itertools.product([-50.0, -3.5, -0.1, 0.0, 0.5, 1.0, 1.5, 40.0], [0, 1]) if (s > 0) == bool(t) or s in (0.5, -3.5)]
+    df = spark.createDataFrame(rows, "prob double, target int")
+    pairs = [(p > n) + 0.5 * (p == n) for p, a in rows if a for n, b in rows if not b]
+    assert E.roc_auc(df).first().roc_auc == sum(pairs) / len(pairs)
+
+
+def test_unknown_metrics_lose(spark):
+    runs = spark.createDataFrame([("a", None, 0.9), ("b", 0.5, None), ("c", 0.5, 0.6)], "name string, f1 double, roc_auc double")
+    named = runs.withColumnRenamed("name", "run_name")
+    assert R.best_run(named).first().run_name == "b"
+    assert R.champion(runs).first()["name"] == "c"
+    ordered = runs.withColumn("position", F.ascii("name"))
+    assert R.champion_in_order(ordered, "position").first()["name"] == "c"
+
+
+def test_the_tied_pair_depends_on_the_order_alone(spark):
+    runs = spark.createDataFrame([(0, "a", 0.5, 0.9), (1, "b", 0.500008, 0.6)], "position int, name string, f1 double, roc_auc double")
+    assert R.champion_in_order(runs, "position").first()["name"] == "b"
+    assert R.champion(runs).first()["name"] == "a"

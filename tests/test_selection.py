@@ -99,7 +99,7 @@ def test_chrono_split_with_a_third_on_one_instant_and_nulls(spark, small):
 def test_folds_are_even_and_whatever_the_bucket(spark):
     df = labelled(spark, 3000)
     a = {r["id"]: r["fold"] for r in S.kfold(df, "y", 3, "id").collect()}
-    b = {r["id"]: r["fold"] for r in S.kfold(df, "y", 3, "id", bucket_rows=10).collect()}
+    b = {r["id"]: r["fold"] for r in S.kfold(df, "y", 3, "id", small=1).collect()}
     assert a == b and len(a) == 3000
     for r in S.kfold(df, "y", 3, "id").groupBy("y").pivot("fold", [0, 1, 2]).count().collect():
         sizes = [r[str(i)] or 0 for i in range(3)]
@@ -112,6 +112,11 @@ def test_copies_of_a_key_stay_together(spark):
     assert got.where("k = -1").count() in (0, 300)
 
 
+def test_copies_of_a_key_share_a_fold(spark):
+    df = spark.range(900).select((F.col("id") % 100).alias("k"), F.lit(1).alias("y"))
+    assert S.kfold(df, "y", 3, "k", small=1).groupBy("k").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+
+
 def test_largest_remainder():
     assert largest_remainder({0: 7, 1: 3}, 8) == {0: 6, 1: 2}
     assert sum(largest_remainder({0: 1, 1: 1, 2: 1}, 2).values()) == 2

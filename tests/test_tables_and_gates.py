@@ -143,8 +143,9 @@ def test_gate_eda(spark, prefix, drop, passed):
 def test_rollup_retrains_on_drift_only(spark):
     schema = "test string, passed boolean, message string, drift boolean"
     rows = [("Test 1", True, "", False), ("Test 2", False, "", False)]
-    assert one(G.gate_rollup(spark.createDataFrame(rows, schema))) == (False, False, 1)
-    assert one(G.gate_rollup(spark.createDataFrame([*rows, ("Test 3", False, "", True)], schema))) == (False, True, 2)
+    assert one(G.gate_rollup(spark.createDataFrame(rows, schema), G.TESTS[:2])) == (False, False, 1)
+    assert one(G.gate_rollup(spark.createDataFrame([*rows, ("Test 3", False, "", True)], schema), G.TESTS[:3])) == (False, True, 2)
+    assert one(G.gate_rollup(spark.createDataFrame(rows, schema), G.TESTS[:3])) == (False, False, 2)
 
 
 def test_stream_appends_each_file_once(spark):
@@ -164,3 +165,26 @@ def test_stream_appends_each_file_once(spark):
     quality_log_stream(spark, inbox, table, checkpoint)
     assert spark.table(table).count() == 3
     assert json.loads(spark.table(table).first()["results"]) == {"Test 1": "Pass"}
+
+
+def test_csv_files_keep_their_own_column_order(spark):
+    path = scratch_path(spark, "csv")
+    spark.createDataFrame([("importe_solicitado;ingresos_anuales",), ("300;7000",)], "value string").coalesce(1).write.text(f"{path}/a")
+    spark.createDataFrame([("ingresos_anuales;importe_solicitado",), ("8000;400",), ("9000;x",), ("1",)], "value string").coalesce(1).write.text(f"{path}/b")
+    rows = IN.read_loans_csv(spark, f"{path}/*", keep_broken=True).collect()
+    assert {(r.importe_solicitado, r.ingresos_anuales) for r in rows if r.linea_rota is None} == {(300.0, 7000.0), (400.0, 8000.0)}
+    assert sorted(r.linea_rota for r in rows if r.linea_rota) == ["1", "9000;x"]
+    assert tuple(IN.broken_lines(spark, f"{path}/*").first()) == (4, 2)
+
+
+def test_gates_fail_on_nothing(spark):
+    kpis = spark.createDataFrame([], "f1_score double, roc_auc double, recall double")
+    assert [tuple(r) for r in G.gate_performance(kpis).select("passed", "message").collect()] == [(False, "Fail: Sin métricas del campeón.")]
+    nobody, models = spark.createDataFrame([], "name string"), spark.createDataFrame([("Champion_a_MVP_Balanced",)], "display_name string")
+    assert [r.passed for r in G.gate_model(nobody, models).collect()] == [False]
+    somebody = spark.createDataFrame([("a",)], "name string")
+    assert [r.passed for r in G.gate_model(somebody, models).collect()] == [True]
+    empty = G.gate_model(somebody, models).limit(0)
+    assert tuple(G.gate_rollup(empty).first()) == (False, False, 6)
+    assert tuple(G.gate_rollup(G.gate_model(somebody, models), ["Test 4"]).first()) == (True, False, 0)
+    assert not OUT.model_saved(spark, scratch_path(spark, "no-model"))
