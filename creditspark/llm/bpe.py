@@ -6,8 +6,9 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -34,8 +35,12 @@ LATE_CAPITALS = {
 }
 #: The final sigma is not told apart: letters are lowered one by one.
 LOWERED_FIRST = {ord("Σ"): "σ", **LATE_CAPITALS}
-#: Pieces remembered by a Python worker, and pieces encoded at once.
-CACHED, AT_ONCE = 200_000, 50_000
+#: Pieces remembered by a Python worker; new pieces encoded at once; texts held meanwhile.
+CACHED, AT_ONCE, TEXTS_AT_ONCE = 250_000, 30_000, 250
+#: Rows of a batch that leave a worker together.
+ROWS = 1_000
+#: A pair of symbols as one number.
+SHIFT = 32
 
 
 def byte_characters() -> list[str]:
@@ -54,65 +59,76 @@ class Bpe:
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"]
         added = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.first = [vocab[c] for c in byte_characters()]
-        self.last = [vocab[c + end] for c in byte_characters()]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        by_id = {i: t for t, i in [*vocab.items(), *added.items()]}
-        self.tokens = pa.array([by_id.get(i) for i in range(max(by_id) + 1)])
+        self.first = np.array([vocab[c] for c in byte_characters()])
+        self.last = np.array([vocab[c + end] for c in byte_characters()])
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.parts = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.rank_of = {a << SHIFT | b: rank for rank, (a, b, _) in enumerate(self.parts)}
+        self.pairs = np.array(sorted(self.rank_of))
+        self.pair_ranks = np.array([self.rank_of[p] for p in self.pairs.tolist()])
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
-        self.added = added
+        self.specials = {t: np.int32(i).tobytes() for t, i in added.items()}
         self.pieces = regex.compile(PIECES)
         self.late = re.compile(f"[{NOT_LETTERS}{''.join(map(chr, LOWERED_FIRST))}]")
         letters, others = rf"[\p{{L}}--[{NOT_LETTERS}]]", rf"[[^\s\p{{L}}\p{{N}}]||[{NOT_LETTERS}]]"
         late = PIECES.replace(r"[^\s\p{L}\p{N}]", others).replace(r"[\p{L}]", letters)
         self.late_pieces = regex.compile(late, regex.VERSION1)
-        self.cache: dict[str, list[int]] = {}
-
-    def split(self, text: str) -> list[tuple[str, bool]]:
-        """Pieces of a text in order, with a mark for special tokens, which are found in the text as given."""
-        out: list[tuple[str, bool]] = []
-        for i, part in enumerate(self.special.split(text) if "<|" in text else [text]):
-            if i % 2:
-                out.append((part, True))
-            else:
-                part, pieces = unicodedata.normalize("NFC", part), self.pieces
-                if not part.isascii() and self.late.search(part):
-                    part, pieces = part.translate(LOWERED_FIRST), self.late_pieces
-                out.extend((p, False) for p in pieces.findall(part.lower()))
+        self.cache: dict[str, bytes] = dict(self.specials)
+
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text in order. Special tokens, found in the text as given, are pieces of their own."""
+        if "<|" not in text:
+            return self.ordinary(text)
+        out: list[str] = []
+        for i, part in enumerate(self.special.split(text)):
+            out.extend([part] if i % 2 else self.ordinary(part))
         return out
 
-    def encode_pieces(self, pieces: Iterable[str]) -> list[list[int]]:
-        """Ids of several pieces at once.
+    def ordinary(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.pieces.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if self.late.search(text):
+            return self.late_pieces.findall(text.translate(LOWERED_FIRST).lower())
+        return self.pieces.findall(text.lower())
 
-        `where` maps every pair of neighbouring symbols that has a rank to its
+    def encode_pieces(self, pieces: Sequence[str]) -> list[bytes]:
+        """Ids of several pieces at once, as bytes of 32-bit numbers.
+
+        `where` maps every pair of neighbouring symbols, named by its rank, to its
         positions in all pieces. Active ranks come off a heap in ascending order; a
         rank's positions are merged from left to right, and the pairs that
         a merge makes join the lists of their own ranks. Positions whose pair has gone
         meanwhile are recognised by their symbols and passed over.
         """
-        merges, symbols, following, before, starts = self.merges, [], [], [], []
-        for piece in pieces:
-            raw = piece.encode("utf-8", "surrogatepass")
-            at = len(symbols)
-            starts.append(at)
-            symbols.extend(self.first[b] for b in raw[:-1])
-            symbols.append(self.last[raw[-1]])
-            following.extend(range(at + 1, at + len(raw)))
-            following.append(-1)
-            before.append(-1)
-            before.extend(range(at, at + len(raw) - 1))
-        where: dict[tuple[int, int], list[int]] = {}
-        for i, j in enumerate(following):
-            if j >= 0 and (pair := (symbols[i], symbols[j])) in merges:
-                where.setdefault(pair, []).append(i)
-        active = [(*merges[pair], *pair) for pair in where]
-        heapq.heapify(active)
+        if not pieces:
+            return []
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        codes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        coded = self.first[codes]
+        coded[ends - 1] = self.last[codes[ends - 1]]
+        joined = np.ones(len(codes), dtype=bool)
+        joined[ends - 1] = False
+        following, before = np.arange(1, len(codes) + 1), np.arange(-1, len(codes) - 1)
+        following[ends - 1] = -1
+        before[ends[:-1]] = -1
+        left = np.flatnonzero(joined)
+        wanted = coded[left] << SHIFT | coded[left + 1]
+        found = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        real = self.pairs[found] == wanted
+        ranks, left = self.pair_ranks[found[real]], left[real]
+        order = np.argsort(ranks, kind="stable")
+        active, cuts = np.unique(ranks[order], return_index=True)
+        lists = np.split(left[order], cuts[1:])
+        where = {r: at.tolist() for r, at in zip(active.tolist(), lists, strict=False)}
+        active = active.tolist()  # sorted, and so a heap
+        symbols, following, before, parts, rank_of = coded.tolist(), following.tolist(), before.tolist(), self.parts, self.rank_of
         while active:
-            _, made, a, b = heapq.heappop(active)
-            for i in sorted(where.pop((a, b))):
+            a, b, made = parts[rank := heapq.heappop(active)]
+            at = where.pop(rank)
+            at.sort()
+            for i in at:
                 j = following[i]
                 if symbols[i] != a or j < 0 or symbols[j] != b:
                     continue
@@ -120,54 +136,61 @@ class Bpe:
                 following[i] = after = following[j]
                 if after >= 0:
                     before[after] = i
-                for left, right in ((before[i], i), (i, after)):
-                    if left < 0 or right < 0:
-                        continue
-                    pair = (symbols[left], symbols[right])
-                    if pair in merges:
-                        if pair not in where:
-                            where[pair] = []
-                            heapq.heappush(active, (*merges[pair], *pair))
-                        where[pair].append(left)
-        out = []
-        for at in starts:
-            ids = []
-            while at >= 0:
-                ids.append(symbols[at])
-                at = following[at]
-            out.append(ids)
+                    if (new := rank_of.get(made << SHIFT | symbols[after])) is not None:
+                        if new not in where:
+                            where[new] = []
+                            heapq.heappush(active, new)
+                        where[new].append(i)
+                if (left := before[i]) >= 0 and (new := rank_of.get(symbols[left] << SHIFT | made)) is not None:
+                    if new not in where:
+                        where[new] = []
+                        heapq.heappush(active, new)
+                    where[new].append(left)
+        left_over = np.array(symbols)
+        kept = left_over >= 0
+        stops = np.concatenate([[0], np.cumsum(kept)[ends - 1]]).tolist()
+        ids = left_over[kept].astype(np.int32).tobytes()
+        return [ids[4 * x : 4 * y] for x, y in zip(stops, stops[1:], strict=False)]
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Ids of every text. Texts are taken together until they have `AT_ONCE` pieces that are not remembered."""
+        out: list[np.ndarray] = []
+        waiting: list[list[str]] = []
+        unknown: set[str] = set()
+        for text in texts:
+            waiting.append(pieces := self.split(text) if text else [])
+            unknown |= set(pieces).difference(self.cache)
+            if len(unknown) >= AT_ONCE or len(waiting) >= TEXTS_AT_ONCE:
+                out += self.looked_up(waiting, unknown)
+                waiting, unknown = [], set()
+        return out + self.looked_up(waiting, unknown)
+
+    def looked_up(self, waiting: list[list[str]], unknown: set[str]) -> list[np.ndarray]:
+        new = list(unknown)
+        self.cache.update(zip(new, self.encode_pieces(new), strict=True))
+        known = self.cache.__getitem__
+        out = [np.frombuffer(b"".join(map(known, pieces)), dtype=np.int32) for pieces in waiting]
+        if len(self.cache) > CACHED:
+            self.cache = dict(self.specials)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.split(t) if t else [] for t in texts]
-        cache = self.cache
-        new = list({p for pieces in split for p, special in pieces if not special and p not in cache})
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-            new = list({p for pieces in split for p, special in pieces if not special})
-        for at in range(0, len(new), AT_ONCE):
-            some = new[at : at + AT_ONCE]
-            cache.update(zip(some, self.encode_pieces(some), strict=True))
-        out = []
-        for pieces in split:
-            ids: list[int] = []
-            for p, special in pieces:
-                if special:
-                    ids.append(self.added[p])
-                else:
-                    ids.extend(cache[p])
-            out.append(ids)
-        return out
 
+def token_table(definition: str) -> pa.Array:
+    """The token of every id."""
+    parsed = json.loads(definition)
+    by_id = {i: t for t, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
+    return pa.array([by_id.get(i) for i in range(max(by_id) + 1)])
 
-_loaded: dict[int, Bpe] = {}
 
+_built: dict[tuple, Bpe | pa.Array] = {}
 
-def loaded(definition) -> Bpe:
-    """The tokenizer of a broadcast definition, built once in a Python worker."""
-    if definition.value[0] not in _loaded:
-        _loaded[definition.value[0]] = Bpe(definition.value[1])
-    return _loaded[definition.value[0]]
+
+def built(kind: Callable[[str], Bpe | pa.Array], definition) -> Bpe | pa.Array:
+    """What `kind` makes of a broadcast definition, once in a Python worker."""
+    name, text = definition.value
+    if (kind.__name__, name) not in _built:
+        _built[kind.__name__, name] = kind(text)
+    return _built[kind.__name__, name]
 
 
 def shipped(df: DataFrame, path: str):
@@ -189,9 +212,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = loaded(definition)
+        tokenizer = built(Bpe, definition)
         for batch in batches:
-            yield pa.array(bpe.encode(batch.to_pylist()), type=pa.list_(pa.int32()))
+            for at in range(0, len(batch), ROWS):
+                coded = tokenizer.encode(t.as_py() for t in batch[at : at + ROWS])
+                offsets = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *coded])))
 
     return docs.withColumn(ids, encoded(F.col(f"`{text}`")))
 
@@ -204,16 +230,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     """
     definition = shipped(df, path)
 
+    def joined(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+        lists = lists.fill_null([])
+        values = lists.flatten()
+        known = pc.if_else(pc.and_(pc.greater_equal(values, 0), pc.less(values, len(tokens))), values, None)
+        parts = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), tokens.take(known))
+        if parts.values.null_count:
+            parts = pa.array([[t for t in row if t is not None] for row in parts.to_pylist()], type=pa.list_(pa.string()))
+        return pc.binary_join(parts, " ")
+
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = loaded(definition).tokens
+        tokens = built(token_table, definition)
         for batch in batches:
-            lists = batch.fill_null([])
-            values = lists.flatten()
-            known = pc.if_else(pc.and_(pc.greater_equal(values, 0), pc.less(values, len(tokens))), values, None)
-            parts = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), tokens.take(known))
-            if known.null_count or parts.values.null_count:
-                parts = pa.array([[t for t in row if t is not None] for row in parts.to_pylist()], type=pa.list_(pa.string()))
-            yield pc.binary_join(parts, " ")
+            for at in range(0, len(batch), ROWS):
+                yield joined(batch[at : at + ROWS], tokens)
 
     return df.withColumn(decoded, texts(F.col(f"`{ids}`")))

@@ -36,8 +36,7 @@ def test_every_character_is_split_as_the_library_does(tokenizer):
     points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
     for at in range(0, len(points), 200_000):
         texts = [f"a{chr(c)}b" for c in points[at : at + 200_000]]
-        assert own.encode(texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-        own.cache.clear()
+        assert [i.tolist() for i in own.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_empty_table_and_unknown_ids(spark):
