@@ -6,9 +6,8 @@ counts finer buckets there, and ranks rows only once few distinct ones are
 left. What reaches the driver is a small histogram per level; the answer is
 a plain predicate, so the split itself needs no join, window or shuffle.
 
-`quantiles` closes in on each wanted rank between two approximate quantiles
-until few distinct values are left, then takes the exact value. Small columns
-use Spark's exact `percentile` at once.
+`quantiles` counts values in equal bins and closes in on the bins that hold the
+wanted ranks, in the same way for every size.
 """
 
 from __future__ import annotations
@@ -17,15 +16,13 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditspark.functions.semantics import sql_double, sql_text
-
 SMALL = 100_000        # rows that one task may rank
-EXACT_LIMIT = 200_000  # distinct values that one exact percentile may hold, per column
+BINS = 65_536          # counts that one pass over a frame may bring to the driver
 MAX_CLASSES = 1_000
-ACCURACY = 10_000
 
 
 def hash_levels(text: str, depth: int = 6, width: int = 3) -> list[Column]:
@@ -162,60 +159,96 @@ def largest_remainder(counts: Mapping, total: int) -> dict:
 
 
 @dataclass(frozen=True)
-class _Gap:
-    """Open interval (lo, hi) that holds a wanted rank; None is unbounded."""
-
-    lo: float | None
-    hi: float | None
-    offset: int    # rows at or below lo
-    inside: int
-    distinct: int
-
-    def holds(self, x: Column) -> Column:
-        cond = x.isNotNull()
-        if self.lo is not None:
-            cond = cond & (x > F.lit(self.lo))
-        if self.hi is not None:
-            cond = cond & (x < F.lit(self.hi))
-        return cond
+class _Span:
+    """Closed interval between two values of a column that holds a wanted rank."""
+
+    column: str
+    low: float
+    high: float
+    offset: int    # rows below low
+
+    def bin(self, bins: int) -> Column:
+        """Number of the equal bin a value falls into; NULL outside. Halves keep the width finite."""
+        x, low, high, half = F.col(self.column), F.lit(self.low), F.lit(self.high), self.high / 2 - self.low / 2
+        place = F.least(F.lit(bins - 1), F.floor((x / 2 - low / 2) / F.lit(half) * bins).cast("int")) if half else F.lit(0)
+        # the extremes are bins of their own, so that every pass parts them
+        return F.when(x == low, -1).when(x == high, bins).when((x > low) & (x < high), place)
 
 
 def quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    limit: int = EXACT_LIMIT,
-    counts: Mapping[str, int] | None = None,
-    rows: int | None = None,
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = BINS
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation) of several columns, NULLs skipped.
 
-    `limit` bounds the distinct values that one aggregation state or one task
-    may hold; larger columns go through narrowing gaps, with the same result.
-    `rows` is the row count, or a bound of it, where the caller knows one.
+    One way for every size: values are counted in equal bins between the extremes of a column,
+    then in the bin that holds a wanted rank between its own extremes, and so
+    on until a bin holds one value. A pass counts all columns and ranks at
+    once and brings at most `bins` counts to the driver for all of them together (16 for each at
+    least); no sketch is merged and no row ranked. A hot value is found when it is alone in
+    its bin. Infinities lie at the ends.
     """
     cols = list(cols)
     if not cols:
         return {}
-    base = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols])
-    if counts is None and rows is not None and rows <= limit:
-        counts = {c: rows for c in cols}
-    if counts is None:
-        row = base.agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in cols]).first()
-        counts = {c: row[c] for c in cols}
-    out: dict = {c: [None] * len(probs) for c in cols}
-    small = [c for c in cols if 0 < counts[c] <= limit]
-    if small:
-        plist = ", ".join(f"{float(p)!r}D" for p in probs)
-        row = base.agg(*[F.expr(f"percentile(`{c}`, array({plist})) AS `{c}`") for c in small]).first()
-        out.update({c: list(row[c]) for c in small if row[c] is not None})
-    big = [c for c in cols if counts[c] > limit]
-    if big:
-        places = {c: [p * (counts[c] - 1) for p in probs] for c in big}
-        ranks = {c: {r for x in xs for r in (math.floor(x), math.ceil(x))} for c, xs in places.items()}
-        values = _values_at(base.select(*big), ranks, counts, limit)
-        for c in big:
-            out[c] = [_interpolate(values[c], x) for x in places[c]]
+    base = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles(base, cols, probs, bins)
+    finally:
+        base.unpersist()
+
+
+def _quantiles(base: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int) -> dict[str, list[float | None]]:
+    def facts(c: str) -> Column:
+        x = F.col(c)
+        finite = F.when(F.abs(x) < float("inf"), x)
+        return F.struct(
+            F.count(x).alias("n"), F.count_if(x == float("-inf")).alias("below"), F.count_if(x == float("inf")).alias("above"),
+            F.min(finite).alias("low"), F.max(finite).alias("high"),
+        ).alias(c)
+
+    row = base.agg(*[facts(c) for c in cols]).first()
+    places = {c: [p * (row[c]["n"] - 1) for p in probs] for c in cols if row[c]["n"]}
+    values: dict = {c: {} for c in places}
+    spans: dict = {}
+    for c, xs in places.items():
+        f = row[c]
+        for r in {r for x in xs for r in (math.floor(x), math.ceil(x))}:
+            if r < f["below"] or r >= f["n"] - f["above"]:
+                values[c][r] = float("-inf") if r < f["below"] else float("inf")
+            else:
+                spans.setdefault(_Span(c, f["low"], f["high"], f["below"]), []).append(r)
+    while spans:
+        for span in [s for s in spans if s.low == s.high]:
+            values[span.column].update((r, span.low) for r in spans.pop(span))
+        counts = _count_bins(base, list(spans), max(16, bins // len(spans))) if spans else {}
+        closer: dict = {}
+        for i, (span, ranks) in enumerate(spans.items()):
+            passed, at = span.offset, 0
+            ranks = sorted(ranks)
+            for _, n, low, high in sorted(counts[i]):
+                while at < len(ranks) and ranks[at] < passed + n:
+                    closer.setdefault(_Span(span.column, low, high, passed), []).append(ranks[at])
+                    at += 1
+                passed += n
+        spans = closer
+    return {c: [_interpolate(values[c], x) for x in places[c]] if c in places else [None] * len(probs) for c in cols}
+
+
+def _count_bins(base: DataFrame, spans: Sequence[_Span], bins: int) -> dict[int, list[tuple]]:
+    """(bin, rows, smallest, largest) of every span."""
+    cells = [
+        F.when(s.bin(bins).isNotNull(), F.struct(F.lit(i).alias("i"), s.bin(bins).alias("b"), F.col(s.column).alias("x")))
+        for i, s in enumerate(spans)
+    ]
+    rows = (
+        base.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+        .groupBy("i", "b")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .collect()
+    )
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["i"], []).append((r["b"], r["n"], r["low"], r["high"]))
     return out
 
 
@@ -223,103 +256,3 @@ def _interpolate(values: Mapping[int, float], place: float) -> float:
     low, high = math.floor(place), math.ceil(place)
     a, b = values[low], values[high]
     return a if a == b else (high - place) * a + (place - low) * b
-
-
-def _values_at(base: DataFrame, ranks: Mapping[str, set], counts: Mapping[str, int], limit: int) -> dict:
-    """Values at 0-based ranks per column.
-
-    Each round cuts every gap at two approximate quantiles around its ranks and
-    counts rows per piece exactly. A cut value is a piece of its own, so a value
-    that fills a third of the column is found or left behind at once.
-    """
-    found: dict = {c: {} for c in ranks}
-    gaps = {c: {r: _Gap(None, None, 0, counts[c], counts[c]) for r in rs} for c, rs in ranks.items()}
-    while any(g.distinct > limit for by_rank in gaps.values() for g in by_rank.values()):
-        cuts = _cut_values(base, gaps, limit)
-        pieces = _count_pieces(base, cuts)
-        for c, bounds in cuts.items():
-            passed = 0
-            open_ = {r for r, g in gaps[c].items() if g.distinct > limit}
-            for code in range(2 * len(bounds) + 1):
-                n, distinct = pieces.get((c, code), (0, 0))
-                i, on_cut = divmod(code, 2)
-                for r in [r for r in open_ if passed <= r < passed + n]:
-                    if on_cut:
-                        found[c][r] = bounds[i]
-                        del gaps[c][r]
-                    else:
-                        lo = bounds[i - 1] if i else None
-                        hi = bounds[i] if i < len(bounds) else None
-                        gaps[c][r] = _Gap(lo, hi, passed, n, min(n, distinct))
-                passed += n
-    _rank_inside(base, gaps, found)
-    return found
-
-
-def _cut_values(base: DataFrame, gaps: Mapping, limit: int) -> dict[str, list[float]]:
-    slack = 2.0 / ACCURACY
-    asked: dict = {}
-    for c, by_rank in gaps.items():
-        for r, g in by_rank.items():
-            if g.distinct > limit:
-                at = (r - g.offset) / g.inside
-                asked.setdefault((c, g), set()).update((max(0.0, at - slack), min(1.0, at + slack)))
-    aggs = [
-        F.percentile_approx(F.when(g.holds(F.col(c)), F.col(c)), F.array(*map(F.lit, sorted(ps))), ACCURACY).alias(f"q{i}")
-        for i, ((c, g), ps) in enumerate(asked.items())
-    ]
-    row = base.agg(*aggs).first()
-    cuts: dict = {}
-    for i, (c, g) in enumerate(asked):
-        cuts.setdefault(c, set()).update(row[f"q{i}"])
-        cuts[c].update(v for v in (g.lo, g.hi) if v is not None)
-    return {c: sorted(vs) for c, vs in cuts.items()}
-
-
-def _count_pieces(base: DataFrame, cuts: Mapping[str, Sequence[float]]) -> dict:
-    """Rows and distinct values per piece: code 2i is below cut i, 2i + 1 is on it."""
-    cells = []
-    for c, bounds in cuts.items():
-        steps = "".join(
-            f" + CAST(`{c}` > {v} AS INT) + CAST(`{c}` >= {v} AS INT)" for v in map(sql_double, bounds)
-        )
-        cells.append(f"struct({sql_text(c)} AS c, 0{steps} AS code, `{c}` AS x)")
-    rows = (
-        base.selectExpr(f"inline(array({', '.join(cells)}))")
-        .where("x is not null")
-        .groupBy("c", "code")
-        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x").alias("d"))
-        .collect()
-    )
-    return {(r["c"], r["code"]): (r["n"], r["d"]) for r in rows}
-
-
-def _rank_inside(base: DataFrame, gaps: Mapping, found: dict) -> None:
-    """Rank the few distinct values left in each gap."""
-    wanted: dict = {}
-    for c, by_rank in gaps.items():
-        for r, g in by_rank.items():
-            wanted.setdefault((c, g), []).append(r - g.offset)
-    if not wanted:
-        return
-    tagged = [
-        F.when(g.holds(F.col(c)), F.struct(F.lit(i).alias("t"), F.col(c).alias("x")))
-        for i, (c, g) in enumerate(wanted)
-    ]
-    upto = Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    need = F.create_map(*[
-        x for i, rs in enumerate(wanted.values()) for x in (F.lit(i), F.array(*map(F.lit, sorted(rs))))
-    ])
-    last = F.col("u") - 1
-    hits = (
-        base.select(F.explode(F.filter(F.array(*tagged), lambda s: s.isNotNull())).alias("s"))
-        .groupBy("s.t", "s.x")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("u", F.sum("n").over(upto))
-        .where(F.exists(F.try_element_at(need, F.col("t")), lambda r: (r <= last) & (r > last - F.col("n"))))
-        .collect()
-    )
-    for i, ((c, g), rs) in enumerate(wanted.items()):
-        for r in rs:
-            value = next(h["x"] for h in hits if h["t"] == i and h["u"] - h["n"] <= r < h["u"])
-            found[c][r + g.offset] = value

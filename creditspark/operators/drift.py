@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.functions.selection import EXACT_LIMIT, quantiles
+from creditspark.functions.selection import quantiles
 from creditspark.functions.semantics import sql_double, sql_text
 from creditspark.operators.split import Key, chrono_cut
 
@@ -33,11 +33,11 @@ def rename_features(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[st
 
 
 def quantile_edges(
-    df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS, limit: int = EXACT_LIMIT, rows: int | None = None
+    df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS
 ) -> dict[str, list[float]]:
     """Distinct quantile edges per column: at most buckets + 1 numbers each."""
     probs = [i / buckets for i in range(buckets + 1)]
-    found = quantiles(df, cols, probs, limit, rows=rows)
+    found = quantiles(df, cols, probs)
     return {c: sorted({e for e in edges if e is not None}) for c, edges in found.items()}
 
 
@@ -110,25 +110,24 @@ def psi_of_counts(counts: DataFrame, edges: Mapping[str, Sequence[float]]) -> Da
 
 
 def psi(
-    df: DataFrame, side: Column, cols: Sequence[str], buckets: int = BUCKETS, limit: int = EXACT_LIMIT,
-    rows: int | None = None,
+    df: DataFrame, side: Column, cols: Sequence[str], buckets: int = BUCKETS
 ) -> DataFrame:
-    """PSI per column; `side` is true for baseline rows, `rows` their number if known."""
-    edges = quantile_edges(df.where(side), cols, buckets, limit, rows)
+    """PSI per column; `side` is true for baseline rows."""
+    edges = quantile_edges(df.where(side), cols, buckets)
     return psi_of_counts(bin_counts(df, edges, side), edges)
 
 
 def psi_report(
     df: DataFrame, ts: str, key: Key, features: Mapping[str, str] = DRIFT_FEATURES,
-    fraction: float = BASELINE_FRACTION, limit: int = EXACT_LIMIT, cut: tuple[Column, int] | None = None,
+    fraction: float = BASELINE_FRACTION, cut: tuple[Column, int] | None = None,
 ) -> DataFrame:
     """PSI of the drift features, first part of the issue dates against the rest, 4 digits.
 
     `cut` is the result of `chrono_cut` where the caller has it already.
     """
-    first, rows = cut or chrono_cut(df, ts, fraction, key)
+    first = (cut or chrono_cut(df, ts, fraction, key))[0]
     sides = rename_features(df.withColumn("__first", first), features, keep=["__first"])
-    values = psi(sides, F.col("__first"), list(features), limit=limit, rows=rows)
+    values = psi(sides, F.col("__first"), list(features))
     return values.withColumn("psi_value", F.round("psi_value", 4))
 
 

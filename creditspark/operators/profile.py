@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.functions.scalars import label_nan
-from creditspark.functions.selection import EXACT_LIMIT, quantiles
+from creditspark.functions.selection import quantiles
 from creditspark.functions.semantics import evaluate_once, percent_of, sql_text
 
 # --- fixed values -----------------------------------------------------------
@@ -73,29 +74,26 @@ def target_distribution(df: DataFrame, target: str = "target") -> DataFrame:
 
 
 def describe(
-    df: DataFrame, cols: Sequence[str], limit: int = EXACT_LIMIT, approximate: bool = False, rows: int | None = None
+    df: DataFrame, cols: Sequence[str], approximate: bool = False
 ) -> DataFrame:
     """count, mean, std, min, median, max per present column; undefined reads 0.
 
     The median is exact at any size (see `quantiles`); `approximate=True` takes
-    `percentile_approx` and saves the extra passes. Up to `limit` rows, as told by
-    `rows`, one pass does it all.
+    `percentile_approx` and saves the extra passes. The columns are read once.
     """
     cols = [c for c in cols if c in df.columns]
-    one_pass = approximate or (rows is not None and rows <= limit)
-    mid = "percentile_approx({x}, 0.5D, 10000)" if approximate else "percentile({x}, 0.5D)"
-    if not one_pass:
-        mid = "CAST(NULL AS DOUBLE)"
+    narrow = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    mid = "percentile_approx({x}, 0.5D, 10000)" if approximate else "CAST(NULL AS DOUBLE)"
     each = (
         "struct(count({x}) AS count, avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS min, "
         + mid + " AS median, max({x}) AS max) AS `{c}`"
     )
     # one row per profiled column is all that reaches the driver
-    stats = df.agg(*[F.expr(each.format(c=c, x=f"CAST(`{c}` AS DOUBLE)")) for c in cols]).first().asDict()
-    medians = {c: stats[c]["median"] for c in cols}
-    if not one_pass:
-        found = quantiles(df, cols, [0.5], limit, counts={c: stats[c]["count"] for c in cols})
-        medians = {c: v[0] for c, v in found.items()}
+    stats = narrow.agg(*[F.expr(each.format(c=c, x=f"`{c}`")) for c in cols]).first().asDict()
+    medians = {c: stats[c]["median"] if approximate else None for c in cols}
+    if not approximate:
+        medians = {c: v[0] for c, v in quantiles(narrow, cols, [0.5]).items()}
+    narrow.unpersist()
 
     def shown(v) -> float:
         return 0.0 if v is None or v != v else float(v)

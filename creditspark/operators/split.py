@@ -116,8 +116,8 @@ def chrono_cut(
     """
     us = F.col("__us")
     frame = df.withColumn("__us", _order_micros(df, ts)).withColumn("__t", order_text(key, seed))
-    steps = [86_400_000_000, 1_000_000, 1_000]  # day, second, millisecond
-    levels = [F.floor(us / F.lit(step)) for step in steps] + [us, *hash_levels("__t")]
+    # twelve bits of the microseconds at a time: at most 4,096 buckets inside a bucket, whatever the dates
+    levels = [F.shiftright(us, bits) for bits in (52, 40, 28, 16, 4)] + [us, *hash_levels("__t")]
     cuts = first_k(
         frame, ["__us", "__t"], levels, lambda n: {c: int(fraction * k) for c, k in n.items()}, small=small
     )

@@ -67,8 +67,7 @@ STATS_SQL = " UNION ALL ".join(
 
 @query("descriptive_stats", Q.sql(Q.CLEAN, STATS_SQL))
 def _(spark, d):
-    rows = X.mature_loans(spark, d, []).count()  # one column of orders
-    return P.describe(X.clean_loans(spark, d), C.PROFILE_NUMERIC, rows=rows)
+    return P.describe(X.clean_loans(spark, d), C.PROFILE_NUMERIC)
 
 
 @query("categorical_distribution", Q.sql(Q.LOANS, " UNION ALL ".join(
@@ -148,27 +147,27 @@ def _(spark, d):
   FROM (SELECT feature_name, es, unnest(range(1, len(es) + 1)) AS i FROM psi_l)"""))
 def _(spark, d):
     rows = I.drift_input(X.loans(spark, d, I.DRIFT_RAW))
-    first, n = I.baseline(spark, d)
+    first, _ = I.baseline(spark, d)
     named = D.rename_features(rows.where(first), D.DRIFT_FEATURES)
-    edges = D.quantile_edges(named, list(D.DRIFT_FEATURES), rows=n)
+    edges = D.quantile_edges(named, list(D.DRIFT_FEATURES))
     return D.edges_frame(named, edges).withColumn("edge", F.round("edge", 6))
 
 
 @query("histogram", Q.sql(Q.PSI, "SELECT feature_name, side, CAST(bin AS INT) AS bin, n FROM psi_h"))
 def _(spark, d):
     rows = I.drift_input(X.loans(spark, d, I.DRIFT_RAW))
-    first, n = I.baseline(spark, d)
+    first, _ = I.baseline(spark, d)
     named = D.rename_features(rows.withColumn("side", first), D.DRIFT_FEATURES, ["side"])
-    edges = D.quantile_edges(named.where("side"), list(D.DRIFT_FEATURES), rows=n)
+    edges = D.quantile_edges(named.where("side"), list(D.DRIFT_FEATURES))
     return D.bin_counts(named, edges, F.col("side"))
 
 
 @query("psi", Q.sql(Q.PSI, "SELECT feature_name, round(psi_raw, 8) AS psi_value FROM psi"))
 def _(spark, d):
     rows = I.drift_input(X.loans(spark, d, I.DRIFT_RAW))
-    first, n = I.baseline(spark, d)
+    first, _ = I.baseline(spark, d)
     named = D.rename_features(rows.withColumn("side", first), D.DRIFT_FEATURES, ["side"])
-    return D.psi(named, F.col("side"), list(D.DRIFT_FEATURES), rows=n).withColumn("psi_value", F.round("psi_value", 8))
+    return D.psi(named, F.col("side"), list(D.DRIFT_FEATURES)).withColumn("psi_value", F.round("psi_value", 8))
 
 
 @query("psi_table", Q.sql(Q.PSI, "SELECT feature_name, psi_value FROM psi"))

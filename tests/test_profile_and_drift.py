@@ -33,10 +33,9 @@ def test_target_distribution_has_two_rows_always(spark):
     assert rows(P.target_distribution(df.limit(0)), "count", "percentage") == [(0, 0.0), (0, 0.0)]
 
 
-@pytest.mark.parametrize("limit", [10**6, 1])
-def test_describe(spark, limit):
+def test_describe(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, None), (4.0, 5.0, None), (None, 5.0, None)], "a double, k double, z double")
-    got = {r["variable"]: tuple(r)[1:] for r in P.describe(df, ["a", "k", "z", "absent"], limit).collect()}
+    got = {r["variable"]: tuple(r)[1:] for r in P.describe(df, ["a", "k", "z", "absent"]).collect()}
     assert got == {
         "a": (3, 2.33, 1.53, 1.0, 2.0, 4.0), "k": (4, 5.0, 0.0, 5.0, 5.0, 5.0), "z": (0, 0.0, 0.0, 0.0, 0.0, 0.0),
     }
@@ -77,8 +76,7 @@ def numpy_psi(base, recent, buckets=10):
     return float(np.sum((a - e) * np.log(a / e)))
 
 
-@pytest.mark.parametrize("limit", [10**6, 50])
-def test_psi_equals_numpy(spark, limit):
+def test_psi_equals_numpy(spark):
     rng = np.random.default_rng(5)
     n = 2500
     side = np.arange(n) < 2000
@@ -95,7 +93,7 @@ def test_psi_equals_numpy(spark, limit):
     cols = [c for c in pdf.columns if c != "side"]
     df = spark.createDataFrame(pdf)
     df = df.select("side", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
-    got = {r[0]: r[1] for r in D.psi(df, F.col("side"), cols, limit=limit).collect()}
+    got = {r[0]: r[1] for r in D.psi(df, F.col("side"), cols).collect()}
     for c in cols:
         assert got[c] == pytest.approx(numpy_psi(pdf[c][side].to_numpy(), pdf[c][~side].to_numpy()), abs=1e-9), c
 

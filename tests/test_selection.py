@@ -25,15 +25,23 @@ def numbers():
     })
 
 
-@pytest.mark.parametrize("limit", [10**6, 100, 2])
-def test_quantiles_equal_numpy(spark, numbers, limit):
+@pytest.mark.parametrize("bins", [65_536, 100, 2])
+def test_quantiles_equal_numpy(spark, numbers, bins):
     df = spark.createDataFrame(numbers)
     df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns])
-    got = quantiles(df, list(numbers.columns), PROBS, limit)
+    got = quantiles(df, list(numbers.columns), PROBS, bins)
     for c in numbers.columns:
         assert np.allclose(got[c], np.percentile(numbers[c].dropna(), [100 * p for p in PROBS]), rtol=1e-12)
 
 
+def test_quantiles_of_extreme_values(spark):
+    inf = float("inf")
+    values = [-inf, -1.7e308, -1.0, -1e-300, 0.0, 1e-300, 1.0, 1.7e308, inf, inf, inf]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    probs = [i / 10 for i in range(11)]
+    assert quantiles(df, ["a"], probs) == {"a": values}
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [1.0]}
