@@ -18,14 +18,28 @@ from creditspark.plans.registry import query
 from creditspark.sources import fixtures as X
 from creditspark.sources.scratch import scratch_path
 
-NUM = ["importe_solicitado_log", "ingresos_anuales", "ratio_prestamo_ingresos", "tipo_interes", "grado_riesgo_num"]
 CAT = ["finalidad_prestamo", "tipo_vivienda"]
 
 
-FLAGS = [f"missing_{c}" for c in ("ingresos_anuales", "ratio_prestamo_ingresos", "tipo_interes")]
+def signal(spark, d):
+    """Planted-signal loans with their split, written once: training reads them many times."""
+    path = scratch_path(spark, "signal")
+    X.loans_signal(spark, d).write.parquet(path)
+    return S.with_split(spark.read.parquet(path), "target", "loan_id")
+
+
+# what line items or customers leave empty, at every scale factor
+GAPS = [
+    "ratio_prestamo_ingresos", "puntuacion_crediticia_media", "bancarrotas_publicas",
+    "consultas_credito_ultimos_6_meses", "impago_ultimos_2_anios", "tipo_interes", "porcentaje_uso_credito_revolving",
+]
+SIGNAL_SPLIT = Q.SIGNAL + Q.split("signal", "outer_split", 42) + """, train_rows AS (
+SELECT * EXCLUDE (train) FROM outer_split WHERE train)""" + Q.split("train_rows", "inner_split", "42-calib") + """, parted AS (
+SELECT o.* EXCLUDE (train), CASE WHEN NOT o.train THEN 'test' WHEN i.train THEN 'base' ELSE 'calib' END AS split
+FROM outer_split o LEFT JOIN inner_split i ON i.loan_id = o.loan_id)"""
 
 
-def _impute_sql(cols=NUM, flags=("ingresos_anuales", "ratio_prestamo_ingresos", "tipo_interes"), carry="") -> str:
+def _impute_sql(cols=tuple(C.MODEL_NUMERIC), flags=tuple(GAPS), carry="") -> str:
     meds = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in cols)
     cells = ", ".join(f"coalesce(p.{c}, m.{c}) AS imp_{c}" for c in cols)
     gaps = ", ".join(f"CAST(p.{c} IS NULL AS DOUBLE) AS imp_missing_{c}" for c in flags)
@@ -42,19 +56,22 @@ def _scaled(c: str) -> str:
     return f"round((imp_{c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6)"
 
 
-@query("impute_median_flag", Q.sql(Q.SPLIT + _impute_sql(), "SELECT loan_id, " + ", ".join(
-    f"round(imp_{c}, 6) AS imp_{c}" for c in NUM + FLAGS) + " FROM imputed"))
+ALL_SCALED = C.MODEL_NUMERIC + [f"missing_{c}" for c in GAPS]
+
+
+@query("impute_median_flag", Q.sql(SIGNAL_SPLIT + _impute_sql(), "SELECT loan_id, " + ", ".join(
+    f"round(imp_{c}, 6) AS imp_{c}" for c in ALL_SCALED) + " FROM imputed"))
 def _(spark, d):
-    rows = I.split_clean(spark, d)
-    out = M.MedianImputer(NUM).fit(rows.where("split = 'base'")).transform(rows)
+    rows = signal(spark, d)
+    out = M.MedianImputer(C.MODEL_NUMERIC).fit(rows.where("split = 'base'")).transform(rows)
     return out.select("loan_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(M.IMPUTED)])
 
 
-@query("standardize", Q.sql(Q.SPLIT + _impute_sql() + _scale_sql(NUM + FLAGS), "SELECT loan_id, " + ", ".join(
-    f"{_scaled(c)} AS std_{c}" for c in NUM + FLAGS) + " FROM imputed, st"))
+@query("standardize", Q.sql(SIGNAL_SPLIT + _impute_sql() + _scale_sql(ALL_SCALED), "SELECT loan_id, " + ", ".join(
+    f"{_scaled(c)} AS std_{c}" for c in ALL_SCALED) + " FROM imputed, st"))
 def _(spark, d):
-    rows = I.split_clean(spark, d)
-    model = Pipeline(stages=[M.MedianImputer(NUM), M.PopulationScaler()]).fit(rows.where("split = 'base'"))
+    rows = signal(spark, d)
+    model = Pipeline(stages=[M.MedianImputer(C.MODEL_NUMERIC), M.PopulationScaler()]).fit(rows.where("split = 'base'"))
     out = model.transform(rows)
     return out.select("loan_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(M.SCALED)])
 
@@ -84,25 +101,6 @@ def _(spark, d):
     return M.one_hot_columns(model.transform(rows), model, ["loan_id"])
 
 
-def signal(spark, d):
-    """Planted-signal loans with their split, written once: training reads them many times."""
-    path = scratch_path(spark, "signal")
-    X.loans_signal(spark, d).write.parquet(path)
-    return S.with_split(spark.read.parquet(path), "target", "loan_id")
-
-
-# what line items or customers leave empty, at every scale factor
-GAPS = [
-    "ratio_prestamo_ingresos", "puntuacion_crediticia_media", "bancarrotas_publicas",
-    "consultas_credito_ultimos_6_meses", "impago_ultimos_2_anios", "tipo_interes", "porcentaje_uso_credito_revolving",
-]
-SIGNAL_SPLIT = Q.SIGNAL + Q.split("signal", "outer_split", 42) + """, train_rows AS (
-SELECT * EXCLUDE (train) FROM outer_split WHERE train)""" + Q.split("train_rows", "inner_split", "42-calib") + """, parted AS (
-SELECT o.* EXCLUDE (train), CASE WHEN NOT o.train THEN 'test' WHEN i.train THEN 'base' ELSE 'calib' END AS split
-FROM outer_split o LEFT JOIN inner_split i ON i.loan_id = o.loan_id)"""
-ALL_SCALED = C.MODEL_NUMERIC + [f"missing_{c}" for c in GAPS]
-
-
 @query("feature_vector", Q.sql(
     SIGNAL_SPLIT + _impute_sql(C.MODEL_NUMERIC, GAPS, ", p.target, p.finalidad_prestamo, p.tipo_vivienda") + _scale_sql(ALL_SCALED),
     "SELECT loan_id, target, split, " + ", ".join(

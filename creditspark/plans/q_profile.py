@@ -242,7 +242,7 @@ def _(spark, d):
 
 # --- reshaping of profiles ----------------------------------------------------------
 
-NARROW = ["importe_solicitado", "ingresos_anuales", "grado_riesgo_num", "plazo_meses", "antiguedad_laboral_num"]
+NARROW = C.PROFILE_NUMERIC
 
 
 @query("unpivot_stats", Q.sql(Q.CLEAN, " UNION ALL ".join(
