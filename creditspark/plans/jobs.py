@@ -6,11 +6,12 @@ once, and a lost executor costs its own tasks only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditspark.functions.hashing import bernoulli
 from creditspark.functions.scalars import label_time, to_fraction, to_percent
 from creditspark.operators import attribute as A
 from creditspark.operators import clean as C
@@ -55,14 +56,15 @@ def clean_and_profile(raw: DataFrame, db: str, key: str, fraction: float = 1.0)
 
 def train(
     clean: DataFrame, db: str, key: str, model_path: str, candidates: Sequence[T.Candidate] = T.CANDIDATES,
-    search_draws: int = 0,
+    search_draws: int = 0, fraction: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
     """Train, pick and save the champion; returns (run log, attribution document).
 
-    Every test loan is explained, not a sample of them.
+    `fraction` below 1 trains on the loans whose key's hash falls below it. Every test
+    loan is explained, not a sample of them.
     """
     spark = clean.sparkSession
-    rows = S.with_split(C.ensure_target(clean), "target", key)
+    rows = S.with_split(C.ensure_target(clean).where(bernoulli(key, fraction, S.SEED)), "target", key)
     trained = T.train_candidates(rows, C.MODEL_NUMERIC, C.MODEL_CATEGORICAL, key, candidates, search_draws=search_draws)
     log = T.run_log(spark, trained)
     name = R.champion_in_order(log, "position").first()["name"]
@@ -122,11 +124,16 @@ def consolidate(
     OUT.delete_reload(local, db, "t_modelo_shap_local")
 
 
-def report(spark: SparkSession, db: str) -> DataFrame:
-    """One nested document of seven sections, from the tables of the jobs above."""
+def report(spark: SparkSession, db: str, defaults: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """One nested document of seven sections, from the tables of the jobs above.
+
+    `defaults` has the caller's rows for tables that may be missing or empty.
+    """
+    defaults = defaults or {}
 
     def t(name: str) -> DataFrame:
-        return spark.table(f"{db}.{name}")
+        full = f"{db}.{name}"
+        return OUT.table_or(spark, full, defaults[name]) if name in defaults else spark.table(full)
 
     last = R.latest(t("t_modelo_campeon_kpis"), "fecha_registro")
     metrics = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
@@ -186,3 +193,17 @@ def quality_check(
         G.gate_attribution(sections),
         G.gate_eda(sections),
     ])
+
+
+def quality_payload(gates: DataFrame, project: str, bucket: str) -> DataFrame:
+    """The results of the gates as one message for the quality log: {test: text}, project and place."""
+    results = F.map_from_entries(F.sort_array(F.collect_list(F.struct("test", "message"))))
+    return gates.agg(results.alias("results")).select("results", F.lit(project).alias("gcp_project"), F.lit(bucket).alias("gcs_bucket"))
+
+
+def write_documents(spark: SparkSession, db: str, path: str, defaults: Mapping[str, DataFrame] | None = None) -> None:
+    """The documents of the jobs as JSON: the run log and the report, one folder each."""
+    log = spark.table(f"{db}.run_log")
+    runs = log.agg(F.sort_array(F.collect_list(F.struct(*log.columns))).alias("runs"))
+    OUT.write_doc(runs.select(F.to_json(F.struct("runs"), {"ignoreNullFields": "false"}).alias("document")), f"{path}/run_log")
+    OUT.write_doc(report(spark, db, defaults), f"{path}/report")

@@ -92,6 +92,24 @@ def _(spark, d):
     return J.quality_check(spark, db, J.report(spark, db), models)
 
 
+@query("job_documents", Q.sql(Q.COMPARISON, "SELECT name, f1, roc_auc, CAST(7 AS BIGINT) AS sections FROM comparison"))
+def _(spark, d):
+    """The written documents read back: the runs of one, the sections of the other, whose drift table is missing."""
+    db, path = governed(spark, d), scratch_path(spark, "documents")
+    spark.sql(f"DROP TABLE {db}.t_modelo_data_drift_psi")
+    none = spark.createDataFrame([], "feature_name string, psi_value double")
+    J.write_documents(spark, db, path, {"t_modelo_data_drift_psi": none})
+    runs = spark.read.json(f"{path}/run_log", schema="runs array<struct<name:string,f1:double,roc_auc:double>>")
+    document = spark.read.text(f"{path}/report").agg(F.first(F.size(F.json_object_keys("value"))).cast("long").alias("sections"))
+    return runs.select(F.inline("runs")).select("name", "f1", "roc_auc", document.scalar().alias("sections"))
+
+
+@query("quality_payload", Q.sql(Q.MATURE, f"""SELECT test, message, 'p' AS gcp_project, 'b' AS gcs_bucket FROM ({GATE1})"""))
+def _(spark, d):
+    payload = J.quality_payload(G.gate_schema(X.clean_loans(spark, d)), "p", "b")
+    return payload.select(F.explode("results").alias("test", "message"), "gcp_project", "gcs_bucket")
+
+
 @query("train_and_report")
 def _(spark, d):
     """Profile, train, consolidate and gate the planted-signal loans; one row per gate."""

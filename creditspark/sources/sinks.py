@@ -42,25 +42,34 @@ def with_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.select(*[checked(c) if c in required else F.col(c) for c in df.columns])
 
 
-def _swap(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+def _new_version(spark: SparkSession, name: str) -> str:
+    """A folder of its own for the next rows of a table, beside the earlier ones."""
     db, _, short = name.rpartition(".")
-    target = f"{db}.{short}" if db else short
-    spark.sql(f"ALTER TABLE {name}{STAGING} RENAME TO {target}")
+    home = spark.catalog.getDatabase(db or spark.catalog.currentDatabase()).locationUri
+    return f"{home.rstrip('/')}/{short}__v_{uuid.uuid4().hex[:12]}"
 
 
-def write_replace(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Replace a whole table: write the new rows beside it, then drop and rename.
+def _point(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    spark.catalog.refreshTable(name)
 
-    The frame may read the table it replaces, and a failed write leaves the old
-    rows. A reader that comes between the drop and the rename finds no table.
+
+def write_replace(df: DataFrame, name: str) -> DataFrame:
+    """Replace a whole table: write the new rows to a folder of their own, then point the table there.
+
+    The frame may read the table it replaces, and a failed write changes nothing. Readers always
+    find a table; one under way goes on with the rows it began with, whose folder
+    (`<table>__v_..`) stays until somebody removes it. Only a change of columns drops
+    and creates the table.
     """
-    spark = df.sparkSession
-    writer = df.write.mode("overwrite").format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name + STAGING)
-    _swap(spark, name)
+    spark, path = df.sparkSession, _new_version(df.sparkSession, name)
+    df.write.parquet(path)
+    columns = [(f.name, f.dataType) for f in df.schema]
+    if spark.catalog.tableExists(name) and [(f.name, f.dataType) for f in spark.table(name).schema] == columns:
+        _point(spark, name, path)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
     return spark.table(name)
 
 
@@ -86,12 +95,16 @@ def append_rows(df: DataFrame, db: str, table: str) -> None:
 
 
 def delete_reload(df: DataFrame, db: str, table: str) -> None:
-    """Empty a governance table and load it again, as one swap."""
+    """Empty a governance table and load it again, as one change of its folder."""
     spark, name = df.sparkSession, f"{db}.{table}"
-    spark.sql(f"DROP TABLE IF EXISTS {name}{STAGING}")
-    spark.sql(table_ddl(table, name + STAGING))
-    _insert(df, table, name + STAGING)
-    _swap(spark, name)
+    ensure_tables(spark, db, [table])
+    path, staging = _new_version(spark, name), f"{name}{STAGING}_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"{table_ddl(table, staging)} LOCATION '{path}'")
+    try:
+        _insert(df, table, staging)
+        _point(spark, name, path)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")  # its rows stay: they lie at a place of their own
 
 
 def append(df: DataFrame, name: str) -> None:

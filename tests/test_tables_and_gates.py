@@ -28,6 +28,19 @@ def test_csv_columns_are_found_by_header(spark):
     assert [tuple(r) for r in df.collect()] == [(100.5, "x", "12%"), (None, "y", "n/a"), (None, "z", None)]
 
 
+def test_readers_always_find_a_table(spark):
+    name = f"{database(spark)}.t"
+    OUT.write_replace(spark.range(5), name)
+    under_way = spark.table(name)
+    OUT.write_replace(spark.range(7), name)
+    assert under_way.count() in (5, 7) and spark.table(name).count() == 7
+    OUT.write_replace(spark.range(2).withColumnRenamed("id", "other"), name)
+    assert spark.table(name).columns == ["other"] and spark.table(name).count() == 2
+    with pytest.raises(Exception):
+        OUT.write_replace(spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("other")), name)
+    assert spark.table(name).count() == 2
+
+
 def test_replace_may_read_the_table_it_replaces(spark):
     name = f"{database(spark)}.t"
     OUT.write_replace(spark.range(5), name)
