@@ -16,7 +16,7 @@ WIDTH = 13
 #: Base of the polynomial, modulo 2**64 (any odd number does: the word hashes are random already).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Windows that a task holds before it sends them; word hashes that it remembers.
-HELD, REMEMBERED = 2_000_000, 400_000
+HELD, REMEMBERED = 1_000_000, 200_000
 #: Bytes of text whose windows share a bucket.
 BUCKET_BYTES = 16_000_000
 
@@ -75,22 +75,22 @@ def to_buckets(texts: list[tuple[int, np.ndarray]], buckets: int) -> pa.RecordBa
     docs = np.repeat(np.array([d for d, _ in texts], dtype=np.int64), [len(h) for _, h in texts])
     order = np.argsort(hashes, kind="stable")
     starts, counts = runs(hashes[order])
-    later = np.sort(order[docs[order] > np.repeat(docs[order[starts]], counts)])
+    later = order[docs[order] > np.repeat(docs[order[starts]], counts)]
     first = np.sort(order[starts])
     bucket = ((hashes[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
     at, sizes = runs(bucket[by_bucket])
     rows = [(int(bucket[by_bucket[a]]), docs[some], hashes[some]) for a, n in zip(at.tolist(), sizes.tolist(), strict=True) if len(some := first[by_bucket[a : a + n]])]
     if len(later):
-        rows.append((-1 - int(hashes[0] % np.uint64(buckets)), docs[later], hashes[later]))
+        gone = np.unique(np.stack([docs[later], hashes[later].view(np.int64)]), axis=1)
+        rows.append((-1 - int(hashes[0] % np.uint64(buckets)), gone[0], gone[1].view(np.uint64)))
     return sent(rows)
 
 
 def repeated_hashes(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Rows (doc, hashes): windows of a document that also start in a document with a smaller identifier.
+    """Rows (doc, hash): windows of a document that also start in a document with a smaller identifier.
 
-    Input: (doc, text), identifiers not null. A document may have several rows, each
-    with the 64-bit hashes of some of its windows.
+    Input: (doc, text), identifiers not null.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, texts = WordHashes(), 0, []
@@ -108,19 +108,16 @@ def repeated_hashes(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
     def meet(group: pa.Table) -> pa.Table:
         blobs = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
-        hashes, docs = blobs("hashes", np.uint64), np.repeat(blobs("docs", np.int64), blobs("counts", np.uint32))
-        if group.column("bucket")[0].as_py() >= 0:
-            order = np.lexsort((docs, hashes))
-            starts, counts = runs(hashes[order])
-            order = order[docs[order] > np.repeat(docs[order[starts]], counts)]
-            hashes, docs = hashes[order], docs[order]
-        order = np.argsort(docs, kind="stable")
+        hashes, docs = blobs("hashes", np.int64), np.repeat(blobs("docs", np.int64), blobs("counts", np.uint32))
+        order = np.argsort(hashes, kind="stable")
         hashes, docs = hashes[order], docs[order]
-        starts, counts = runs(docs)
-        parts = [hashes[a : a + n].tobytes() for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
-        return pa.table({"doc": pa.array(docs[starts], pa.int64()), "hashes": pa.array(parts, pa.binary())})
+        if group.column("bucket")[0].as_py() >= 0:
+            starts, counts = runs(hashes)
+            later = docs > np.repeat(np.minimum.reduceat(docs, starts), counts)
+            hashes, docs = hashes[later], docs[later]
+        return pa.table({"doc": docs, "hash": hashes})
 
-    return docs.mapInArrow(scan, SENT).groupBy("bucket").applyInArrow(meet, "doc long, hashes binary")
+    return docs.mapInArrow(scan, SENT).groupBy("bucket").applyInArrow(meet, "doc long, hash long")
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -153,7 +150,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(docs), -(-size // BUCKET_BYTES))
     known_texts = texts.where("doc is not null and text is not null")
-    repeats = repeated_hashes(known_texts, width, buckets).groupBy(F.col("doc").alias("of")).agg(F.collect_list("hashes").alias("hashes"))
+    repeats = repeated_hashes(known_texts, width, buckets).groupBy(F.col("doc").alias("of")).agg(F.collect_set("hash").alias("hashes"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [], [], [], []
@@ -161,7 +158,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
         for text_, hashes in zip(batch.column(1), batch.column(2), strict=True):
             found, spans = words(text_.as_py()), []
             if hashes.is_valid and len(found) >= width:
-                gone = np.frombuffer(b"".join(hashes.as_py()), dtype=np.uint64)
+                gone = hashes.values.to_numpy().view(np.uint64)
                 spans = intervals(np.flatnonzero(np.isin(window_hashes(found, width, known), gone)), width)
             kept, at = [], 0
             for a, b in spans:

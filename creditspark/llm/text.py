@@ -15,6 +15,8 @@ from creditspark.sources.scratch import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes: ASCII letters to lower case; any blank to a space.
+#: Rows that a Python worker takes and gives at a time.
+ROWS = 1_000
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLANKS_TO_SPACE = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
@@ -57,11 +59,12 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply a function to every Arrow batch; rows are independent of one another."""
+    """Apply a function to the rows, `ROWS` of them at a time; rows are independent of one another."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = f(b)
-            if out is not None and out.num_rows:
-                yield out
+            for at in range(0, b.num_rows, ROWS):
+                out = f(b.slice(at, ROWS))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
