@@ -36,7 +36,9 @@ def history(
 ) -> DataFrame:
     """The n oldest rows (or newest), no rows when there are fewer than `at_least`."""
     picked = df.orderBy(F.col(ts).desc() if newest else F.col(ts).asc(), *tie).limit(n)
-    return picked.where(picked.agg(F.count(F.lit(1))).scalar() >= at_least)
+    # a count over at most n rows, so the input is planned once
+    counted = picked.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy()))
+    return counted.where(F.col("__rows") >= at_least).drop("__rows")
 
 
 def top_n(df: DataFrame, by: Column | str, n: int, tie: Sequence[str] = ()) -> DataFrame:

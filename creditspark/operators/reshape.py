@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -152,7 +152,8 @@ def as_percent(df: DataFrame, names: Mapping[str, str] = AS_PERCENT, keep: Seque
 
 def scale_column(df: DataFrame, col: str) -> DataFrame:
     """If any value exceeds 1 the whole column is percentages: divide by 100; 3 digits."""
-    any_percent = F.coalesce(df.agg(F.max(col) > 1.0).scalar(), F.lit(False))
+    # the KPI history is a few rows, so a window over all of them plans its input once
+    any_percent = F.coalesce(F.max(col).over(Window.partitionBy()) > 1.0, F.lit(False))
     return df.withColumn(col, F.round(F.when(any_percent, F.col(col) / 100.0).otherwise(F.col(col)), 3))
 
 

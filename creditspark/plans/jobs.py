@@ -86,11 +86,13 @@ def train(
 def consolidate(
     clean: DataFrame, log: DataFrame, attribution: DataFrame, db: str, key: str,
     cut: tuple[Column, int] | None = None, latency: int | None = None, error_rate: float | None = None,
+    newest: bool = False, at_least: int = 1,
 ) -> None:
     """Governance tables from a run log (name and metrics per run), the loans and an attribution document.
 
     The champion is the run that the training has marked as chosen, whose model it saved; a log without
-    marks goes by `rank.champion`. `latency` and `error_rate` are what the caller measured of its own run.
+    marks goes by `rank.champion`. The evolution shows seven KPI rows, the oldest or the `newest`, from `at_least`
+    rows on. `latency` and `error_rate` are what the caller measured of its own run.
     """
     spark = clean.sparkSession
     OUT.ensure_tables(spark, db)
@@ -107,7 +109,7 @@ def consolidate(
         *[F.round(a, 3).alias(b) for a, b in H.AS_PERCENT.items()], "es_campeon",
     )
     OUT.delete_reload(compared, db, "t_modelo_comparativa")
-    past = R.history(spark.table(f"{db}.t_modelo_campeon_kpis"), "fecha_registro", at_least=1)
+    past = R.history(spark.table(f"{db}.t_modelo_campeon_kpis"), "fecha_registro", newest=newest, at_least=at_least)
     past = H.scale_column(H.scale_column(past, "f1_score"), "roc_auc")
     evolution = past.select(
         label_time("fecha_registro").alias("semana_etiqueta"), "f1_score", "roc_auc",
