@@ -133,16 +133,23 @@ def near_duplicates(
     a result are replaced.
     """
     made = ("fingerprint", "component_id", "kept")
-    own = [F.col(f"`{c}`") for c in columns or [key] if c not in made]
     id_ = F.col(f"`{key}`")
     order = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text")).alias("__order")
-    marked = with_fingerprint(docs.select(*own, order, F.col(f"`{text}`").alias("__text")), shingle, "__text")
-    marked = materialise(marked.drop("__text"), "fingerprints")
+    marked = with_fingerprint(docs.select(order, F.col(f"`{text}`").alias("__text")), shingle, "__text")
+    marked = materialise(marked.select("__order", "fingerprint"), "fingerprints")
     nodes = marked.groupBy("fingerprint").agg(F.min("__order").alias("__first"))
     reached = components(near_links(nodes.select("fingerprint"), distance)).withColumnRenamed("node", "fingerprint")
     rooted = nodes.join(reached, "fingerprint", "left").select("fingerprint", "__first", F.coalesce("root", "fingerprint").alias("root"))
     named = rooted.groupBy("root").agg(F.min("__first").alias("__best"))
     of = materialise(rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "__best"), "components")
-    return marked.join(of, "fingerprint").select(
-        *own, "fingerprint", F.col("__best.id").alias("component_id"), F.col("__order").eqNullSafe(F.col("__best")).alias("kept"),
+    judged = marked.join(of, "fingerprint").select(
+        "__order", "fingerprint", F.col("__best.id").alias("component_id"), F.col("__order").eqNullSafe(F.col("__best")).alias("kept"),
     )
+    if columns is None:
+        return judged.select(F.col("__order.id").alias(key), "fingerprint", "component_id", "kept")
+    # texts and other columns are not carried along: rows meet their judgement at the end
+    judged = judged.distinct().select(F.col("__order.id").alias("__id"), F.col("__order.text").alias("__mark"), "fingerprint", "component_id", "kept")
+    own = [F.col(f"`{c}`") for c in columns if c not in made]
+    rows = docs.select(*own, id_.alias("__own_id"), F.xxhash64(F.col(f"`{text}`")).alias("__own_mark"))
+    meets = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_mark") == F.col("__mark"))
+    return rows.join(judged, meets).select(*own, "fingerprint", "component_id", "kept")
