@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.llm.text import materialise
+from creditspark.llm.text import ROWS, materialise
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 #: Buckets that single tokens and neighbouring pairs are hashed into, and what each holds before counting.
@@ -20,7 +20,7 @@ BUCKETS, PRIOR = 1 << 17, 0.5
 FIT_ROWS = 200_000
 #: Share of the good documents left out of the target that may fall below the level.
 SPARE = 0.005
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Pairs of tokens are hashed by an odd multiple of the first and a rotation.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SELECT_BINS = 4096
@@ -48,12 +48,12 @@ def log_ratios(docs: DataFrame, buckets: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, raw, wanted = TokenHashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            for text, target in zip(b.column(0), b.column(1), strict=True):
-                found = np.bincount(buckets_of(text.as_py(), known, buckets), minlength=buckets) if text.is_valid else None
-                if found is not None:
-                    raw += found
-                    if target.as_py():
-                        wanted += found
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                found = [buckets_of(text.as_py(), known, buckets) for text in some.column(0)]
+                good = [f for f, target in zip(found, some.column(1).to_pylist(), strict=True) if target]
+                raw += np.bincount(np.concatenate(found), minlength=buckets)
+                wanted += np.bincount(np.concatenate([np.empty(0, np.int64), *good]), minlength=buckets)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(wanted[some])], names=["bucket", "raw", "target"])
 
