@@ -102,27 +102,41 @@ def steps_of(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
-def forward(p: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Probability of every place: the sum over all segmentations of the word up to it. p: (piece, language)."""
+def log_forward(p: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Logarithm of every place's probability: the sum over all segmentations of the word up to it. p: (piece, language).
+
+    In logarithms, as a long word of rare letters has fewer than the smallest double.
+    """
     start, end, piece, first, last, depth = places
-    alpha = np.zeros((int(last[-1]) + 1, p.shape[1]))
-    alpha[first] = 1.0
+    log_p = np.log(p)
+    alpha = np.full((int(last[-1]) + 1, p.shape[1]), -np.inf)
+    alpha[first] = 0.0
     for a, b in steps_of(depth):
-        part, to = alpha[start[a:b]] * p[piece[a:b]], end[a:b]
+        part, to = alpha[start[a:b]] + log_p[piece[a:b]], end[a:b]
         begins = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        alpha[to[begins]] = np.add.reduceat(part, begins, axis=0)
+        top = np.maximum.reduceat(part, begins, axis=0)
+        part -= np.repeat(top, np.diff(np.append(begins, len(to))), axis=0)
+        alpha[to[begins]] = top + np.log(np.add.reduceat(np.exp(part), begins, axis=0))
     return alpha
 
 
+def forward(p: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Probability of every place, which is 0 where a double cannot hold it."""
+    return np.exp(log_forward(p, places))
+
+
 def expected(p: np.ndarray, places: tuple[np.ndarray, ...], weight: np.ndarray, pieces: int) -> np.ndarray:
     """Expected counts of the pieces over all segmentations of weighted words. p: (piece,) of one language."""
     start, end, piece, first, last, depth = places
-    alpha = forward(p[:, None], places)[:, 0]
-    beta = np.zeros_like(alpha)
-    beta[last] = weight / alpha[last]
+    alpha = log_forward(p[:, None], places)[:, 0]
+    # the share of each match in its end's probability, then the weight that passes its end
+    n = np.exp(alpha[start] + np.log(p)[piece] - alpha[end])
+    through = np.zeros_like(alpha)
+    through[last] = weight
     for a, b in reversed(steps_of(depth)):
-        np.add.at(beta, start[a:b], p[piece[a:b]] * beta[end[a:b]])
-    return np.bincount(piece, weights=alpha[start] * p[piece] * beta[end], minlength=pieces)
+        n[a:b] *= through[end[a:b]]
+        np.add.at(through, start[a:b], n[a:b])
+    return np.bincount(piece, weights=n, minlength=pieces)
 
 
 _tries: dict[int, Pieces] = {}
@@ -212,7 +226,7 @@ class Scorer:
         blocks = [self.scores]
         for at in range(0, len(new), AT_ONCE):
             places = self.vocabulary.places(new[at : at + AT_ONCE])
-            blocks.append(np.log(forward(self.model.p, places)[places[4]]))
+            blocks.append(log_forward(self.model.p, places)[places[4]])
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.scores = np.concatenate(blocks)
 

@@ -65,3 +65,25 @@ def test_no_lessons_and_empty_table(spark):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.identify(df, F.lit(True), PATH).collect()] == [("und", 0.0)]
     assert language.identify(df.limit(0), F.lit(True), PATH).count() == 0
+
+
+def test_long_words_outside_the_vocabulary(spark):
+    pieces = language.piece_vocabulary(PATH)
+    script, han, plain = "\U0001d4b7" * 40, "\u4dae" * 40, "the"
+    places = language.Pieces(pieces).places([script, han, plain])
+    p = np.full(len(pieces), 1.0 / len(pieces))
+    counts = language.expected(p, places, np.array([2.0, 1.0, 1.0]), len(pieces))
+    assert np.isfinite(counts).all()
+    only_bytes = language.expected(p, language.Pieces(pieces).places([script]), np.array([2.0]), len(pieces))
+    assert [only_bytes[pieces.index(bytes([b]))] for b in "\U0001d4b7".encode()] == pytest.approx([80.0] * 4)
+    log = language.log_forward(p[:, None], places)[places[4]][:, 0]
+    assert np.isfinite(log).all() and log[0] < log[1] < np.log(np.finfo(float).tiny) < log[2]
+
+    texts = [("en", f"the house and {script} of the {han}"), ("en", "the man and the house"), ("de", "der mann und das haus"), ("de", "das ist der hund")]
+    taught = [(i, t, k) for i, (k, t) in enumerate(texts * 5)]
+    asked = [(100, "the man", None), (101, "der hund", None), (102, f"{script} {han}", None), (103, f"der hund {han}", None)]
+    docs = spark.createDataFrame(taught + asked, "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in language.identify(docs, F.lit(True), PATH).collect()}
+    assert all(0 <= r.score <= 1 for r in rows.values())
+    assert [rows[i].lang_pred for i in (100, 101, 102)] == ["en", "de", "en"]
+    assert all(rows[i].lang_pred == k for i, _, k in taught)
