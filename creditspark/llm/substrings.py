@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ WIDTH = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Windows that a task holds before it sends them; word hashes that it remembers.
 HELD, REMEMBERED = 1_000_000, 200_000
+#: Decided windows that travel in one row.
+DECIDED = 1 << 17
 #: Bytes of text whose windows share a bucket.
 BUCKET_BYTES = 16_000_000
 
@@ -64,11 +67,13 @@ def sent(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), names=["bucket", "docs", "counts", "hashes"])
 
 
-def to_buckets(texts: list[tuple[int, np.ndarray]], buckets: int) -> pa.RecordBatch:
+def to_buckets(texts: list[tuple[int, np.ndarray]], buckets: int, turn: int = 0) -> pa.RecordBatch:
     """Of every hash held, the smallest document goes to the hash's bucket.
 
-    The others are decided: the hash must go from them, which a bucket below zero
-    passes on. A passage that stands in a third of all documents so leaves a task once.
+    The others are decided: the hash must go from them, which buckets below zero
+    pass on. A passage that stands in a third of all documents so leaves a task once.
+    Decided windows need not meet, so they are dealt to those buckets in turn, from
+    `turn` on, whatever stands in them.
     """
     texts.sort(key=lambda x: x[0])
     hashes = np.concatenate([h for _, h in texts])
@@ -83,7 +88,9 @@ def to_buckets(texts: list[tuple[int, np.ndarray]], buckets: int) -> pa.RecordBa
     rows = [(int(bucket[by_bucket[a]]), docs[some], hashes[some]) for a, n in zip(at.tolist(), sizes.tolist(), strict=True) if len(some := first[by_bucket[a : a + n]])]
     if len(later):
         gone = np.unique(np.stack([docs[later], hashes[later].view(np.int64)]), axis=1)
-        rows.append((-1 - int(hashes[0] % np.uint64(buckets)), gone[0], gone[1].view(np.uint64)))
+        for k, at_ in enumerate(range(0, gone.shape[1], DECIDED)):
+            part = gone[:, at_ : at_ + DECIDED]
+            rows.append((-1 - (turn + k) % buckets, part[0], part[1].view(np.uint64)))
     return sent(rows)
 
 
@@ -94,6 +101,8 @@ def repeated_hashes(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, texts = WordHashes(), 0, []
+        # tasks begin at places of their own and go on where their last chunk ended
+        turn = xxhash.xxh3_64_intdigest(b"%d" % TaskContext.get().partitionId()) % buckets
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 h = window_hashes(words(text.as_py()), width, known)
@@ -101,17 +110,18 @@ def repeated_hashes(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     texts.append((doc.as_py(), h))
                     held += len(h)
                 if held >= HELD:
-                    yield to_buckets(texts, buckets)
+                    yield to_buckets(texts, buckets, turn)
+                    turn += -(-held // DECIDED)
                     held, texts = 0, []
         if texts:
-            yield to_buckets(texts, buckets)
+            yield to_buckets(texts, buckets, turn)
 
     def meet(group: pa.Table) -> pa.Table:
         blobs = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
         hashes, docs = blobs("hashes", np.int64), np.repeat(blobs("docs", np.int64), blobs("counts", np.uint32))
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], docs[order]
         if group.column("bucket")[0].as_py() >= 0:
+            order = np.argsort(hashes, kind="stable")
+            hashes, docs = hashes[order], docs[order]
             starts, counts = runs(hashes)
             later = docs > np.repeat(np.minimum.reduceat(docs, starts), counts)
             hashes, docs = hashes[later], docs[later]

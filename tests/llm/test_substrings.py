@@ -62,3 +62,31 @@ def test_empty_table(spark):
     assert remove_repeats(empty).count() == 0
     nulls = spark.createDataFrame([(1, None), (None, None)], "doc_id long, text string")
     assert [(r.n_words, r.kept_text) for r in remove_repeats(nulls).collect()] == [(0, ""), (0, "")]
+
+
+def test_decided_windows_of_copies_are_dealt_over_the_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(substrings, "HELD", 300)
+    monkeypatch.setattr(substrings, "DECIDED", 64, raising=False)
+    text = " ".join(f"w{i}" for i in range(112))  # every chunk is three copies, and has 200 decided windows
+    docs = spark.range(240).select(F.col("id").alias("doc"), F.lit(text).alias("text")).repartition(8)
+    sizes = {}
+
+    class Grouped:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def applyInArrow(self, meet, schema):
+            for r in self.rows.where("bucket < 0").collect():
+                sizes[r.bucket] = sizes.get(r.bucket, 0) + len(r.hashes) // 8
+            return self.rows
+
+    kind = type(docs)
+    with monkeypatch.context() as m:
+        m.setattr(kind, "groupBy", lambda self, *_: Grouped(self))
+        substrings.repeated_hashes(docs, 13, 16)
+    total = sum(sizes.values())
+    assert total > 10_000 and len(sizes) == 16 and max(sizes.values()) < 2 * total / 16
+    rows_ = [(i, text) for i in range(12)]
+    check(spark, rows_, 13)
