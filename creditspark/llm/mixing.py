@@ -79,7 +79,7 @@ def pair_up(units: Column, seed: int) -> Column:
             F.concat(state["done"], F.when(first_done, said(state["left"], rises)).otherwise(said(unit, ~rises))).alias("done"),
         )
 
-    return F.aggregate(F.slice(units, 2, CHUNK * CHUNK), start, meet)
+    return F.aggregate(F.slice(units, F.lit(2), F.greatest(F.size(units) - 1, F.lit(0))), start, meet)
 
 
 def rounded(units: DataFrame, seed: int, chunk: int = CHUNK) -> DataFrame:

@@ -90,3 +90,10 @@ def test_empty_tables(spark):
     assert mix(empty).count() == 0 and mixed(empty).count() == 0
     blank = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")
     assert [r.taken for r in mix(blank).collect()] == [0, 0]
+
+
+def test_a_large_chunk_decides_all_its_units(spark):
+    df = spark.range(4400).selectExpr("id AS doc_id", "'s' AS source", "'one two' AS text")
+    rows = mix(df, chunk=5000).collect()
+    assert len(rows) == 4400 and {r.copies for r in rows} == {1, 2}
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 2
