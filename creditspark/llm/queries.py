@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import bpe, exact, language, lm, mixing, quality, simhash, substrings, urls, vectors
+from creditspark.llm import bpe, exact, language, lm, mixing, negatives, quality, simhash, substrings, urls, vectors
 from creditspark.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 7)
     scored = lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~out, group="lang")
     return scored.withColumn("held_out", out)
+
+
+@query("op11_hard_negatives", negatives.hard_negatives_sql())
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.hard_negatives(vecs, F.col("vec_id") % 100 == 0)
