@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import bpe, exact, language, lm, mixing, negatives, quality, simhash, substrings, urls, vectors
+from creditspark.llm import bpe, exact, language, lm, mixing, negatives, quality, simhash, substrings, toxicity, urls, vectors, whitening
 from creditspark.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
     return negatives.hard_negatives(vecs, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.toxicity(docs, labels, ~out).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
