@@ -111,8 +111,8 @@ def train(examples: DataFrame, shard: int = SHARD, passes: int = PASSES, seen_in
     shards = max(1, -(-n // shard))
     named = F.coalesce(F.col("key").cast("string"), F.lit(""))
     dealt = examples.select(F.pmod(F.xxhash64(named, F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64(named, F.lit(seed + 1)).alias("turn"), "text", "toxic")
-    # a partition for each shard at most; equal turns are told apart by the row itself
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "toxic", "text")
+    # more partitions than shards, so that few of them meet in one; equal turns are told apart by the row itself
+    dealt = dealt.repartition(4 * shards, "shard").sortWithinPartitions("shard", "turn", "toxic", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, docs, labels, known = None, [], [], WordHashes()
@@ -164,7 +164,8 @@ def toxicity(
     """
     marks = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{toxic}`").cast("int").alias("__toxic")).where("__key IS NOT NULL AND __toxic IN (0, 1)").distinct()
     own = docs.where(teaches).select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    examples = own.join(marks, F.col("__id") == F.col("__key")).select(F.col("__id").alias("key"), F.col("__text").alias("text"), F.col("__toxic").alias("toxic"))
+    # labels grow with the documents, so neither side is broadcast, at any size
+    examples = own.join(marks.hint("merge"), F.col("__id") == F.col("__key")).select(F.col("__id").alias("key"), F.col("__text").alias("text"), F.col("__toxic").alias("toxic"))
     examples = materialise(examples, "examples")
     keys, weights, intercept = train(examples, shard, passes, seen_in)
     screen = np.zeros(1 << SCREEN_BITS, dtype=bool)
