@@ -7,15 +7,18 @@ left. What reaches the driver is a small histogram per level; the answer is
 a plain predicate, so the split itself needs no join, window or shuffle.
 
 `quantiles` counts values in equal bins and closes in on the bins that hold the
-wanted ranks, in the same way for every size.
+wanted ranks, in the same way for every size. Tasks count whole Arrow batches, with one
+binary search for each column and value over all the bins that are still open.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,13 +170,6 @@ class _Span:
     high: float
     offset: int    # rows below low
 
-    def bin(self, bins: int) -> Column:
-        """Number of the equal bin a value falls into; NULL outside. Halves keep the width finite."""
-        x, low, high, half = F.col(self.column), F.lit(self.low), F.lit(self.high), self.high / 2 - self.low / 2
-        place = F.least(F.lit(bins - 1), F.floor((x / 2 - low / 2) / F.lit(half) * bins).cast("int")) if half else F.lit(0)
-        # the extremes are bins of their own, so that every pass parts them
-        return F.when(x == low, -1).when(x == high, bins).when((x > low) & (x < high), place)
-
 
 def quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = BINS
@@ -190,7 +186,10 @@ def quantiles(
     cols = list(cols)
     if not cols:
         return {}
-    base = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    base = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols])
+    if df.is_cached:  # the caller keeps these columns already
+        return _quantiles(base, cols, probs, bins)
+    base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _quantiles(base, cols, probs, bins)
     finally:
@@ -234,21 +233,62 @@ def _quantiles(base: DataFrame, cols: Sequence[str], probs: Sequence[float], bin
     return {c: [_interpolate(values[c], x) for x in places[c]] if c in places else [None] * len(probs) for c in cols}
 
 
+class _Counts:
+    """What one task counts of a column: bins of all its open spans, side by side."""
+
+    def __init__(self, spans: Sequence[tuple[float, float, int]], bins: int):
+        self.low, self.high = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
+        self.half, self.span, self.bins = self.high / 2 - self.low / 2, np.array([s[2] for s in spans], np.int32), bins
+        self.n = np.zeros(len(spans) * (bins + 2), np.int64)
+        self.least, self.most = np.full(len(self.n), np.inf), np.full(len(self.n), -np.inf)
+
+    def add(self, x: np.ndarray) -> None:
+        """The spans of a column do not overlap, so one binary search over their lower bounds finds a value's own."""
+        at = np.searchsorted(self.low, x, side="right") - 1
+        inside = (at >= 0) & (x <= self.high[at])
+        x, at = x[inside], at[inside]
+        low, half = self.low[at], self.half[at]
+        place = np.minimum(self.bins - 1, np.floor((x / 2 - low / 2) / np.where(half > 0, half, 1) * self.bins)).astype(np.int64)
+        # the extremes are bins of their own, so that every pass parts them; halves keep the width finite
+        place = np.where(x == low, -1, np.where(x == self.high[at], self.bins, place))
+        flat = at * (self.bins + 2) + place + 1
+        self.n += np.bincount(flat, minlength=len(self.n))
+        np.minimum.at(self.least, flat, x)
+        np.maximum.at(self.most, flat, x)
+
+    def rows(self) -> pa.RecordBatch:
+        some = np.flatnonzero(self.n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (self.span[some // (self.bins + 2)], (some % (self.bins + 2) - 1).astype(np.int32), self.n[some], self.least[some], self.most[some])],
+            names=["i", "b", "n", "low", "high"],
+        )
+
+
 def _count_bins(base: DataFrame, spans: Sequence[_Span], bins: int) -> dict[int, list[tuple]]:
-    """(bin, rows, smallest, largest) of every span."""
-    cells = [
-        F.when(s.bin(bins).isNotNull(), F.struct(F.lit(i).alias("i"), s.bin(bins).alias("b"), F.col(s.column).alias("x")))
-        for i, s in enumerate(spans)
-    ]
+    """(bin, rows, smallest, largest) of every span: counted in each task, column by column, and added up."""
+    of_column: dict[str, list[tuple[float, float, int]]] = {}
+    for i, s in enumerate(spans):
+        of_column.setdefault(s.column, []).append((s.low, s.high, i))
+    bounds = [sorted(own) for own in of_column.values()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [_Counts(own, bins) for own in bounds]
+        for b in batches:
+            for column, known in zip(counts, b.columns, strict=True):
+                column.add(known.drop_null().to_numpy())
+        for column in counts:
+            yield column.rows()
+
     rows = (
-        base.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+        base.select(*[f"`{c}`" for c in of_column])
+        .mapInArrow(count, "i int, b int, n long, low double, high double")
         .groupBy("i", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .collect()
+        .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .toArrow()
     )
     out: dict = {}
-    for r in rows:
-        out.setdefault(r["i"], []).append((r["b"], r["n"], r["low"], r["high"]))
+    for i, *bin_ in zip(*(rows.column(c).to_pylist() for c in ("i", "b", "n", "low", "high")), strict=True):
+        out.setdefault(i, []).append(tuple(bin_))
     return out
 
 

@@ -201,3 +201,53 @@ def test_gates_fail_on_nothing(spark):
     assert tuple(G.gate_rollup(empty).first()) == (False, False, 6)
     assert tuple(G.gate_rollup(G.gate_model(somebody, models), ["Test 4"]).first()) == (True, False, 0)
     assert not OUT.model_saved(spark, scratch_path(spark, "no-model"))
+
+
+HEADS = [("importe_solicitado", "ingresos_anuales", "otra"), ("otra", "ingresos_anuales", "importe_solicitado"), ("ingresos_anuales", "importe_solicitado")]
+
+
+def many_files(spark, files):
+    """`files` CSV files, written by one job, whose headers name the columns in three orders."""
+    path = scratch_path(spark, "csv many 50%")
+    fields = {"importe_solicitado": F.col("id") * 10, "ingresos_anuales": F.col("id") * 100, "otra": F.concat(F.lit("o"), "id")}
+    text = [F.array(F.lit(";".join(head)), F.concat_ws(";", *[fields[c].cast("string") for c in head])) for head in HEADS]
+    rows = F.get(F.array(*text), (F.col("id") % 3).cast("int"))
+    spark.range(0, files, 1, files).select(F.explode(rows).alias("value")).write.text(path)
+    return path
+
+
+def jobs_of(spark, group, f):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = f()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_headers_of_many_files_take_as_many_jobs_as_those_of_few(spark):
+    few, many = many_files(spark, 3), many_files(spark, 200)
+    small, jobs_small = jobs_of(spark, "few-files", lambda: IN.read_loans_csv(spark, few))
+    df, jobs = jobs_of(spark, "many-files", lambda: IN.read_loans_csv(spark, many))
+    # headers in one query, then a job for each distinct one; beyond 32 files Spark lists each group's in a job
+    assert small.count() == 3 and 0 < jobs <= jobs_small + len(HEADS) <= 9
+    got = {(r.importe_solicitado, r.ingresos_anuales, r.otra) for r in df.collect()}
+    assert got == {(i * 10.0, i * 100.0, f"o{i}" if i % 3 < 2 else None) for i in range(200)}
+
+
+def test_a_header_reads_no_more_than_the_first_lines(spark):
+    """A large file is one task, which ends after its first batch."""
+    path = scratch_path(spark, "csv")
+    spark.range(400_000).coalesce(1).select(F.when(F.col("id") == 0, "importe_solicitado").otherwise(F.col("id").cast("string")).alias("value")).write.text(path)
+    heads = IN.file_headers(spark, path)
+    assert heads.rdd.getNumPartitions() == 1 and [r.header for r in heads.collect()] == ["importe_solicitado"]
+    assert IN.read_loans_csv(spark, path).count() == 399_999
+
+
+def test_files_without_a_line_and_blank_first_lines(spark):
+    path = scratch_path(spark, "csv")
+    spark.range(0).select(F.lit("").alias("value")).write.text(f"{path}/none")
+    spark.createDataFrame([("",), ("  ",)], "value string").coalesce(1).write.text(f"{path}/blank")
+    assert IN.read_loans_csv(spark, f"{path}/*").count() == 0
+    spark.createDataFrame([("",), ("importe_solicitado",), ("7",)], "value string").coalesce(1).write.text(f"{path}/some")
+    assert [tuple(r) for r in IN.read_loans_csv(spark, f"{path}/*").collect()] == [(7.0,)]
