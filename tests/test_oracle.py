@@ -7,7 +7,7 @@ from check_oracle import compare, database
 from creditspark.plans.catalog import QUERIES
 
 SQL = oracle_sql()
-TRAINING = {"train_candidates", "run_log", "random_search", "train_and_report"}
+TRAINING = {"train_and_report"}
 
 
 @pytest.fixture(scope="module")
