@@ -48,3 +48,12 @@ def test_empty_table_and_unknown_ids(spark):
 def test_null_column(spark):
     df = spark.range(2).select(F.lit(None).cast("string").alias("text"))
     assert [r[0] for r in bpe.encode(df, PATH).select("ids").collect()] == [[], []]
+
+
+def test_both_ways_at_once_equals_one_after_the_other(spark):
+    texts = [None, "", " ", "Hello, World's", "ab " * 3000, "日本 x", "ab ab"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts * 60)], "id long, text string, ids string")
+    both = bpe.decode(bpe.encode(df, PATH), PATH).select("id", "ids", "decoded")
+    one = bpe.encode_and_decode(df, PATH, ["id"])
+    assert one.columns == ["id", "ids", "decoded"]
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, both.collect()))
