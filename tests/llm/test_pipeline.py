@@ -86,3 +86,17 @@ def test_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() == 0
+
+
+def test_columns_with_clashing_names_and_a_long_text_pass(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"kept": F.lit("own"), "__salt": F.lit(7), "component_id": F.lit(1.5)})
+    long = docs.limit(1).withColumns({"doc_id": F.lit(9000).cast("long"), "text": F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), (i % 80).cast("string"))))})
+    docs.union(long).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == columns and [tuple(r) for r in docs.select("kept", "__salt", "component_id").distinct().collect()] == [("own", 7, 1.5)]
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"] and last.agg(F.max("n_tokens")).first()[0] >= 60_000
