@@ -1,4 +1,8 @@
-"""From raw documents to token ids: quality, exact and near duplicates, source mix, byte-pair encoding."""
+"""From raw documents to token ids: quality, exact and near duplicates, source mix, byte-pair encoding.
+
+Rows that share a doc_id, or have none, are documents of their own wherever their texts differ; columns of documents
+beyond the known ones pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm.bpe import decode, encode
+from creditspark.llm.bpe import encode_and_decode
 from creditspark.llm.exact import exact_duplicates
 from creditspark.llm.mixing import mixed
 from creditspark.llm.quality import resample
@@ -16,33 +20,46 @@ from creditspark.llm.text import materialise
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The columns that operators go by. All others travel as one, so that their names meet none of an operator's own.
+KNOWN = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in KNOWN]
+    return docs.select(*[c for c in KNOWN if c in docs.columns], *([F.struct(*others).alias("others")] if others else []))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in KNOWN else F.col("others").getField(c).alias(c) for c in columns])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample takes; what counts as good is learned from the labels.
 
     Rows without words compete with ratio 0; without labels everything stays.
     """
-    kept = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept")
-    return kept.select(*docs.columns)
+    return unpacked(resample(packed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept"), docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text the one with the largest identifier; null texts count as empty."""
-    return exact_duplicates(docs, keep="largest").where("kept").select(*docs.columns)
+    return unpacked(exact_duplicates(packed(docs), keep="largest").where("kept"), docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked the one with the smallest identifier; texts without words are one group."""
-    return near_duplicates(docs, shingle=3, distance=2, columns=docs.columns).where("kept").select(*docs.columns)
+    rows = packed(docs)
+    return unpacked(near_duplicates(rows, shingle=3, distance=2, columns=rows.columns).where("kept"), docs.columns)
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it: not at all, once or twice."""
-    return mixed(docs)
+    return unpacked(mixed(packed(docs)), docs.columns)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they stand for; null and empty texts have none."""
-    coded = decode(encode(docs, TOKENIZER), TOKENIZER)
+    coded = encode_and_decode(docs, TOKENIZER, ["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
