@@ -13,7 +13,7 @@ from creditspark.llm.text import materialise
 LEADING = 32
 #: A text is hot, and dealt to several runs, if it has more rows than RUN and than the share 1/HOT of the table. So at most
 #: HOT texts are hot, they make at most 2 * HOT runs, and tables of these may be broadcast.
-RUN, HOT = 10_000, 10_000
+RUN, HOT = 1_000, 10_000
 #: What names a run of equal neighbours.
 OF_RUN = ["__lead", "__hash", "__salt", "__turn"]
 
