@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +17,9 @@ from pyspark.sql import functions as F
 from creditspark.functions.scalars import effect_label
 from creditspark.functions.semantics import sql_double, sql_text
 from creditspark.operators.rank import TOP_FACTORS, TOP_FEATURES, extremes, top_n
+from creditspark.sources.scratch import scratch_path
 
-MAX_NODES = 5_000_000  # tree nodes that may be broadcast (about 60 bytes each)
+BLOCK_NODES = 500_000  # tree nodes that the driver holds and broadcasts at a time (a single tree may be larger)
 
 
 def linear_contributions(
@@ -110,34 +110,54 @@ def path_attribution(x: np.ndarray, leaves) -> tuple[float, np.ndarray]:
     return base, phi
 
 
+def tree_blocks(nodes: DataFrame, block_nodes: int) -> list[tuple[int, int]]:
+    """Neighbouring trees put together while they have at most `block_nodes` nodes: first and last tree of each block."""
+    sizes = nodes.groupBy("tree").count().orderBy("tree").collect()
+    blocks: list[tuple[int, int]] = []
+    held = 0
+    for tree, n in sizes:
+        if blocks and held + n <= block_nodes:
+            blocks[-1] = (blocks[-1][0], tree)
+        else:
+            blocks.append((tree, tree))
+            held = 0
+        held += n
+    return blocks
+
+
 def tree_contributions(
     df: DataFrame, model, path: str, names: Sequence[str], key: str = "loan_id", features: str = "features",
-    max_nodes: int = MAX_NODES,
+    block_nodes: int = BLOCK_NODES,
 ) -> DataFrame:
     """Attribution of a boosted-tree margin: key, base, factors.
 
-    The trees go to the executors once, after a check of their size; loans
-    stay where they are and are explained in Arrow batches.
+    The trees go to the executors block by block, so that a model of any size is explained: loans
+    pass a block in Arrow batches, which adds its share to their base value and contributions, and
+    are written between two blocks. Shares add up, as a margin is a sum over trees.
     """
     spark = df.sparkSession
     nodes = tree_nodes(spark, model, path)
-    if nodes.count() > max_nodes:
-        raise ValueError(f"more than {max_nodes} tree nodes; explain a smaller model or raise max_nodes")
-    shared = spark.sparkContext.broadcast(leaf_paths(nodes.collect()))
-
-    def explain(batches):
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                base, phi = path_attribution(x, shared.value)
-                yield pd.DataFrame({key: batch[key], "base": base, "x": batch["x"], "phi": list(phi)})
-
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, vector_to_array(features).alias("x"))
+    zeros = F.transform("x", lambda _: F.lit(0.0))
+    rows = df.select(key, vector_to_array(features).alias("x")).select(key, F.lit(0.0).alias("base"), "x", zeros.alias("phi"))
+    blocks = tree_blocks(nodes, block_nodes)
+    for i, (first, last) in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(leaf_paths(nodes.where(F.col("tree").between(first, last)).collect()))
+
+        def explain(batches, shared=shared):
+            for batch in batches:
+                if len(batch):
+                    base, phi = path_attribution(np.stack(batch["x"].to_numpy()), shared.value)
+                    yield batch.assign(base=batch["base"] + base, phi=list(np.stack(batch["phi"].to_numpy()) + phi))
+
+        rows = rows.mapInPandas(explain, f"{key} {kind}, base double, x array<double>, phi array<double>")
+        if i + 1 < len(blocks):
+            so_far = scratch_path(spark, "explained")
+            rows.write.parquet(so_far)
+            rows = spark.read.schema(rows.schema).parquet(so_far)
     labels = F.expr(f"array({', '.join(map(sql_text, names))})")
-    out = rows.mapInPandas(explain, f"{key} {kind}, base double, x array<double>, phi array<double>")
     zipped = F.arrays_zip(labels.alias("feature"), F.col("x").alias("value"), F.col("phi").alias("contribution"))
-    return out.select(key, "base", zipped.alias("factors"))
+    return rows.select(key, "base", zipped.alias("factors"))
 
 
 def model_contributions(

@@ -123,10 +123,46 @@ def test_tree_attribution_sums_to_the_margin_and_is_shapley(spark, loans):
             assert got[j] == pytest.approx(want, abs=1e-10)
 
 
-def test_a_model_too_large_to_ship_is_refused(spark, loans):
-    model, ready, trees = small_trees(loans)
-    with pytest.raises(ValueError, match="tree nodes"):
-        A.tree_contributions(ready, trees, scratch_path(spark, "trees"), M.feature_names(model), max_nodes=2)
+def subset_value(leaves, row, known):
+    """What the trees say when only some features are known: leaves weighed by cover along the others."""
+    out = 0.0
+    for v, steps in leaves:
+        for f, share, tests in steps:
+            v *= float(A._meets(row[f:f + 1], tests)[0]) if f in known else share
+        out += v
+    return out
+
+
+def test_eight_hundred_trees_are_explained_block_by_block(spark):
+    from creditspark.operators import boosting as B
+
+    rng = np.random.default_rng(4)
+    cuts = [np.sort(rng.normal(size=5)) for _ in range(4)]
+    trees = []
+    for _ in range(800):  # three splits on two levels, any features
+        h = rng.random(4) + 0.1
+        sums = np.array([[h.sum(), 9, 1.0], [h[0] + h[1], 5, 1.0], [h[2] + h[3], 4, 1.0], *[[v, 2, 0.0] for v in h]])
+        trees.append(B.Tree(
+            np.array([*rng.integers(0, 4, 3), -1, -1, -1, -1]), np.array([*rng.integers(0, 5, 3), 0, 0, 0, 0]),
+            np.array([1, 3, 5, -1, -1, -1, -1]), np.array([2, 4, 6, -1, -1, -1, -1]), rng.normal(size=7) / 50, sums,
+        ))
+    model = B.spark_model(spark, trees, 0.3, cuts, "target", "features")
+    x = rng.normal(size=(6, 4))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "loan_id long, a double, b double, c double, d double")
+    df = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(df)
+    nodes = A.tree_nodes(spark, model, scratch_path(spark, "trees"))
+    assert nodes.count() == 5601 and len(A.tree_blocks(nodes, 2000)) == 3 and A.tree_blocks(nodes, 10**6) == [(0, 800)] and len(A.tree_blocks(nodes, 1)) == 801
+    leaves = A.leaf_paths(nodes.collect())
+    got = A.tree_contributions(df, model, scratch_path(spark, "trees"), ["a", "b", "c", "d"], block_nodes=2000).orderBy("loan_id").collect()
+    for row, r in zip(x, got, strict=True):
+        assert r.base == pytest.approx(subset_value(leaves, row, set()))
+        for j, f in enumerate(r.factors):
+            others = [i for i in range(4) if i != j]
+            want = sum(
+                math.factorial(len(s)) * math.factorial(3 - len(s)) / math.factorial(4) * (subset_value(leaves, row, {*s, j}) - subset_value(leaves, row, set(s)))
+                for k in range(4) for s in itertools.combinations(others, k)
+            )
+            assert f["contribution"] == pytest.approx(want, abs=1e-10)
 
 
 def test_linear_attribution_sums_to_the_score(spark, loans):
