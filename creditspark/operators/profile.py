@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.functions.scalars import label_nan
 from creditspark.functions.selection import quantiles
-from creditspark.functions.semantics import evaluate_once, percent_of, sql_text
+from creditspark.functions.semantics import percent_of, sql_text
 
 # --- fixed values -----------------------------------------------------------
 SOLVENT, DEFAULTED = "Solvente (Clase 0)", "Impago/Default (Clase 1)"
@@ -120,30 +120,94 @@ def categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _with_share(counts, groups=len(cols))
 
 
+class Moments:
+    """Rows, means, extremes and co-moments of several columns; two of them merge into that of all their rows.
+
+    Co-moments are sums of products of deviations from the own mean, so large means cost no digits.
+    """
+
+    def __init__(self, columns: int):
+        self.n, self.mean, self.co = 0.0, np.zeros(columns), np.zeros((columns, columns))
+        self.low, self.high = np.full(columns, np.inf), np.full(columns, -np.inf)
+
+    @staticmethod
+    def of(x: np.ndarray) -> "Moments":
+        m = Moments(x.shape[1])
+        if len(x):
+            m.n, m.mean, m.low, m.high = float(len(x)), x.mean(axis=0), x.min(axis=0), x.max(axis=0)
+            m.co = (x - m.mean).T @ (x - m.mean)
+        return m
+
+    def add(self, other: "Moments") -> None:
+        if not other.n:
+            return
+        n, apart = self.n + other.n, other.mean - self.mean
+        self.co = self.co + other.co + np.outer(apart, apart) * (self.n * other.n / n)
+        self.mean = self.mean + apart * (other.n / n)
+        self.n, self.low, self.high = n, np.minimum(self.low, other.low), np.maximum(self.high, other.high)
+
+    def bytes(self) -> bytes:
+        return np.concatenate([[self.n], self.mean, self.low, self.high, self.co.ravel()]).tobytes()
+
+    @staticmethod
+    def read(blob: bytes, columns: int) -> "Moments":
+        v, m = np.frombuffer(blob), Moments(columns)
+        m.n, m.mean, m.low, m.high = float(v[0]), *v[1 : 1 + 3 * columns].reshape(3, columns)
+        m.co = v[1 + 3 * columns :].reshape(columns, columns)
+        return m
+
+
+def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
+    """Of the rows without a NULL or NaN in any of the columns, in one pass.
+
+    Each task sends one short row; these are merged in parallel by the number of their task, and what is left
+    in one last step, so neither the driver nor a task ever sees a row for each task of a large table.
+    """
+    k, schema = len(cols), "part int, state binary"
+
+    def sent(state: Moments) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([state.bytes()], pa.binary())], names=["part", "state"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Moments(k)
+        with np.errstate(invalid="ignore"):  # infinities have no deviation
+            for b in batches:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(np.float64)
+                state.add(Moments.of(x[~np.isnan(x).any(axis=1)]))
+        if state.n:
+            yield sent(state)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Moments(k)
+        with np.errstate(invalid="ignore"):
+            for b in batches:
+                for blob in b.column(1).to_pylist():
+                    state.add(Moments.read(blob, k))
+        if state.n:
+            yield sent(state)
+
+    own = df.select(*[F.col(f"`{c}`").cast("double") for c in cols]).mapInArrow(collect, schema)
+    row = own.repartition("part").mapInArrow(merge, schema).coalesce(1).sortWithinPartitions("part").mapInArrow(merge, schema).first()
+    return Moments.read(row["state"], k) if row else Moments(k)
+
+
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation as (variable_x, variable_y, correlation), 3 digits.
+    """Pearson correlation as (variable_x, variable_y, correlation), 3 digits, from one pass over the rows.
 
     Rows with a NULL in any column go first. A constant column correlates 0
     with everything, itself included; no rows left gives all zeros.
     """
     cols = [c for c in cols if c in df.columns]
-    spark = df.sparkSession
-    full = evaluate_once(df, [F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    ends = full.agg(*[(F.min(c) == F.max(c)).alias(c) for c in cols]).first().asDict()
-    varies = {c for c in cols if ends[c] is False}
-    value = {}
-    used = [c for c in cols if c in varies]
-    if used:
-        vectors = VectorAssembler(inputCols=used, outputCol="v").transform(full).select("v")
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        value = {(a, b): float(matrix[i, j]) for i, a in enumerate(used) for j, b in enumerate(used)}
-
-    def cell(a: str, b: str) -> float:
-        v = value.get((a, b), 0.0)
-        return 0.0 if v != v else v
-
-    triples = [(a, b, cell(a, b)) for a in cols for b in cols]
-    long = spark.createDataFrame(triples, "variable_x string, variable_y string, correlation double")
+    m = moments(df, cols) if cols else Moments(0)
+    varies = m.low < m.high
+    spread = np.sqrt(np.diagonal(m.co))
+
+    def cell(i: int, j: int) -> float:
+        v = 1.0 if i == j else m.co[i, j] / spread[i] / spread[j] if varies[i] and varies[j] and spread[i] and spread[j] else 0.0
+        return float(v) if varies[i] and varies[j] and np.isfinite(v) and np.isfinite(spread[i]) else 0.0
+
+    triples = [(a, b, cell(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    long = df.sparkSession.createDataFrame(triples, "variable_x string, variable_y string, correlation double")
     return long.withColumn("correlation", F.round("correlation", 3) + F.lit(0.0))
 
 

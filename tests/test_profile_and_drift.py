@@ -64,6 +64,29 @@ def test_correlation_of_no_rows_is_zero(spark):
     assert {r["correlation"] for r in P.correlation(df, ["a", "b"]).collect()} == {0.0}
 
 
+def test_correlation_takes_one_pass_and_large_means_cost_no_digits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 4)) + np.array([1e9, -1e9, 1e12, 0.0])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd"))).repartition(13)
+    m = P.moments(df, list("abcd"))
+    assert m.n == 3000 and np.allclose(m.mean, x.mean(axis=0), rtol=1e-14) and (m.low == x.min(axis=0)).all() and (m.high == x.max(axis=0)).all()
+    want = np.corrcoef(x.T)
+    got = {(r.variable_x, r.variable_y): r.correlation for r in P.correlation(df, list("abcd")).collect()}
+    assert all(got[a, b] == pytest.approx(want[i, j], abs=6e-4) for i, a in enumerate("abcd") for j, b in enumerate("abcd"))
+    spark.sparkContext.setJobGroup("moments", "moments")
+    P.moments(spark.range(100, numPartitions=5).withColumn("y", F.col("id") % 7), ["id", "y"])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("moments") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    tasks = [i.numCompletedTasks for i in map(spark.sparkContext.statusTracker().getStageInfo, stages) if i]
+    assert tasks.count(5) == 1  # the stage that reads the rows ran once
+
+
+def test_correlation_of_infinities_is_zero(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("inf"), 3.0), (2.0, 5.0)], "a double, b double")
+    got = {(r.variable_x, r.variable_y): r.correlation for r in P.correlation(df, ["a", "b"]).collect()}
+    assert got == {("a", "a"): 0.0, ("a", "b"): 0.0, ("b", "a"): 0.0, ("b", "b"): 1.0}
+
+
 def numpy_psi(base, recent, buckets=10):
     base, recent = base[~np.isnan(base)], recent[~np.isnan(recent)]
     if not len(base) or not len(recent):
