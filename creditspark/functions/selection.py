@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 SMALL = 100_000        # rows that one task may rank
 BINS = 65_536          # counts that one pass over a frame may bring to the driver
-MAX_CLASSES = 1_000
 
 
 def hash_levels(text: str, depth: int = 6, width: int = 3) -> list[Column]:
@@ -42,13 +41,13 @@ def _same(column: Column, value) -> Column:
 
 
 class _Walk:
-    """How far the search for one class has come."""
+    """How far the search has come."""
 
-    def __init__(self):
+    def __init__(self, k: int):
         self.path: list = []
         self.skip = 0      # rows of earlier buckets
         self.size = 0      # rows of the bucket reached
-        self.k = 0
+        self.k = k
 
     def enter(self, histogram):
         passed = self.skip
@@ -62,102 +61,54 @@ class _Walk:
 
 
 def first_k(
-    df: DataFrame,
-    order: Sequence[str],
-    levels: Sequence[Column],
-    quota: Callable[[Mapping], Mapping],
-    by: str | None = None,
-    small: int = SMALL,
-) -> dict:
-    """Order values of the k-th row per class.
+    df: DataFrame, order: Sequence[str], levels: Sequence[Column], k_of: Callable[[int], int], small: int = SMALL
+) -> tuple[int, int, tuple | None]:
+    """Where the first k rows of an order end: (k, rows, order values of the k-th row).
 
     `order` names the columns of a total order (NULLs last), `levels` are
-    ever finer monotone buckets of it, `quota` maps {class: rows} to
-    {class: k}. Returns {class: (k, rows, values or None)}; None stands for
-    the trivial cuts k <= 0 and k >= rows.
+    ever finer monotone buckets of it, `k_of` maps the number of rows to k.
+    No values stand for the trivial cuts k <= 0 and k >= rows.
     """
-    group = F.col(by) if by else F.lit(0)
-    base = df.select(group.alias("__c"), *order)
+    base = df.select(*order)
 
-    def histogram(frame: DataFrame, level: Column) -> dict:
-        rows = frame.groupBy("__c", level.alias("__b")).agg(F.count(F.lit(1)).alias("n")).collect()
-        out: dict = {}
-        for r in rows:
-            out.setdefault(r["__c"], []).append((r["__b"], r["n"]))
-        return out
+    def histogram(frame: DataFrame, level: Column) -> list[tuple]:
+        return [tuple(r) for r in frame.groupBy(level.alias("__b")).agg(F.count(F.lit(1)).alias("n")).collect()]
 
     first = histogram(base, levels[0])
-    if len(first) > MAX_CLASSES:
-        raise ValueError(f"{by} has more than {MAX_CLASSES} classes; it is not a class column")
-    rows = {c: sum(n for _, n in h) for c, h in first.items()}
-    wanted = quota(rows)
-    walks: dict = {}
-    for c, h in first.items():
-        if 0 < wanted[c] < rows[c]:
-            walk = walks[c] = _Walk()
-            walk.k = wanted[c]
-            walk.enter(h)
-
-    def reached(walk_of: dict, used: int) -> Column:
-        cond = F.lit(False)
-        for c, walk in walk_of.items():
-            here = _same(F.col("__c"), c)
-            for level, value in zip(levels[:used], walk.path):
-                here = here & _same(level, value)
-            cond = cond | here
+    rows = sum(n for _, n in first)
+    walk = _Walk(k_of(rows))
+    if not 0 < walk.k < rows:
+        return walk.k, rows, None
+    walk.enter(first)
+
+    def reached() -> Column:
+        cond = F.lit(True)
+        for level, value in zip(levels, walk.path):
+            cond = cond & _same(level, value)
         return cond
 
-    used = 1
-    while used < len(levels):
-        open_ = {c: w for c, w in walks.items() if w.size > small}
-        if not open_:
-            break
-        finer = histogram(base.where(reached(open_, used)), levels[used])
-        for c, walk in open_.items():
-            walk.enter(finer[c])
-        used += 1
-
-    found: dict = {}
-    if walks:
-        need = F.lit(None).cast("long")
-        for c, walk in walks.items():
-            need = F.when(_same(F.col("__c"), c), F.lit(walk.k - walk.skip)).otherwise(need)
-        # copies of a row collapse before the ranking, so a window holds at most
-        # the few distinct rows of one fine bucket
-        distinct = (
-            base.where(reached(walks, used))
-            .groupBy("__c", *order)
-            .agg(F.count(F.lit(1)).alias("__n"))
-        )
-        keys = [F.col(o).asc_nulls_last() for o in order]
-        upto = Window.partitionBy("__c").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        hit = (
-            distinct.withColumn("__upto", F.sum("__n").over(upto))
-            .where((F.col("__upto") >= need) & (F.col("__upto") - F.col("__n") < need))
-            .select("__c", *order)
-            .collect()
-        )
-        found = {r["__c"]: tuple(r[o] for o in order) for r in hit}
-    return {c: (wanted[c], rows[c], found.get(c)) for c in rows}
+    while len(walk.path) < len(levels) and walk.size > small:
+        walk.enter(histogram(base.where(reached()), levels[len(walk.path)]))
+
+    # copies of a row collapse before the ranking, so the window holds at most
+    # the few distinct rows of one fine bucket
+    distinct = base.where(reached()).groupBy(*order).agg(F.count(F.lit(1)).alias("__n"))
+    keys = [F.col(o).asc_nulls_last() for o in order]
+    upto = Window.partitionBy(F.lit(0)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    need = F.lit(walk.k - walk.skip)
+    hit = (
+        distinct.withColumn("__upto", F.sum("__n").over(upto))
+        .where((F.col("__upto") >= need) & (F.col("__upto") - F.col("__n") < need))
+        .select(*order)
+        .first()
+    )
+    return walk.k, rows, tuple(hit)
 
 
 def round_half_even(x: float) -> int:
     return int(round(x))
 
 
-def largest_remainder(counts: Mapping, total: int) -> dict:
-    """Share `total` among classes in proportion to their counts; whole rows only."""
-    n = sum(counts.values())
-    if n == 0:
-        return {c: 0 for c in counts}
-    floor = {c: total * k // n for c, k in counts.items()}
-    left = total - sum(floor.values())
-    by_rest = sorted(counts, key=lambda c: (-(total * counts[c] % n), str(c)))
-    for c in by_rest[:left]:
-        floor[c] += 1
-    return floor
-
-
 # --- quantiles ---------------------------------------------------------------
 
 

@@ -1,21 +1,22 @@
 """Reproducible samples and splits.
 
 Every exact operator turns into a predicate on a row's own columns: the cut
-is found once with small histograms (`first_k`), then the two sides are plain
-filters. `key` must identify a row; copies that share a key stay together.
+is found once with small histograms (`first_k`, `class_cuts`), then the two sides are plain
+filters. `key` must identify a row; copies that share a key stay together. A class
+column may have any number of values; see `with_place` for more than 1,000.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditspark.functions.classes import PLACE, class_cuts, even_parts, largest_remainders, train_share, with_place
 from creditspark.functions.hashing import bernoulli, order_text
-from creditspark.functions.selection import SMALL, first_k, hash_levels, largest_remainder, round_half_even
+from creditspark.functions.selection import SMALL, first_k, hash_levels, round_half_even
 
 SEED = 42
 BUCKET_ROWS = 1_000_000
@@ -28,18 +29,6 @@ def scan_sample(df: DataFrame, fraction: float, key: Key, seed: int | str = SEED
     return df if fraction >= 1 else df.where(bernoulli(key, fraction, seed))
 
 
-def _cut_of_hash(df: DataFrame, text: Column, quota, by: str | None, small: int) -> dict:
-    frame = df.withColumn("__t", text)
-    return first_k(frame, ["__t"], hash_levels("__t"), quota, by=by, small=small)
-
-
-def _takes(cut, text: Column) -> Column:
-    k, rows, values = cut
-    if values is None:
-        return F.lit(k >= rows)
-    return text <= F.lit(values[0])
-
-
 def sample_exact(
     df: DataFrame, fraction: float, key: Key, seed: int | str = SEED, small: int = SMALL
 ) -> DataFrame:
@@ -47,8 +36,9 @@ def sample_exact(
     if fraction >= 1:
         return df
     text = order_text(key, seed)
-    cuts = _cut_of_hash(df, text, lambda n: {c: round_half_even(fraction * k) for c, k in n.items()}, None, small)
-    return df.where(_takes(cuts[0], text)) if cuts else df
+    frame = df.withColumn("__t", text)
+    k, rows, last = first_k(frame, ["__t"], hash_levels("__t"), lambda n: round_half_even(fraction * n), small)
+    return df.where(F.lit(k >= rows) if last is None else text <= F.lit(last[0]))
 
 
 def sample_n(df: DataFrame, n: int, key: Key, seed: int | str = SEED) -> DataFrame:
@@ -56,38 +46,38 @@ def sample_n(df: DataFrame, n: int, key: Key, seed: int | str = SEED) -> DataFra
     return df.orderBy(order_text(key, seed)).limit(n)
 
 
-def stratified_predicate(
-    df: DataFrame, y: str, test_fraction: float, key: Key, seed: int | str = SEED, small: int = SMALL
-) -> Column:
-    """True for training rows; class shares are exact to one row."""
-
-    def quota(counts):
-        total = sum(counts.values())
-        return largest_remainder(counts, total - math.ceil(total * test_fraction))
-
+def with_train(
+    df: DataFrame, y: str, test_fraction: float, key: Key, seed: int | str = SEED, out: str = "train", small: int = SMALL,
+) -> DataFrame:
+    """Column `out`: true for training rows; class shares are exact to one row."""
     text = order_text(key, seed)
-    train = F.lit(False)
-    for c, cut in _cut_of_hash(df, text, quota, y, small).items():
-        same = F.col(y).isNull() if c is None else F.col(y) == F.lit(c)
-        train = F.when(same, _takes(cut, text)).otherwise(train)
-    return train
+    cuts = class_cuts(df, y, text, largest_remainders(train_share(test_fraction)), small)
+    return with_place(df, y, text, cuts).withColumn(out, F.col(PLACE) == 0).drop(PLACE)
 
 
 def stratified_split(
     df: DataFrame, y: str, test_fraction: float, key: Key, seed: int | str = SEED, small: int = SMALL
 ) -> tuple[DataFrame, DataFrame]:
-    train = stratified_predicate(df, y, test_fraction, key, seed, small)
-    return df.where(train), df.where(~train)
+    parted = with_train(df, y, test_fraction, key, seed, "__train", small)
+    return parted.where("__train").drop("__train"), parted.where("not __train").drop("__train")
 
 
 def with_split(
     df: DataFrame, y: str, key: Key, test_fraction: float = 0.2, calib_fraction: float = 0.2,
-    seed: int | str = SEED, small: int = SMALL,
+    seed: int | str = SEED, small: int = SMALL, fit: DataFrame | None = None,
 ) -> DataFrame:
-    """Column `split`: 'base', 'calib' (both from the training part) or 'test'."""
-    train = stratified_predicate(df, y, test_fraction, key, seed, small)
-    base = stratified_predicate(df.where(train), y, calib_fraction, key, f"{seed}-calib", small)
-    return df.withColumn("split", F.when(~train, "test").when(base, "base").otherwise("calib"))
+    """Column `split`: 'base', 'calib' (both from the training part) or 'test'.
+
+    `fit` may hold the same rows with no more columns than the key and the class, which is cheaper to read.
+    """
+    fit = df if fit is None else fit
+    text, inner_text = order_text(key, seed), order_text(key, f"{seed}-calib")
+    cuts = class_cuts(fit, y, text, largest_remainders(train_share(test_fraction)), small)
+    train = with_place(fit, y, text, cuts).where(F.col(PLACE) == 0).drop(PLACE)
+    inner_cuts = class_cuts(train, y, inner_text, largest_remainders(train_share(calib_fraction)), small)
+    outer = with_place(df, y, text, cuts).withColumnRenamed(PLACE, "__outer")
+    split = F.when(F.col("__outer") > 0, "test").when(F.col(PLACE) == 0, "base").otherwise("calib")
+    return with_place(outer, y, inner_text, inner_cuts).withColumn("split", split).drop("__outer", PLACE)
 
 
 def _order_micros(df: DataFrame, ts: str) -> Column:
@@ -118,12 +108,7 @@ def chrono_cut(
     frame = df.withColumn("__us", _order_micros(df, ts)).withColumn("__t", order_text(key, seed))
     # twelve bits of the microseconds at a time: at most 4,096 buckets inside a bucket, whatever the dates
     levels = [F.shiftright(us, bits) for bits in (52, 40, 28, 16, 4)] + [us, *hash_levels("__t")]
-    cuts = first_k(
-        frame, ["__us", "__t"], levels, lambda n: {c: int(fraction * k) for c, k in n.items()}, small=small
-    )
-    if not cuts:
-        return F.lit(True), 0
-    k, rows, values = cuts[0]
+    k, rows, values = first_k(frame, ["__us", "__t"], levels, lambda n: int(fraction * n), small)
     if values is None:
         return F.lit(k >= rows), k
     at, text_cut = values
@@ -147,15 +132,9 @@ def kfold(
 ) -> DataFrame:
     """Fold number: which n-th part of its class a row belongs to, in hash order.
 
-    The parts are found as cuts of the order and tested row by row: no join, window
-    or shuffle. Fold sizes of a class differ by one row at most, and copies
+    All cuts of all classes are found in one walk and tested row by row. Fold sizes of a class differ by one row at most, and copies
     of a key share a fold.
     """
-    text, fold = order_text(key, seed), F.lit(0)
-    for part in range(1, folds):
-        later = F.lit(False)
-        for c, cut in _cut_of_hash(df, text, lambda counts, i=part: {c: n * i // folds for c, n in counts.items()}, y, small).items():
-            same = F.col(y).isNull() if c is None else F.col(y) == F.lit(c)
-            later = F.when(same, ~_takes(cut, text)).otherwise(later)
-        fold = fold + later.cast("int")
-    return df.withColumn(fold_col, fold)
+    text = order_text(key, seed)
+    placed = with_place(df, y, text, class_cuts(df, y, text, even_parts(folds), small))
+    return placed.withColumn(fold_col, F.col(PLACE)).drop(PLACE)

@@ -87,10 +87,7 @@ def baseline(spark: SparkSession, d: str) -> tuple[Column, int]:
 def split_clean(spark: SparkSession, d: str) -> DataFrame:
     """The clean table with its split; the cuts are found on two columns of orders."""
     keys = X.mature_loans(spark, d, ["loan_id"])
-    train = S.stratified_predicate(keys, "target", 0.2, "loan_id")
-    base = S.stratified_predicate(keys.where(train), "target", 0.2, "loan_id", f"{S.SEED}-calib")
-    part = F.when(~train, "test").when(base, "base").otherwise("calib")
-    return X.clean_loans(spark, d).withColumn("split", part)
+    return S.with_split(X.clean_loans(spark, d), "target", "loan_id", fit=keys)
 
 
 def contributions(spark: SparkSession, d: str) -> DataFrame:

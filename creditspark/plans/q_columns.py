@@ -255,7 +255,7 @@ def _(spark, d):
                                  "SELECT loan_id, target, train FROM parted"))
 def _(spark, d):
     rows = X.mature_loans(spark, d, ["loan_id"]).select("loan_id", "target")
-    return rows.withColumn("train", P.stratified_predicate(rows, "target", 0.2, "loan_id"))
+    return P.with_train(rows, "target", 0.2, "loan_id")
 
 
 @query("nested_split", Q.sql(Q.SPLIT, "SELECT loan_id, target, split FROM parted"))

@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from creditspark.functions.selection import largest_remainder, quantiles
+from creditspark.functions.classes import class_cuts, even_parts, largest_remainders, with_place
+from creditspark.functions.hashing import order_text
+from creditspark.functions.selection import quantiles
 from creditspark.operators import split as S
 
 PROBS = [0.0, 0.1, 0.34, 0.5, 0.9, 0.99995, 1.0]
@@ -125,7 +127,55 @@ def test_copies_of_a_key_share_a_fold(spark):
     assert S.kfold(df, "y", 3, "k", small=1).groupBy("k").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
 
 
-def test_largest_remainder():
-    assert largest_remainder({0: 7, 1: 3}, 8) == {0: 6, 1: 2}
-    assert sum(largest_remainder({0: 1, 1: 1, 2: 1}, 2).values()) == 2
-    assert largest_remainder({}, 0) == {}
+def shared(spark, counts, total, small=100_000, inline=1_000):
+    sizes = spark.createDataFrame(list(counts.items()), "__c int, rows long")
+    return {r["__c"]: r["k"] for r in largest_remainders(lambda n: total, small, inline)(sizes).collect()}
+
+
+@pytest.mark.parametrize("inline", [1_000, 0])
+def test_largest_remainders(spark, inline):
+    assert shared(spark, {0: 7, 1: 3}, 8, inline=inline) == {0: 6, 1: 2}
+    assert shared(spark, {0: 1, 1: 1, 2: 1}, 2, inline=inline) == {0: 1, 1: 1, 2: 0}
+    assert shared(spark, {}, 0, inline=inline) == {}
+    big = {0: 3_000_000_000_000, 1: 1_000_000_000_001, None: 7}
+    exact = {c: 3_200_000_000_006 * n // 4_000_000_000_008 for c, n in big.items()}
+    got = shared(spark, big, 3_200_000_000_006, inline=inline)
+    assert sum(got.values()) == 3_200_000_000_006 and all(0 <= got[c] - exact[c] <= 1 for c in big)
+
+
+def test_quotas_agree_between_driver_and_frames(spark):
+    many = {i: 1 + i % 3 for i in range(40)}
+    assert shared(spark, many, 33) == shared(spark, many, 33, inline=0) == shared(spark, many, 33, small=1, inline=0)
+
+
+@pytest.mark.parametrize("small, inline", [(100_000, 1_000), (100_000, 3), (1, 3), (1, 1_000)])
+def test_many_classes_with_a_hot_one_against_brute_force(spark, small, inline):
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 90).alias("y"))
+    text = order_text("id", 42)
+    cuts = class_cuts(df, "y", text, even_parts(4), small)
+    got = {r["id"]: r["__place"] for r in with_place(df, "y", text, cuts, inline).collect()}
+    classes: dict = {}
+    for r in df.collect():
+        classes.setdefault(r["y"], []).append(r["id"])
+    for ids in classes.values():
+        ranked = sorted(ids, key=lambda i: order(i, 42))
+        for place, i in enumerate(ranked):
+            assert got[i] == sum(place >= len(ids) * part // 4 for part in range(1, 4))
+    assert len(got) == 2000
+
+
+def test_more_classes_than_a_driver_should_hold(spark):
+    """Thousands of classes of text, a third of the rows in one of them; no class is refused, every row is placed."""
+    df = spark.range(15_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 5_000)).alias("y"))
+    train, test = S.stratified_split(df, "y", 0.25, "id")
+    sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert train.count() == 11_250 and test.count() == 3_750 and abs(sizes["hot"] - 3_750) <= 1
+    folds = S.kfold(df, "y", 2, "id").groupBy("y").agg(F.count_if(F.col("fold") == 0).alias("a"), F.count_if(F.col("fold") == 1).alias("b"))
+    assert folds.where("abs(a - b) > 1").count() == 0
+
+
+def test_folds_of_an_empty_frame(spark):
+    df = spark.range(0).withColumn("y", F.lit(1))
+    assert S.kfold(df, "y", 3, "id").collect() == []
+    train, test = S.stratified_split(df, "y", 0.2, "id")
+    assert train.count() == test.count() == 0
