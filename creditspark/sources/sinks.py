@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from collections.abc import Mapping, Sequence
+from itertools import pairwise
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -42,11 +45,51 @@ def with_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.select(*[checked(c) if c in required else F.col(c) for c in df.columns])
 
 
-def _new_version(spark: SparkSession, name: str) -> str:
-    """A folder of its own for the next rows of a table, beside the earlier ones."""
+def _home(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Where the folders of a table lie, and what their names begin with."""
     db, _, short = name.rpartition(".")
     home = spark.catalog.getDatabase(db or spark.catalog.currentDatabase()).locationUri
-    return f"{home.rstrip('/')}/{short}__v_{uuid.uuid4().hex[:12]}"
+    return home.rstrip("/"), f"{short}__v_"
+
+
+def _new_version(spark: SparkSession, name: str) -> str:
+    """A folder of its own for the next rows of a table, beside the earlier ones."""
+    home, begin = _home(spark, name)
+    return f"{home}/{begin}{uuid.uuid4().hex[:12]}"
+
+
+def _versions(spark: SparkSession, name: str) -> list[tuple[float, str]]:
+    """(seconds of the last write, folder) of a table, oldest first. Files tell the time, as folders of object stores have none."""
+    home, begin = _home(spark, name)
+    root = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = []
+    for folder in files.listStatus(root) if files.exists(root) else []:
+        if folder.isDirectory() and re.fullmatch(re.escape(begin) + "[0-9a-f]{12}", folder.getPath().getName(), re.IGNORECASE):
+            times = [f.getModificationTime() for f in files.listStatus(folder.getPath())] or [folder.getModificationTime()]
+            found.append((max(times) / 1000, folder.getPath().toString()))
+    return sorted(found)
+
+
+def remove_versions(spark: SparkSession, name: str, hours: float = 24.0) -> list[str]:
+    """Remove folders that a table has left more than `hours` ago; returns them.
+
+    A folder counts as left when the next one was written, however old its own rows are, so a reader has
+    `hours` to end. The folder in use stays, and so does the newest, which may be a write under way. A
+    table that does not exist keeps all its folders. Files are listed by the session's JVM, which a remote
+    client does not have.
+    """
+    if not spark.catalog.tableExists(name):
+        return []
+    where = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()
+    used = where["data_type"].rstrip("/").rpartition("/")[2]
+    before, gone = time.time() - hours * 3600, []
+    for (_, path), (left, _) in pairwise(_versions(spark, name)):
+        if left < before and path.rpartition("/")[2] != used:
+            old = spark._jvm.org.apache.hadoop.fs.Path(path)
+            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+            gone.append(path)
+    return gone
 
 
 def _point(spark: SparkSession, name: str, path: str) -> None:
@@ -59,7 +102,7 @@ def write_replace(df: DataFrame, name: str) -> DataFrame:
 
     The frame may read the table it replaces, and a failed write changes nothing. Readers always
     find a table; one under way goes on with the rows it began with, whose folder
-    (`<table>__v_..`) stays until somebody removes it. Only a change of columns drops
+    (`<table>__v_..`) stays until `remove_versions`. Only a change of columns drops
     and creates the table.
     """
     spark, path = df.sparkSession, _new_version(df.sparkSession, name)

@@ -50,6 +50,33 @@ def test_replace_may_read_the_table_it_replaces(spark):
     assert spark.table(name).count() == 3
 
 
+def test_folders_left_long_ago_are_removed(spark):
+    db = database(spark)
+    name = f"{db}.t"
+    assert OUT.remove_versions(spark, name) == []
+    for n in (5, 6, 7):
+        OUT.write_replace(spark.range(n), name)
+    OUT.write_replace(spark.range(9), f"{db}.t__v_other")
+    folders = [path for _, path in OUT._versions(spark, name)]
+    assert len(folders) == 3 and OUT.remove_versions(spark, name, hours=1) == []
+    first = spark.read.parquet(folders[0])
+    assert first.count() == 5
+    assert OUT.remove_versions(spark, name, hours=-1) == folders[:2]
+    assert spark.table(name).count() == 7 and spark.table(f"{db}.t__v_other").count() == 9
+    assert [path for _, path in OUT._versions(spark, name)] == folders[2:]
+    assert OUT.remove_versions(spark, name, hours=-1) == []
+
+
+def test_a_folder_in_use_outlives_newer_ones(spark):
+    """A write that failed, or is under way, has left a newer folder."""
+    name = f"{database(spark)}.t"
+    OUT.write_replace(spark.range(5), name)
+    spark.range(3).write.parquet(OUT._new_version(spark, name))
+    spark.range(4).write.parquet(OUT._new_version(spark, name))
+    assert len(OUT.remove_versions(spark, name, hours=-1)) == 1
+    assert spark.table(name).count() == 5 and len(OUT._versions(spark, name)) == 2
+
+
 def test_required_columns_and_load_time(spark):
     db = database(spark)
     OUT.ensure_tables(spark, db)
