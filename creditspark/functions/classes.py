@@ -5,8 +5,8 @@ running sum inside each class finds the bucket a cut falls in, and rows of these
 buckets alone are counted in finer buckets, until the buckets reached are small
 enough to be counted by the order value itself. Counts, cuts and quotas stay
 DataFrames joined by class. The driver sees results of at most 20,000 rows,
-and the cuts of the 1,000 largest classes, which become a predicate; any further class holds less than a thousandth of
-the rows and is joined.
+and the cuts of the 64 largest classes, which become a predicate; rows of any further class, each
+smaller than these, are joined by class and first digit.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from creditspark.functions.selection import SMALL, first_k, hash_levels
 from creditspark.sources.scratch import scratch_path
 
-INLINE = 1_000        # classes whose cuts are part of a predicate; each further one is smaller than all of them
+INLINE = 64           # classes whose cuts are part of a predicate; each further one is smaller than all of them
 LOCAL = 20_000        # rows of an intermediate result that travel by the driver
 WHOLE = "decimal(19,0)"    # the product of two counts goes beyond a long
 BEFORE, BEYOND = "", "~"    # below and above every hexadecimal text
@@ -175,8 +175,10 @@ def with_place(df: DataFrame, by: str, text: Column, cuts: DataFrame, inline: in
     values = [r["__c"] for r in largest if r["__c"] is not None]
     known = F.coalesce(F.col(by).isin(values), F.lit(len(values) < len(largest)))
     hot = df.where(known).withColumn(PLACE, place)
-    own = cuts.select(F.col("__c").alias("__hc"), "__cuts")
-    rest = df.where(~known).withColumn(TEXT, text).join(own, _same(by, "__hc"), "left")
+    # the first digit of the text salts the join, so that no class lands in one task
+    own = cuts.select(F.col("__c").alias("__hc"), "__cuts", F.explode(F.array(*[F.lit(d) for d in "0123456789abcdef"])).alias("__digit"))
+    joined = _same(by, "__hc") & (F.substring(TEXT, 1, 1) == F.col("__digit"))
+    rest = df.where(~known).withColumn(TEXT, text).join(own, joined, "left")
     behind_own = F.greatest(F.lit(0), F.size(F.filter("__cuts", lambda v: F.col(TEXT) > v)))
     return hot.unionByName(rest.select(*df.columns, behind_own.alias(PLACE)))
 

@@ -3,7 +3,7 @@
 Every exact operator turns into a predicate on a row's own columns: the cut
 is found once with small histograms (`first_k`, `class_cuts`), then the two sides are plain
 filters. `key` must identify a row; copies that share a key stay together. A class
-column may have any number of values; see `with_place` for more than 1,000.
+column may have any number of values; see `with_place` for more than 64.
 """
 
 from __future__ import annotations
