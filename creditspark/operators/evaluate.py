@@ -14,7 +14,7 @@ THRESHOLDS = 91            # 0.05, 0.06 .. 0.95
 FALLBACK_THRESHOLD = 0.5
 EAD_SHARE, LGD = 0.75, 0.45
 # -----------------------------------------------------------------------------
-COARSE, FINE = 2**12, 2**24
+DIGIT = 18                 # bits of a score that one level of the AUC settles
 
 
 def judged(scored: DataFrame, prob: str = "prob", target: str = "target") -> DataFrame:
@@ -112,6 +112,28 @@ def classification_metrics(
     )
 
 
+LEVELS = ["__power", "__high", "__low"]
+
+
+def score_levels(s: Column) -> list[Column]:
+    """Three ever finer buckets of a double, each rising with it inside the one before.
+
+    The signed power of two, the mantissa's first 18 bits and its next 18. At most about 2**18
+    values share a bucket one level up, and as many doubles share the last.
+    """
+    size = F.abs(s)
+    # subnormal numbers are scaled first, as 2**-power would be infinite
+    shift = F.when(size < 2.0**-900, F.lit(600)).otherwise(F.lit(0))
+    scaled = s * F.pow(F.lit(2.0), shift.cast("double"))
+    power = F.floor(F.log2(F.abs(scaled))).cast("int")
+    rank = power - shift + 2000
+    odd = F.isnan(s) | (size == float("inf")) | (s == 0)
+    sign = F.when(F.isnan(s), 9999).when(s == float("inf"), 9998).when(s == float("-inf"), -9998).when(s == 0, 0)
+    mantissa = F.when(odd, F.lit(0.0)).otherwise(scaled * F.pow(F.lit(2.0), -power.cast("double")))
+    digits = [F.floor(mantissa * 2.0 ** (DIGIT * k)).cast("long") for k in (1, 2)]
+    return [F.when(odd, sign).otherwise(F.when(s > 0, rank).otherwise(-rank)).cast("int"), *digits]
+
+
 def roc_auc(
     scored: DataFrame, by: Sequence[str] = (), prob: str = "prob", target: str = "target"
 ) -> DataFrame:
@@ -119,24 +141,22 @@ def roc_auc(
 
     AUC is the share of (positive, negative) pairs in the right order. Rows
     collapse to counts per distinct score. A pair is then settled at the first
-    level where its scores differ: 4,096 coarse buckets, 4,096 fine buckets in
-    each, or distinct scores inside a fine bucket. Each level is a running sum
-    over its own small groups, and the three partial pair counts simply add up.
-    Scores outside [0, 1], margins for instance, have buckets of their own on both sides.
+    level where its scores differ: powers of two, two digits of the mantissa, or
+    the scores themselves (`score_levels`). Each level is a running sum over groups
+    of at most some 2**18 rows, however many scores lie close together, and the four
+    partial pair counts simply add up. Scores may lie outside [0, 1], margins for
+    instance; infinities are ordinary scores, and NaN is the highest.
     """
     by = list(by)
-    s = F.col("__s")
-    placed = F.when(s < 0, s / (1 - s)).when(s > 1, 2 - 1 / s).otherwise(s)
     scores = (
-        judged(scored, prob, target).groupBy(*by, F.col(prob).alias("__s"))
+        judged(scored, prob, target).groupBy(*by, F.col(prob).cast("double").alias("__s"))
         .agg(F.count_if(F.col(target) == 1).alias("__pos"), F.count_if(F.col(target) == 0).alias("__neg"))
-        .withColumns({
-            "__coarse": F.floor(placed * COARSE).cast("int"), "__fine": F.floor(placed * FINE).cast("int"),
-        })
     )
+    scores = scores.select("*", *[c.alias(n) for n, c in zip(LEVELS, score_levels(F.col("__s")), strict=True)])
     sums = [F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg")]
-    fine = scores.groupBy(*by, "__coarse", "__fine").agg(*sums)
-    coarse = fine.groupBy(*by, "__coarse").agg(*sums)
+    levels = [scores]
+    for k in range(len(LEVELS), 0, -1):
+        levels.append(levels[-1].groupBy(*by, *LEVELS[:k]).agg(*sums))
 
     def pairs(level: DataFrame, group: list[str], order: str, ties: bool) -> DataFrame:
         before = Window.partitionBy(*by, *group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -147,11 +167,9 @@ def roc_auc(
         totals = [(F.sum(c) if ties else F.lit(0).cast("long")).alias(c) for c in ("__pos", "__neg")]
         return level.withColumn("__won", won).groupBy(*by).agg(F.sum(product).alias("__won"), *totals)
 
-    parts = (
-        pairs(scores, ["__fine"], "__s", ties=True)
-        .unionByName(pairs(fine, ["__coarse"], "__fine", ties=False))
-        .unionByName(pairs(coarse, [], "__coarse", ties=False))
-    )
+    parts = pairs(scores, LEVELS, "__s", ties=True)
+    for k, level in zip(range(len(LEVELS) - 1, -1, -1), levels[1:], strict=True):
+        parts = parts.unionByName(pairs(level, LEVELS[:k], LEVELS[k], ties=False))
     both = F.sum("__pos").cast("double") * F.sum("__neg").cast("double") * 2
     return parts.groupBy(*by).agg(F.try_divide(F.sum("__won").cast("double"), both).alias("roc_auc"))
 

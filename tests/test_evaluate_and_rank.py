@@ -72,6 +72,26 @@ def test_auc_of_scores_inside_one_fine_bucket_and_out_of_range(spark):
     assert E.roc_auc(df).first()[0] == pytest.approx(sum(pairs) / 9)
 
 
+def test_auc_over_all_kinds_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    s = np.concatenate([
+        [np.inf, -np.inf, 0.0, -0.0, 5e-324, -5e-324, 1e-310, 2e-310, 1.7e308, -1.7e308, 1.0, np.nextafter(1, 0), np.nextafter(1, 2)],
+        2.0 ** rng.integers(-1074, 1023, 200), rng.normal(size=200), 1e-20 * (1 + 1e-15 * rng.integers(0, 40, 200)), 0.5 + 2.0**-52 * rng.integers(0, 300, 300),
+    ])
+    y = rng.integers(0, 2, len(s))
+    got = E.roc_auc(spark.createDataFrame(pd.DataFrame({"target": y, "prob": s}))).first()[0]
+    high, low = s[y == 1][:, None], s[y == 0][None, :]
+    assert got == pytest.approx(((high > low) + 0.5 * (high == low)).mean(), abs=1e-12)
+
+
+def test_auc_levels_rise_with_the_score_and_spread_a_crowd(spark):
+    df = spark.range(400_000).select((F.lit(0.3) + F.col("id") * 2.0**-50).alias("s"))   # one bucket of width 2**-24
+    levels = df.select("s", *[c.alias(n) for n, c in zip(E.LEVELS, E.score_levels(F.col("s")), strict=True)])
+    assert levels.groupBy(*E.LEVELS).count().agg(F.max("count")).first()[0] <= 2**18
+    pdf = levels.orderBy("s").toPandas()
+    assert pdf.s.is_unique and pdf[E.LEVELS].apply(tuple, axis=1).is_monotonic_increasing
+
+
 def test_compare_keeps_a_null_group(spark):
     rows = [(None, 1, 0.9), (None, 0, 0.1), ("a", 1, 0.2), ("a", 0, 0.6)]
     df = spark.createDataFrame(rows, "g string, target int, prob double")
