@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditspark.operators import attribute as A
 from creditspark.operators import clean as C
+from creditspark.operators import dictionary as D
 from creditspark.operators import features as M
 from creditspark.operators import split as S
 from creditspark.operators import train as T
@@ -101,6 +102,30 @@ def _(spark, d):
     return M.one_hot_columns(model.transform(rows), model, ["loan_id"])
 
 
+def _code_sql(c: str) -> str:
+    return f"(SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM r WHERE o_orderstatus = 'F'))"
+
+
+WIDE = ["customer", "day"]
+
+
+@query("one_hot_wide", f"""WITH r AS (SELECT o_orderkey AS loan_id, o_orderstatus, CAST(o_custkey AS VARCHAR) AS customer,
+    strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+  a AS {_code_sql('customer')}, b AS {_code_sql('day')}, n AS (SELECT count(*) AS customers FROM a)
+  SELECT loan_id, a.code AS idx_customer, b.code AS idx_day,
+    concat_ws(',', CAST(a.code AS VARCHAR), CAST(b.code + customers AS VARCHAR)) AS slots
+  FROM r CROSS JOIN n LEFT JOIN a ON a.v = r.customer LEFT JOIN b ON b.v = r.day""")
+def _(spark, d):
+    """One-hot slots of columns with very many values, by the dictionary of the finished orders; others may be unknown."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_orderkey").alias("loan_id"), "o_orderstatus", F.col("o_custkey").cast("string").alias("customer"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    table = D.category_dictionary(rows.where("o_orderstatus = 'F'"), WIDE)
+    out = D.encode(rows.drop("o_orderstatus"), table, WIDE, small=100)
+    slots = F.array_join(D.slots(D.sizes(table, WIDE)).cast("array<string>"), ",")
+    return out.select("loan_id", "idx_customer", "idx_day", slots.alias("slots"))
+
+
 @query("feature_vector", Q.sql(
     SIGNAL_SPLIT + _impute_sql(C.MODEL_NUMERIC, GAPS, ", p.target, p.finalidad_prestamo, p.tipo_vivienda") + _scale_sql(ALL_SCALED),
     "SELECT loan_id, target, split, " + ", ".join(
