@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from creditspark.llm.text import materialise
 
 ROUNDS = 100
+HOT = 1_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,6 +40,19 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select("b", "b").distinct())
 
 
+def named(rooted: DataFrame, first: str = "first", name: str = "component_id") -> DataFrame:
+    """Rows of `rooted` (root, ...) with the smallest `first` of their root as `name`; read twice, so written before.
+
+    Roots with more than a thousandth of the rows, fewer than a thousand, are broadcast; rows of the
+    others meet by root, and none of these is large. No component gathers its rows in one task.
+    """
+    best = materialise(rooted.groupBy("root").agg(F.min(first).alias(name), F.count("*").alias("__n")), "roots")
+    rows = best.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(best.where(F.col("__n") * HOT > rows).drop("__n"))
+    others = rooted.join(hot.select("root"), "root", "left_anti").join(best.where(F.col("__n") * HOT <= rows).drop("__n"), "root")
+    return rooted.join(hot, "root").unionByName(others)
+
+
 def state(edges: DataFrame) -> tuple:
     """Number of links and a sum over their hashes: equal before and after a round that changed nothing."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

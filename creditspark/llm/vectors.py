@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.llm.graph import components
+from creditspark.llm.graph import components, named
 from creditspark.llm.simhash import forest
 from creditspark.llm.text import materialise
 
 COSINE = 0.9
-#: Vectors for each pivot, and the most pivots; both bound what the driver holds and broadcasts.
-CELL, PIVOTS = 4096, 1024
-#: Rows of a cell that one task holds, and rows that it meets in all.
-BLOCK, MEETS = 4096, 1_000_000
+#: Vectors for each pivot, the fewest pivots and the most; the last bounds what the driver holds and broadcasts.
+CELL, FEWEST, PIVOTS = 16_384, 8, 1024
+#: Bytes of a cell that one task holds, and rows that it meets in all.
+BLOCK, MEETS = 1 << 23, 1_000_000
 #: Rows compared at once; pairs checked at once; slack of the single-precision screen and of angles.
 STEP, PAIRS, SLACK, ANGLE_SLACK = 512, 100_000, 1e-4, 1e-6
 
@@ -122,11 +122,11 @@ class Cell:
         return pa.RecordBatch.from_arrays([pa.array(node, pa.string()), pa.array(links, pa.int64()), pa.array(other, pa.string())], names=["node", "links", "other"])
 
 
-def range_join(nodes: DataFrame, cosine: float, cell: int, block: int) -> DataFrame:
+def range_join(nodes: DataFrame, cosine: float, cell: int, block: int | None) -> DataFrame:
     """Rows (node, links, other) whose sums and links hold all pairs of `nodes` (node, size, vec) at `cosine` or more."""
     spark = nodes.sparkSession
     n = nodes.count()
-    sample = nodes.orderBy("node").limit(min(PIVOTS, -(-n // cell))).select("vec").collect()
+    sample = nodes.orderBy("node").limit(min(PIVOTS, max(FEWEST, -(-n // cell)))).select("vec").collect()
     by_length: dict[int, list[bytes]] = {}
     for (v,) in sample:
         by_length.setdefault(len(v), []).append(bytes(v))
@@ -137,10 +137,21 @@ def range_join(nodes: DataFrame, cosine: float, cell: int, block: int) -> DataFr
     home = materialise(placed(nodes, pivots, first, math.acos(cosine)), "cells")
     at_home = {r[0]: r[1] for r in home.where("home >= 0").groupBy("home").count().collect()}
     visits = {r[0]: r[1] for r in home.select(F.explode("seen_by").alias("c")).groupBy("c").count().collect()}
-    parts = lambda rows, size: F.array(*[F.lit(max(1, -(-rows.get(c, 0) // size))) for c in range(max(1, at))])
-    blocks = parts(at_home, block)
-    met = parts({c: at_home.get(c, 0) + visits.get(c, 0) for c in range(at)}, MEETS)
-    pick = lambda a, c: F.when(c >= 0, F.get(a, c)).otherwise(1)
+    holds = lambda length: block or max(1, BLOCK // length)
+    length_of = {first[length] + i: length for length in first for i in range(len(by_length[length]))}
+    # lengths without a pivot have a cell each; only those beyond one block or part are told apart
+    large = F.col("count") > F.least(F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / -F.col("home"))) if block is None else F.lit(block), F.lit(MEETS))
+    alone = {r[0]: r[1] for r in home.where("home < 0").groupBy("home").count().where(large).collect()}
+    count = lambda rows, size: max(1, -(-rows // size))
+    table = lambda of: (F.array(*[F.lit(of(c, at_home.get(c, 0), length_of[c])) for c in range(at)] or [F.lit(1)]),
+                        F.create_map(*[F.lit(x) for c, n_ in alone.items() for x in (c, of(c, n_, -c))]) if alone else None)
+    blocks = table(lambda c, rows, length: count(rows, holds(length)))
+    met = table(lambda c, rows, length: count(rows + visits.get(c, 0), MEETS))
+
+    def pick(found: tuple, c: Column) -> Column:
+        other = F.lit(1) if found[1] is None else F.coalesce(F.try_element_at(found[1], c), F.lit(1))
+        return F.when(c >= 0, F.get(found[0], c)).otherwise(other)
+
     upto = lambda n_: F.explode(F.sequence(F.lit(0), n_ - 1))
     deal = lambda n_, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n_).cast("int")
     own = home.select("node", "size", "vec", F.col("home").alias("cell")).select(
@@ -177,7 +188,7 @@ def range_join(nodes: DataFrame, cosine: float, cell: int, block: int) -> DataFr
 
 
 def near_vectors(
-    df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", cell: int = CELL, block: int = BLOCK,
+    df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", cell: int = CELL, block: int | None = None,
 ) -> DataFrame:
     """(vec_id under its own name, n_links, component_id, kept) of every row.
 
@@ -186,9 +197,9 @@ def near_vectors(
     smallest identifier that links reach, and `kept` marks the row that bears it.
 
     Equal vectors are one node with a size. Pivots split the nodes into cells by angle, which
-    is a metric; `placed` says which cells see a node. Blocks of a cell stream past the rows
-    that may reach them, so neither a cell nor a crowd of near copies is gathered, and no
-    pairs are written: a block returns counts and a forest. The join is exact. Where
+    is a metric; `placed` says which cells see a node. Blocks of a cell, of `block` rows
+    or of 8 MB, are streamed past by the rows that may reach them, so neither a cell nor a crowd of near
+    copies is gathered, and no pairs are written: a block returns counts and a forest. The join is exact. Where
     vectors have no near neighbours to speak of (random directions in many
     dimensions), the bound prunes little, and every row meets every cell.
 
@@ -215,8 +226,7 @@ def near_vectors(
         "node", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
     )
     rooted = materialise(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(named, "root").select("node", "n_links", "component_id")
+    of = named(rooted).select("node", "n_links", "component_id")
     linked = good.select("__id", "node").join(of, "node").select("__id", "n_links", "component_id")
     alone = own.where(~F.col("__ok")).select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"))
     return linked.union(alone).select(

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from creditspark.llm import graph, vectors as vectors_module
 from creditspark.llm.vectors import near_vectors
 
 
@@ -73,3 +74,25 @@ def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     with pytest.raises(ValueError):
         near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), cosine=0)
+
+
+def test_lengths_without_a_pivot_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors_module, "FEWEST", 1)
+    monkeypatch.setattr(vectors_module, "MEETS", 50)
+    rows = vectors(4, 90, 3, 0.4) + [(1000 + i, v) for i, v in vectors(5, 90, 5, 0.3)]
+    check(spark, rows, cell=10**6, block=16)
+    monkeypatch.setattr(vectors_module, "BLOCK", 16 * 24)
+    check(spark, rows, cell=10**6)
+
+
+@pytest.mark.parametrize("hot", [1, 4, 10**6])
+def test_every_root_is_named_whatever_its_size(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "HOT", hot)
+    rows = [(f"r{i % 7 if i % 2 else 0}", i, 100 - i) for i in range(60)]
+    got = graph.named(spark.createDataFrame(rows, "root string, node long, first long")).collect()
+    least = {}
+    for root, _, first in rows:
+        least[root] = min(first, least.get(root, first))
+    assert sorted((r.root, r.node, r.first, r.component_id) for r in got) == sorted((*r, least[r[0]]) for r in rows)
+    none = graph.named(spark.createDataFrame([], "root string, node long, first long"))
+    assert none.collect() == []
