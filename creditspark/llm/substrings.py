@@ -10,8 +10,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditspark.llm.text import map_batches, shuffle_partitions, words
+from creditspark.operators.dictionary import category_dictionary, encode
 
 WIDTH = 13
 #: Base of the polynomial, modulo 2**64 (any odd number does: the word hashes are random already).
@@ -127,7 +129,8 @@ def repeated_hashes(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             hashes, docs = hashes[later], docs[later]
         return pa.table({"doc": docs, "hash": hashes})
 
-    return docs.mapInArrow(scan, SENT).groupBy("bucket").applyInArrow(meet, "doc long, hash long")
+    # as many tasks as buckets, so that a task's share does not grow with the text
+    return docs.mapInArrow(scan, SENT).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "doc long, hash long")
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -154,12 +157,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     Null, empty and short texts lose nothing. Rows with a null identifier neither
     lose words nor take any; rows that share an identifier do not take each other's.
     Repeated rows give repeated results, an empty table an empty one; other columns
-    are not carried.
+    are not carried. Identifiers that are no integers keep their type, and the smaller is
+    the one whose text comes first.
     """
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    if isinstance(texts.schema["id"].dataType, T.IntegralType):
+        texts = texts.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("doc"), "text")
+    else:
+        texts = encode(texts, category_dictionary(texts, ["id"]), ["id"]).select("id", F.col("idx_id").alias("doc"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(docs), -(-size // BUCKET_BYTES))
-    known_texts = texts.where("doc is not null and text is not null")
+    known_texts = texts.where("doc is not null and text is not null").select("doc", "text")
     repeats = repeated_hashes(known_texts, width, buckets).groupBy(F.col("doc").alias("of")).agg(F.collect_set("hash").alias("hashes"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -180,11 +188,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
                 column.append(part)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         kinds = pa.int64(), pa.int64(), span, pa.string()
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names=["doc", "n_words", "n_removed", "spans", "kept_text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names=["id", "n_words", "n_removed", "spans", "kept_text"])
 
-    joined = texts.join(repeats, F.col("doc") == F.col("of"), "left").select("doc", "text", "hashes")
-    schema = "doc long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
-    return map_batches(joined, cut, schema).withColumnRenamed("doc", key)
+    joined = texts.join(repeats, F.col("doc") == F.col("of"), "left").select("id", "text", "hashes")
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
+    return map_batches(joined, cut, schema).withColumnRenamed("id", key)
 
 
 def repeats_sql(width: int = WIDTH) -> str:

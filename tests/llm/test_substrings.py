@@ -90,3 +90,21 @@ def test_decided_windows_of_copies_are_dealt_over_the_buckets(spark, monkeypatch
     assert total > 10_000 and len(sizes) == 16 and max(sizes.values()) < 2 * total / 16
     rows_ = [(i, text) for i in range(12)]
     check(spark, rows_, 13)
+
+
+def test_identifiers_of_any_type(spark):
+    name = lambda d: None if d is None else f"doc-{d:04d}"
+    data = [(name(d), t) for d, t in rows()]
+    got = remove_repeats(spark.createDataFrame(data, "doc_id string, text string"), 5)
+    assert dict(got.dtypes)["doc_id"] == "string"
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()), key=repr) == plain(data, 5)
+    assert remove_repeats(spark.createDataFrame([], "doc_id string, text string")).collect() == []
+    small = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id int, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(small, 2).collect()) == [(1, 0), (2, 3)]
+
+
+def test_a_task_for_every_bucket(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1000)
+    check(spark, rows(), 5)
+    docs = spark.createDataFrame(rows(), "doc long, text string").where("doc is not null and text is not null")
+    assert substrings.repeated_hashes(docs, 5, 37).rdd.getNumPartitions() == 37
