@@ -10,11 +10,12 @@ from creditspark.operators import gate as G
 from creditspark.operators import reshape as H
 from creditspark.plans import inputs as I
 from creditspark.plans import jobs as J
+from creditspark.plans import q_profile  # noqa: F401  (its twins are part of one here)
 from creditspark.plans import sql as Q
 from creditspark.plans.q_files import database
 from creditspark.plans.q_model import short_candidates
 from creditspark.plans.q_report import CHAMPION, GATE1, GATE2, GATE3, GATE4, PERCENT
-from creditspark.plans.registry import query
+from creditspark.plans.registry import ORACLES, query
 from creditspark.sources import fixtures as X
 from creditspark.sources import sinks as OUT
 from creditspark.sources.scratch import scratch_path
@@ -61,6 +62,80 @@ def _(spark, d):
     )
 
 
+METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
+STATS = ["mean", "median", "std", "min", "max"]
+COMPARED = ["f1", "roc_auc", "accuracy", "recall"]
+
+
+def _cells_sql(section: str, source: str, item: str, fields: dict[str, str], order: str = "") -> str:
+    """Rows (section, place, item, field, value) of a twin's result; places are counted where the document has an order."""
+    place = f"row_number() OVER (ORDER BY {order}) - 1" if order else "0"
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, CAST({place} AS BIGINT) AS place, {item} AS item, '{f}' AS field, CAST({v} AS DOUBLE) AS value FROM ({source})"
+        for f, v in fields.items())
+
+
+def _document_sql() -> str:
+    percent = {m: f"round({'f1' if m == 'f1_score' else m} * 100, 2)" for m in METRICS}
+    thirds = {m: f"round({m}, 3)" for m in COMPARED}
+    return "SELECT * FROM (" + " UNION ALL ".join([
+        _cells_sql("champion", ORACLES["champion"], "name", percent),
+        _cells_sql("comparison", ORACLES["comparison_order"], "name", thirds, "round(f1, 3) DESC, name"),
+        _cells_sql("data_drift", ORACLES["psi_table"], "feature_name", {"psi": "psi_value"}, "psi_value DESC, feature_name"),
+        _cells_sql("nulls", ORACLES["eda_nulls"], "campo", {c: c for c in ("nulos", "porcentaje")}),
+        _cells_sql("target_distribution", ORACLES["target_distribution"], "label", {c: c for c in ("count", "percentage")}, "label"),
+        _cells_sql("descriptive_stats", ORACLES["descriptive_stats"], "variable", {c: c for c in STATS}),
+        _cells_sql("correlation", ORACLES["correlation"], "variable_x || ' ' || variable_y", {"correlation": "correlation"}),
+        _cells_sql("shap", ORACLES["mean_abs_contribution"], "feature", {"importance": "round(importance, 4)"}),
+    ]) + ") WHERE value IS NOT NULL"
+
+
+@query("report_cells", _document_sql())
+def _(spark, d):
+    """Every figure of the report's comparison, drift, profile, correlation and importance sections, with its place where these are ordered."""
+    doc = J.report(spark, governed(spark, d))
+
+    def read(path: str, schema: str):
+        return F.from_json(F.get_json_object("document", path), schema)
+
+    def cells(section: str, rows, fields, item, value, ordered: bool = False):
+        def of(x, i):
+            place = i.cast("long") if ordered else F.lit(0).cast("long")
+            return F.array(*[F.struct(
+                F.lit(section).alias("section"), place.alias("place"), item(x).alias("item"), F.lit(f).alias("field"), value(x, f).cast("double").alias("value"),
+            ) for f in fields])
+
+        return F.flatten(F.transform(rows, of))
+
+    def doubles(fields) -> str:
+        return ", ".join(f"{f}: double" for f in fields)
+
+    def mapped(section: str, path: str, fields):
+        rows = F.map_entries(read(path, f"map<string, struct<{doubles(fields)}>>"))
+        return cells(section, rows, fields, lambda x: x["key"], lambda x, f: x["value"][f])
+
+    def listed(section: str, path: str, name: str, fields, ordered: bool = True):
+        rows = read(path, f"array<struct<{name}: string, {doubles(fields)}>>")
+        return cells(section, rows, fields, lambda x: x[name], lambda x, f: x[f], ordered)
+
+    champion = F.array(read("$.champion", f"struct<model_name: string, metrics: struct<{doubles(METRICS)}>>"))
+    drift = F.arrays_zip(read("$.data_drift.labels", "array<string>").alias("label"), read("$.data_drift.psi", "array<double>").alias("psi"))
+    names, matrix = read("$.eda.correlation.columns", "array<string>"), read("$.eda.correlation.matrix", "array<array<double>>")
+    pairs = F.flatten(F.transform(matrix, lambda row, i: F.transform(row, lambda c, j: F.struct(
+        F.concat_ws(" ", F.get(names, i), F.get(names, j)).alias("pair"), c.alias("correlation")))))
+    parts = [
+        cells("champion", champion, METRICS, lambda x: x["model_name"], lambda x, f: x["metrics"][f]),
+        listed("comparison", "$.comparison", "name", COMPARED),
+        cells("data_drift", drift, ["psi"], lambda x: x["label"], lambda x, f: x[f], ordered=True),
+        mapped("nulls", "$.eda.nulls", ["nulos", "porcentaje"]),
+        listed("target_distribution", "$.eda.target_distribution", "label", ["count", "percentage"]),
+        mapped("descriptive_stats", "$.eda.descriptive_stats", STATS),
+        cells("correlation", pairs, ["correlation"], lambda x: x["pair"], lambda x, f: x[f]),
+        listed("shap", "$.shap.global", "feature", ["importance"], ordered=False),
+    ]
+    return doc.select(F.inline(F.concat(*parts))).where("value IS NOT NULL")
+
+
 def _sections(spark, d):
     return J.report(spark, governed(spark, d)).select(
         F.get_json_object("document", "$.shap").alias("shap"), F.get_json_object("document", "$.eda").alias("eda")
