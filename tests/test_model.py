@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from creditspark.operators import attribute as A
+from creditspark.operators import boosting as B
 from creditspark.operators import features as M
 from creditspark.operators import split as S
 from creditspark.operators import train as T
@@ -165,6 +166,26 @@ def test_eight_hundred_trees_are_explained_block_by_block(spark):
             assert f["contribution"] == pytest.approx(want, abs=1e-10)
 
 
+def test_nodes_that_no_row_reaches_are_attributed(spark):
+    """A symmetric tree cuts every node of a level, empty ones too: node 1 has no cover, and a row goes there."""
+    sums = np.array([[4.0, 9, 1.0], [0.0, 0, 1.0], [4.0, 9, 1.0], [0.0, 0, 0.0], [0.0, 0, 0.0], [1.0, 4, 0.0], [3.0, 5, 0.0]])
+    tree = B.Tree(
+        np.array([0, 1, 1, -1, -1, -1, -1]), np.zeros(7, int), np.array([1, 3, 5, -1, -1, -1, -1]), np.array([2, 4, 6, -1, -1, -1, -1]),
+        np.array([0.0, 0.0, 0.0, 0.25, -0.5, 0.75, -1.0]), sums,
+    )
+    model = B.spark_model(spark, [tree], 0.3, [np.zeros(1), np.zeros(1)], "target", "features")
+    x = np.array([[-1.0, -1.0], [-1.0, 1.0], [1.0, -1.0], [1.0, 1.0]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "loan_id long, a double, b double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    leaves = A.leaf_paths(A.tree_nodes(spark, model, scratch_path(spark, "trees")).collect())
+    margins = {r.loan_id: r.m for r in model.transform(df).select("loan_id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    for r in A.tree_contributions(df, model, scratch_path(spark, "trees"), ["a", "b"]).collect():
+        got, row = [f["contribution"] for f in r.factors], x[r.loan_id]
+        assert r.base + sum(got) == pytest.approx(margins[r.loan_id], abs=1e-12)
+        say = {k: subset_value(leaves, row, set(k)) for k in ((), (0,), (1,), (0, 1))}
+        assert got[0] == pytest.approx((say[0,] - say[()] + say[0, 1] - say[1,]) / 2, abs=1e-12)
+
+
 def test_linear_attribution_sums_to_the_score(spark, loans):
     contrib = A.linear_contributions(loans, {"x": 2.0, "z": -1.0}, {"x": 0.5, "z": 9.0})
     long = A.long_form(contrib).groupBy("loan_id").agg(F.sum("contribution").alias("s")).join(loans, "loan_id")
