@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,25 +96,27 @@ def path_attribution(x: np.ndarray, leaves) -> tuple[float, np.ndarray]:
     the integral over t in [0, 1] of the product of (1-t)*share + t*met over the
     other features, a polynomial that Gauss-Legendre nodes integrate exactly.
     """
+    # features side by side: one feature of all rows is read at a time
+    x = np.ascontiguousarray(x.T)
     base, phi = 0.0, np.zeros_like(x, dtype=float)
     for value, steps in leaves:
         base += value * float(np.prod([share for _, share, _ in steps]))
         if not steps:
             continue
-        share = np.array([s for _, s, _ in steps])
-        met = np.stack([_meets(x[:, f], tests) for f, _, tests in steps], axis=1).astype(float)
+        share = np.array([[s] for _, s, _ in steps])
+        met = np.stack([_meets(x[f], tests) for f, _, tests in steps]).astype(float)
         nodes, weights = np.polynomial.legendre.leggauss((len(steps) + 1) // 2)
         integral = np.zeros_like(met)
         for t, w in zip((nodes + 1) / 2, weights / 2):
             factor = (1 - t) * share + t * met
             # products of the factors before and after each one, as a factor may be 0
-            before, after = np.ones_like(factor), np.ones_like(factor)
-            before[:, 1:] = np.cumprod(factor[:, :-1], axis=1)
-            after[:, :-1] = np.cumprod(factor[:, :0:-1], axis=1)[:, ::-1]
-            integral += w * before * after
+            others = np.full_like(met, w)
+            others[1:] *= np.cumprod(factor[:-1], axis=0)
+            others[:-1] *= np.cumprod(factor[:0:-1], axis=0)[::-1]
+            integral += others
         for j, (f, _, _) in enumerate(steps):
-            phi[:, f] += value * (met[:, j] - share[j]) * integral[:, j]
-    return base, phi
+            phi[f] += value * (met[j] - share[j]) * integral[j]
+    return base, phi.T
 
 
 def tree_blocks(nodes: DataFrame, block_nodes: int) -> list[tuple[int, int]]:
@@ -144,19 +147,25 @@ def tree_contributions(
     spark = df.sparkSession
     nodes = tree_nodes(spark, model, path)
     kind = df.schema[key].dataType.simpleString()
-    zeros = F.transform("x", lambda _: F.lit(0.0))
-    rows = df.select(key, vector_to_array(features).alias("x")).select(key, F.lit(0.0).alias("base"), "x", zeros.alias("phi"))
+    rows = df.select(key, vector_to_array(features).alias("x"))
     blocks = tree_blocks(nodes, block_nodes)
     for i, (first, last) in enumerate(blocks):
         shared = spark.sparkContext.broadcast(leaf_paths(nodes.where(F.col("tree").between(first, last)).collect()))
 
         def explain(batches, shared=shared):
-            for batch in batches:
-                if len(batch):
-                    base, phi = path_attribution(np.stack(batch["x"].to_numpy()), shared.value)
-                    yield batch.assign(base=batch["base"] + base, phi=list(np.stack(batch["phi"].to_numpy()) + phi))
-
-        rows = rows.mapInPandas(explain, f"{key} {kind}, base double, x array<double>, phi array<double>")
+            for b in batches:
+                if b.num_rows:
+                    x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    base, phi = path_attribution(x, shared.value)
+                    base = np.full(len(x), base)
+                    if "phi" in b.schema.names:
+                        base += b.column("base").to_numpy()
+                        phi = phi + b.column("phi").flatten().to_numpy(zero_copy_only=False).reshape(phi.shape)
+                    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(phi).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([b.column(key), pa.array(base), b.column("x"), lists], names=[key, "base", "x", "phi"])
+
+        rows = rows.mapInArrow(explain, f"{key} {kind}, base double, x array<double>, phi array<double>")
         if i + 1 < len(blocks):
             so_far = scratch_path(spark, "explained")
             rows.write.parquet(so_far)

@@ -249,6 +249,6 @@ def _(spark, d):
     contrib = A.tree_contributions(ready, trees, scratch_path(spark, "trees"), M.feature_names(model))
     margin = trees.transform(ready).select("loan_id", vector_to_array("rawPrediction")[1].alias("margin"))
     total = F.col("base") + F.reduce("factors", F.lit(0.0), lambda a, f: a + f["contribution"])
-    return contrib.join(margin, "loan_id").select(
-        "loan_id", (F.abs(total - F.col("margin")) < 1e-9).alias("additive"), F.size("factors").cast("long").alias("factors")
-    )
+    # the sums meet the margins, not the factors with their names
+    sums = contrib.select("loan_id", total.alias("total"), F.size("factors").cast("long").alias("factors"))
+    return sums.join(margin, "loan_id").select("loan_id", (F.abs(F.col("total") - F.col("margin")) < 1e-9).alias("additive"), "factors")

@@ -249,3 +249,12 @@ def test_booster_parameter_names():
     assert T.boosted_trees(T.CATBOOST_BEST, "y", "f", "w").getMaxDepth() == 8
     assert T.boosted_trees(T.XGBOOST_BEST, "y", "f", "w").getFeatureSubsetStrategy() == "0.8"
     assert len(T._draws(T.XGBOOST_GRID, 20, 42)) == 20
+
+
+def test_factors_do_not_travel_to_the_margins(spark, sf_dir):
+    """tree_contributions joins sums with margins; the factors of a loan stay where they were found."""
+    from creditspark.plans.catalog import QUERIES
+
+    plan = QUERIES["tree_contributions"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join"):].splitlines()[1]
+    assert "Project" in join and "total" in join and "phi" not in join.split("total")[-1]
