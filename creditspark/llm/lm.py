@@ -1,11 +1,12 @@
-"""Language-model scores: word counts, and words spelled out by logistic context mixing."""
+"""Language-model scores: logistic context mixing over all bytes of the texts, and a base of word counts."""
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,111 +15,211 @@ from pyspark.sql import functions as F
 
 from creditspark.llm.text import ROWS, materialise, words
 
-#: Bytes of context that the predictors look back on, inside a word; 0 knows the place in the word alone.
-ORDERS = (0, 1, 2, 3, 4, 6)
-#: Each predictor has 2 ** SLOT_BITS counters, 16 of them for a context and half a byte.
+#: Bytes of context that predictors look back on, across word ends. Three more know the last two bytes and the text's
+#: group, the bytes of the word so far, and these with the word before.
+ORDERS = (4,)
+PREDICTORS = len(ORDERS) + 3
+#: Each predictor has 2 ** SLOT_BITS counters, one for a context and a node of the byte's code.
 SLOT_BITS = 20
 #: What a counter has before it counts, the step of the online learning, and how finely probabilities are refined.
-PRIOR, RATE, BINS, REACH = 0.4, 0.02, 24, 8.0
-#: Bytes learned at a time; words of a batch; distinct words that one learning task sees.
-STEP, WORDS, TASK_WORDS = 8192, 20_000, 500_000
+PRIOR, RATE, BINS, REACH, FINE = 0.4, 0.02, 24, 8.0, 16
+#: Bytes mixed at a time; bytes of text that one learning task sees.
+STEP, TASK_BYTES = 8192, 64_000_000
+#: Bytes whose contexts are made at a time. Longer texts are cut; a piece starts with so many bytes of the piece before it as context.
+PIECE, LEAD = 1 << 16, 64
+#: A text's group is guessed from its first bytes, up to so many; they themselves are foretold without one.
+GUESS = 64
 #: Slots that travel together.
 CHUNK = 1 << 16
 #: A word is looked up in the map task if it is one in so many words of the corpus and at most so long: at most HOT
 #: words are broadcast. All others are joined.
 HOT, HOT_BYTES = 500_000, 64
-#: The largest groups of texts have a model of their own each, up to so many.
+#: The largest groups of texts are told apart, up to so many.
 GROUPS = 8
 #: Words that a task counts before it sends them.
 REMEMBERED = 300_000
 #: The token that ends every text, and the byte that ends every word: neither stands in a word.
 END, STOP = b"\n", b" "
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The pair of bytes before the first byte of any word; only the most frequent pairs have a code of their own.
+START, PAIRS = STOP[0] * 257, 1024
+MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def stretch(p):
-    return np.log(p / (1.0 - p))
+def squash(x):
+    return 1 / (1 + np.exp(-x))
 
 
-def squash(x):
-    return 1.0 / (1.0 + np.exp(-x))
+class Code:
+    """Bits for a byte: a Huffman tree for each pair of bytes before it; eight bits each, highest first, where nothing is known.
+
+    counts: (pair, byte, how often) of the pairs that have a tree. A byte that never followed its pair has the eight bits behind
+    an escape; the little that an escape says of the other bytes is lost, so bytes sum to one or slightly less. Nothing
+    before a word's first byte is looked at.
+    """
+
+    def __init__(self, pairs: np.ndarray | None = None, after: np.ndarray | None = None, n: np.ndarray | None = None):
+        plain = [[(1 << k | byte >> (8 - k), byte >> (7 - k) & 1) for k in range(8)] for byte in range(256)]
+        paths = list(plain)
+        self.tree = np.zeros(1 << 16, dtype=np.int64)
+        for pair in [] if pairs is None else np.unique(pairs).tolist():
+            self.tree[pair] = len(paths)
+            own = self.huffman(dict(zip(after[pairs == pair].tolist(), n[pairs == pair].tolist(), strict=True)))
+            paths += [own[byte] if byte in own else own[256] + plain[byte] for byte in range(256)]
+        self.length = np.array([len(p) for p in paths])
+        self.start = np.cumsum(self.length) - self.length
+        node, bits = np.array([x for p in paths for x in p], dtype=np.int16).T
+        self.bits = bits.astype(np.int8)
+        self.marks = (node.astype(np.uint64) * MIX >> np.uint64(32)).astype(np.uint32)
+        self.depth = np.minimum(np.arange(len(node)) - np.repeat(self.start, self.length), 7).astype(np.int8)
+
+    @staticmethod
+    def huffman(counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+        """(node, bit) down to each byte, and to the escape, which is 256."""
+        # scaled, so that no path is long
+        total = sum(counts.values())
+        heap = [(1, 256, 256), *((1 + (v << 20) // total, byte, byte) for byte, v in counts.items())]
+        heapq.heapify(heap)
+        children, node = {}, 256
+        while len(heap) > 1:
+            (v, _, a), (w, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            node += 1
+            children[node] = a, b
+            heapq.heappush(heap, (v + w, node, node))
+        paths, open_ = {}, [(node, [])]
+        while open_:
+            node, path = open_.pop()
+            for bit, child in enumerate(children[node]):
+                further = [*path, (node, bit)]
+                if child <= 256:
+                    paths[child] = further
+                else:
+                    open_.append((child, further))
+        return paths
+
+
+PLAIN = Code()
 
 
 class Spelling:
-    """The bits of a batch of words with the counters that each predictor has for them."""
-
-    def __init__(self, tokens: list[bytes]):
-        raw = [t if t == END else t + STOP for t in tokens]
-        self.sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        self.codes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        place = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
-        high = (self.codes >> 4).astype(np.uint64)
-        self.slots = []
-        for order in ORDERS:
-            h = np.full(len(self.codes), order + 1, dtype=np.uint64)
-            if order == 0:
-                h += np.minimum(place, 15).astype(np.uint64) << np.uint64(8)
-            for back in range(1, order + 1):
-                seen = np.zeros(len(self.codes), dtype=np.uint64)
-                seen[back:] = self.codes[:-back] + 1 if back < len(self.codes) else 0
-                h = (h + np.where(place >= back, seen, 0).astype(np.uint64)) * MIX
-                h ^= h >> np.uint64(29)
-            first, second = self.spread(h), self.spread(h + (high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            self.slots.append((first, second))
+    """Rows of bytes with the context that each predictor has for every byte.
+
+    No context reaches back beyond its row. groups: a number for each row, 0 for none, which acts from byte `GUESS` of the
+    text on; leads: the bytes at a row's start that are context alone.
+    """
+
+    def __init__(self, raw: list[bytes], groups: list[int] | None = None, leads: list[int] | None = None, code: Code = PLAIN):
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        codes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        n = len(codes)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(n) - np.repeat(starts, sizes)
+        last = np.zeros(n, dtype=np.uint64)
+        contexts = {}
+        for back in range(1, max(ORDERS) + 1):
+            seen = np.zeros(n, dtype=np.uint64)
+            seen[back:] = codes[:-back]
+            seen[place < back] = 0
+            last |= seen << np.uint64(8 * (back - 1))
+            contexts[back] = last.copy() if back in (1, 2, *ORDERS) else None
+        contexts[2][place == 1] |= np.uint64(STOP[0] << 8)
+        before = np.where(place == 0, STOP[0], contexts[1])
+        # a word's bytes so far, as a polynomial in BASE: sums up to a byte less the sums up to the word's start
+        power = np.full(n, BASE)
+        back_power = np.full(n, UNBASE)
+        power[:1] = back_power[:1] = 1
+        power, back_power = np.cumprod(power), np.cumprod(back_power)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+        first = (before == STOP[0]) | (place == 0)
+        begins = np.flatnonzero(first)
+        word = np.cumsum(first) - 1
+        so_far = (sums[:-1] - sums[begins][word]) * back_power[begins][word]
+        ends = np.append(begins[1:], n)
+        whole = (sums[ends] - sums[begins]) * back_power[begins]
+        previous = np.zeros(len(begins), dtype=np.uint64)
+        previous[1:] = whole[:-1]
+        previous[place[begins] == 0] = 0
+        lead = np.zeros(len(raw), dtype=np.int64) if leads is None else np.array(leads, dtype=np.int64)
+        group = np.zeros(n, dtype=np.uint64)
+        if groups is not None:
+            group = np.repeat(np.array(groups, dtype=np.uint64), sizes)
+            group[(place < GUESS) & np.repeat(lead == 0, sizes)] = 0
+        hashed = [contexts[2] | group << np.uint64(32), *(contexts[order] for order in ORDERS), so_far, so_far + (previous[word] + np.uint64(1)) * MIX]
+        self.hashes = [self.spread(h + np.uint64(k + 1 << 60)) for k, h in enumerate(hashed)]
+        self.keys = code.tree[np.where(before == STOP[0], START, contexts[2].astype(np.int64))] + codes
+        self.code, self.sizes = code, sizes - lead
+        if lead.any():
+            counted_ = place >= np.repeat(lead, sizes)
+            self.hashes, self.keys = [h[counted_] for h in self.hashes], self.keys[counted_]
 
     @staticmethod
     def spread(h: np.ndarray) -> np.ndarray:
         h = (h ^ h >> np.uint64(32)) * MIX
-        return (h >> np.uint64(64 - SLOT_BITS + 4)).astype(np.int64) << 4
+        h = (h ^ h >> np.uint64(29)) * BASE
+        return (h >> np.uint64(32)).astype(np.uint32)
 
-    def bit(self, j: int, part: slice = slice(None)) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The j-th bits and each predictor's counter for them."""
-        codes = self.codes[part]
-        half, k = divmod(j, 4)
-        nibble = codes >> 4 if half == 0 else codes & 15
-        node = 1 << k | nibble >> (4 - k)
-        return nibble >> (3 - k) & 1, [pair[half][part] + node for pair in self.slots]
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For some bytes at a time: the bits of each byte's code, their number, their depth, and each predictor's counters."""
+        for at in range(0, len(self.keys), STEP):
+            keys = self.keys[at : at + STEP]
+            length = self.code.length[keys]
+            stops = np.cumsum(length)
+            path = np.arange(stops[-1]) + np.repeat(self.code.start[keys] - stops + length, length)
+            marks = self.code.marks[path]
+            slots = [((np.repeat(h[at : at + STEP], length) ^ marks) >> np.uint32(32 - SLOT_BITS)).astype(np.int64) for h in self.hashes]
+            yield self.code.bits[path], length, self.code.depth[path], slots
+
+
+def ended(tokens: list[bytes]) -> Spelling:
+    """Each token and its end, as a row of its own."""
+    return Spelling([t + END for t in tokens])
 
 
 class Mixer:
     """Gated weights over the predictors, and the table that refines the mixed probability.
 
-    The gate is the number of predictors that have met their context and the bit's place in its byte;
+    The gate is the number of predictors that have an opinion and the bit's place in its code;
     it chooses a set of weights, and a row of the refining table, which is read
     between the two bins next to the probability. The result is the mean of both.
     """
 
-    SETS = (len(ORDERS) + 1) * 8
+    SETS = (PREDICTORS + 1) * 8
 
     def __init__(self, weights: np.ndarray | None = None, table: np.ndarray | None = None):
-        self.weights = np.full((self.SETS, len(ORDERS)), 0.35) if weights is None else weights
+        self.weights = np.full((PREDICTORS, self.SETS), 0.35) if weights is None else weights
         even = squash(np.linspace(-REACH, REACH, BINS))
         self.table = np.tile(even, (self.SETS, 1)) if table is None else table
 
-    def gate(self, j: int, n: np.ndarray) -> np.ndarray:
-        """n: (predictor, bit) how often each context was met."""
-        return np.count_nonzero(n > 0, axis=0) * 8 + j
+    def gate(self, depth: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+        met = np.zeros(len(depth), dtype=np.int8)
+        for one in x:
+            met += one != 0
+        return (met * np.int8(8) + depth).astype(np.int64)
 
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, ...]:
+    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, ...]:
         """The probability of a one, and what learning needs."""
-        dot = np.clip((x * self.weights.T[:, gate]).sum(axis=0), -REACH, REACH)
-        at = (dot + REACH) * ((BINS - 1) / (2 * REACH))
-        low = np.minimum(at.astype(np.int64), BINS - 2)
-        share = at - low
+        weights, table = (self.weights / FINE).astype(np.float32), self.table.reshape(-1).astype(np.float32)
+        dot = np.zeros(len(gate), dtype=np.float32)
+        for one, w in zip(x, weights, strict=True):
+            dot += one * w[gate]
+        np.clip(dot, -REACH, REACH, out=dot)
+        at = (dot + np.float32(REACH)) * np.float32((BINS - 1) / (2 * REACH))
+        low = np.minimum(at.astype(np.int32), BINS - 2)
+        share = at - low.astype(np.float32)
         mixed = squash(dot)
-        refined = (1 - share) * self.table[gate, low] + share * self.table[gate, low + 1]
-        return np.clip(0.5 * (mixed + refined), 1e-6, 1 - 1e-6), mixed, low + (share > 0.5)
+        cell = gate * BINS + low
+        refined = table[cell]
+        refined += share * (table[1:][cell] - refined)
+        return np.clip((mixed + refined) * np.float32(0.5), 1e-6, 1 - 1e-6).astype(np.float64), mixed, cell + (share > 0.5)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, mixed: np.ndarray, nearest: np.ndarray, bit: np.ndarray) -> None:
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, mixed: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> None:
         """One step against the coding error, for all sets that the bits used."""
-        error = bit - mixed
+        error = (bit - mixed) / np.float32(FINE)
         used = np.bincount(gate, minlength=self.SETS)
         scale = RATE * np.sqrt(np.maximum(used, 1)) / np.maximum(used, 1)
-        of = (np.arange(len(ORDERS))[:, None] * self.SETS + gate).reshape(-1)
-        slope = np.bincount(of, weights=(error * x).reshape(-1), minlength=len(ORDERS) * self.SETS)
-        self.weights += scale[:, None] * slope.reshape(len(ORDERS), self.SETS).T
-        cell = gate * BINS + nearest
+        for w, one in zip(self.weights, x, strict=True):
+            w += scale * np.bincount(gate, weights=error * one, minlength=self.SETS)
         met = np.bincount(cell, minlength=self.SETS * BINS)
         ones = np.bincount(cell, weights=bit, minlength=self.SETS * BINS)
         pull = 1.0 - (1.0 - RATE) ** met
@@ -126,73 +227,107 @@ class Mixer:
         flat += pull * (np.where(met > 0, ones / np.maximum(met, 1), flat) - flat)
 
 
-def counted(tokens: Iterator[list[bytes]]) -> list[np.ndarray]:
-    """How often each counter saw a zero and a one, over words that count once each."""
-    totals = [np.zeros(2 << SLOT_BITS, dtype=np.int64) for _ in ORDERS]
-    for some in tokens:
-        spelled = Spelling(some)
-        met: list[list[np.ndarray]] = [[] for _ in ORDERS]
-        for j in range(8):
-            bit, slots = spelled.bit(j)
-            for counters, slot in zip(met, slots, strict=True):
-                counters.append(slot * 2 + bit)
-        for total, counters in zip(totals, met, strict=True):
-            total += np.bincount(np.concatenate(counters), minlength=2 << SLOT_BITS)
-    return totals
+def opinions(tables: np.ndarray) -> list[np.ndarray]:
+    """The logarithm of each counter's odds in steps of a sixteenth: a byte each, so that the caches hold them."""
+    odds = (np.log((t[:, 1] + np.float32(PRIOR)) / (t[:, 0] + np.float32(PRIOR))) for t in tables)
+    return [np.clip(np.rint(o * np.float32(FINE)), -127, 127).astype(np.int8) for o in odds]
+
+
+def count(tables: np.ndarray, bit: np.ndarray, slots: list[np.ndarray]) -> None:
+    for table, slot in zip(tables.reshape(PREDICTORS, -1), slots, strict=True):
+        np.add.at(table, slot * 2 + bit, np.int32(1))  # of the table's own type, or numpy takes its slow way
+
+
+def counted(rows: Iterator, spelling: Callable[..., Spelling] = ended) -> list[np.ndarray]:
+    """How often each counter saw a zero and a one."""
+    tables = np.zeros((PREDICTORS, 1 << SLOT_BITS, 2), dtype=np.int32)
+    for some in rows:
+        for bit, _, _, slots in spelling(some).parts():
+            count(tables, bit, slots)
+    return [t.reshape(-1) for t in tables]
+
+
+def learned(rows: Iterator, tables: np.ndarray, spelling: Callable[..., Spelling] = ended) -> tuple[Mixer, int]:
+    """A mixer that has seen the rows online, and the bytes it saw: each part is foretold, then counted into `tables`.
+
+    What the counters say is taken anew whenever the bytes seen have grown by half.
+    """
+    mixer, seen, due = Mixer(), 0, 0.0
+    for some in rows:
+        for bit, length, depth, slots in spelling(some).parts():
+            if seen >= due:
+                said, due = opinions(tables), 1.5 * seen + STEP
+            x = [o[slot] for o, slot in zip(said, slots, strict=True)]
+            gate = mixer.gate(depth, x)
+            _, mixed, cell = mixer.mix(x, gate)
+            mixer.learn(x, gate, mixed, cell, bit)
+            count(tables, bit, slots)
+            seen += len(length)
+    return mixer, seen
 
 
 class Speller:
-    """Scores words with counters that no longer change: each predictor's opinion is looked up."""
+    """Scores rows with counters that no longer change: each predictor's opinion is looked up."""
 
     def __init__(self, tables: np.ndarray, mixer: Mixer):
-        self.mixer = mixer
-        self.opinions = [np.log((t[:, 1] + PRIOR) / (t[:, 0] + PRIOR)).astype(np.float32) for t in tables]
-        self.seen = [t.any(axis=1) for t in tables]
+        self.mixer, self.opinions = mixer, opinions(tables)
 
-    def log2(self, tokens: list[bytes]) -> np.ndarray:
-        """The logarithm of each byte's probability, given the bytes before it in its word."""
-        spelled = Spelling(tokens)
-        out = np.zeros(len(spelled.codes))
-        for j in range(8):
-            bit, slots = spelled.bit(j)
-            x = np.stack([opinion[slot] for opinion, slot in zip(self.opinions, slots, strict=True)])
-            gate = self.mixer.gate(j, np.stack([seen[slot] for seen, slot in zip(self.seen, slots, strict=True)]))
-            p = self.mixer.mix(x, gate)[0]
-            out += np.log2(np.where(bit == 1, p, 1 - p))
-        return out
+    def bytes_log2(self, spelled: Spelling) -> np.ndarray:
+        """The logarithm of each byte's probability, given the bytes before it in its row."""
+        out = [np.zeros(0)]
+        for bit, length, depth, slots in spelled.parts():
+            x = [o[slot] for o, slot in zip(self.opinions, slots, strict=True)]
+            p = self.mixer.mix(x, self.mixer.gate(depth, x))[0]
+            out.append(np.log2(np.multiply.reduceat(np.where(bit == 1, p, 1 - p), np.cumsum(length) - length)))
+        return np.concatenate(out)
 
-    def log10(self, tokens: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability as a row of bytes with its end."""
-        sizes = np.fromiter((1 if t == END else len(t) + 1 for t in tokens), dtype=np.int64, count=len(tokens))
-        return np.add.reduceat(self.log2(tokens), np.cumsum(sizes) - sizes) * math.log10(2)
-
-
-def learned(tokens: Iterator[list[bytes]], tables: np.ndarray) -> tuple[Mixer, int]:
-    """A mixer that has seen the words online, one after another, each predicted from the counts of the others."""
-    mixer, seen = Mixer(), 0
-    zeros, ones = (np.ascontiguousarray(tables[:, :, b], dtype=np.float32) for b in (0, 1))
-    for some in tokens:
-        spelled = Spelling(some)
-        seen += len(spelled.codes)
-        for at in range(0, len(spelled.codes), STEP):
-            part = slice(at, at + STEP)
-            for j in range(8):
-                bit, slots = spelled.bit(j, part)
-                own = bit.astype(np.float32)
-                n0 = np.stack([np.take(t, slot) for t, slot in zip(zeros, slots, strict=True)])
-                n1 = np.stack([np.take(t, slot) for t, slot in zip(ones, slots, strict=True)])
-                n0, n1 = np.maximum(n0 - (1 - own), 0), np.maximum(n1 - own, 0)
-                x = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
-                gate = mixer.gate(j, n0 + n1)
-                _, mixed, nearest = mixer.mix(x, gate)
-                mixer.learn(x, gate, mixed, nearest, bit)
-    return mixer, seen
+    def log2(self, tokens: list[bytes]) -> np.ndarray:
+        return self.bytes_log2(ended(tokens))
 
+    def rows_log10(self, spelled: Spelling) -> np.ndarray:
+        """log10 of each row's probability."""
+        return np.add.reduceat(self.bytes_log2(spelled), np.cumsum(spelled.sizes) - spelled.sizes) * math.log10(2)
 
-def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    for b in batches:
-        for at in range(0, b.num_rows, WORDS):
-            yield b.column(0).slice(at, WORDS).to_pylist()
+    def log10(self, tokens: list[bytes]) -> np.ndarray:
+        return self.rows_log10(ended(tokens))
+
+
+class Reader:
+    """Makes the rows of texts: their code, and the guess of each text's group from the triples of its first bytes."""
+
+    def __init__(self, code: Code = PLAIN, votes: np.ndarray | None = None):
+        self.code, self.votes = code, votes
+
+    def guesses(self, heads: list[bytes]) -> list[int]:
+        """The group, from 1, whose words hold these bytes likeliest; 0 if there is no choice."""
+        if self.votes is None or not heads:
+            return [0] * len(heads)
+        sizes = np.fromiter(map(len, heads), dtype=np.int64, count=len(heads))
+        return (np.add.reduceat(self.votes[Spelling(heads, code=self.code).keys], np.cumsum(sizes) - sizes).argmax(axis=1) + 1).tolist()
+
+    def spellings(self, texts: Iterator[list[bytes]]) -> Iterator[tuple[list[int], Spelling]]:
+        """Texts, given as words, in rows of at most `PIECE` bytes and some at a time, with the number of each row's text."""
+        def made() -> tuple[list[int], Spelling]:
+            nonlocal group
+            fresh = iter(self.guesses([raw[:GUESS] for _, raw, lead in held if not lead]))
+            groups = []
+            for _, _, lead in held:
+                group = group if lead else next(fresh)
+                groups.append(group)
+            number, raw, leads = zip(*held, strict=True)
+            return list(number), Spelling(list(raw), groups, list(leads), self.code)
+
+        held, size, group = [], 0, 0
+        for i, text in enumerate(texts):
+            whole = b" ".join([*text, END])
+            for at in range(0, len(whole), PIECE):
+                held.append((i, whole[max(0, at - LEAD) : at + PIECE], min(at, LEAD)))
+                size += len(held[-1][1])
+                if size >= PIECE:
+                    yield made()
+                    held, size = [], 0
+        if held:
+            yield made()
 
 
 def count_words(texts: DataFrame, groups: list[str]) -> DataFrame:
@@ -228,110 +363,123 @@ def count_words(texts: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def context_tables(types: DataFrame) -> np.ndarray:
-    """(predictor, counter, bit) counts over all distinct words; the driver holds this fixed size whatever the corpus."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [], [], [], []
-        for k, total in enumerate(counted(word_batches(batches))):
-            used = np.flatnonzero(total)
-            cuts = np.searchsorted(used, np.arange(0, (2 << SLOT_BITS) + CHUNK, CHUNK))
-            for c, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if z > a:
-                    for column, value in zip(rows, (k, c, (used[a:z] - c * CHUNK).astype(np.uint16).tobytes(), total[used[a:z]].astype(np.uint32).tobytes()), strict=True):
-                        column.append(value)
-        kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary()
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, rows, kinds)), names=["k", "c", "at", "n"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, dtype=np.int64)
-        for at, n in zip(group.column("at").to_pylist(), group.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
-        capped = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
-        return pa.table({"k": group.column("k")[:1], "c": group.column("c")[:1], "n": pa.array([capped.tobytes()], pa.binary())})
-
-    sums = types.mapInArrow(count, "k int, c int, at binary, n binary").groupBy("k", "c").applyInArrow(add, "k int, c int, n binary")
-    tables = np.zeros((len(ORDERS), 2 << SLOT_BITS), dtype=np.int32)
-    for k, c, n in sums.collect():
-        tables[k, c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(bytes(n), dtype=np.int32)
-    return tables.reshape(len(ORDERS), 1 << SLOT_BITS, 2)
-
-
-def averaged_mixer(types: DataFrame, shipped) -> Mixer:
-    """Every task learns online over its share of the words; weights and table are averaged by the bytes seen."""
+def triples(counts: DataFrame, sides: list[str]) -> DataFrame:
+    """(pair, byte, and for each side n): how often a byte follows two others inside the words, each as often as it was counted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [w if w == END else w + STOP for w in b.column(0).to_pylist()]
+            sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+            if not len(raw):
+                continue
+            codes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            one, two = (np.concatenate([np.full(k, STOP[0]), codes[:-k]])[: len(codes)] for k in (1, 2))
+            one[starts] = two[starts] = STOP[0]
+            later = starts[sizes > 1] + 1
+            two[later] = STOP[0]
+            key, at = np.unique((two * 256 + one) * 256 + codes, return_inverse=True)
+            n = [np.bincount(at, weights=np.repeat(b.column(1 + k).to_numpy(), sizes), minlength=len(key)).astype(np.int64) for k in range(len(sides))]
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 8), pa.array(key & 255), *map(pa.array, n)], names=["pair", "byte", *sides])
+
+    found = counts.where("train > 0").select("word", *sides).mapInArrow(run, ", ".join(f"{c} long" for c in ("pair", "byte", *sides)))
+    return found.groupBy("pair", "byte").agg(*[F.sum(c).alias(c) for c in sides])
+
+
+def reader(counts: DataFrame, groups: int) -> Reader:
+    """Codes and votes from the words that teach; the driver holds 256 triples of each of the most frequent pairs."""
+    sides = ["train", *(f"t{k}" for k in range(groups))]
+    met = triples(counts, sides)
+    frequent = met.groupBy("pair").agg(F.sum("train").alias("all")).orderBy(F.desc("all"), "pair").limit(PAIRS)
+    rows = np.array(met.join(frequent.select("pair"), "pair").orderBy("pair", "byte").select("pair", "byte", *sides).collect(), dtype=np.int64)
+    if not len(rows):
+        return Reader()
+    code = Code(*rows[:, :3].T)
+    if groups < 2:
+        return Reader(code)
+    votes = np.zeros((len(code.length), groups), dtype=np.float32)
+    own = rows[:, 3:]
+    votes[code.tree[rows[:, 0]] + rows[:, 1]] = np.log((own + 0.5) / (own.sum(axis=0) + 0.5 * len(own)))
+    return Reader(code, votes)
+
+
+def teach(texts: DataFrame, shipped) -> tuple[np.ndarray, Mixer]:
+    """Counters over all bytes of the texts, and a mixer that learned online from all of them.
+
+    Every task foretells its share of the texts byte by byte and counts them; counts are added, weights and table are
+    averaged by the bytes seen. The driver holds these, of fixed size whatever the corpus.
+    """
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = learned(word_batches(batches), shipped.value)
+        tables = np.zeros((PREDICTORS, 1 << SLOT_BITS, 2), dtype=np.int32)
+        given = (words(t.as_py(), lower=True) for b in batches for t in b.column(0))
+        mixer, seen = learned(shipped.value.spellings(given), tables, lambda some: some[1])
+        names = ["k", "c", "at", "n"]
+        kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary()
         if seen:
             numbers = np.concatenate([mixer.weights.reshape(-1), mixer.table.reshape(-1)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(numbers)), pa.int32()), pa.array(numbers * seen), pa.array(np.full(len(numbers), float(seen)))], names=["i", "total", "seen"],
-            )
+            row = [-1], [0], [np.float64(seen).tobytes()], [numbers.tobytes()]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, row, kinds)), names=names)
+        for k, total in enumerate(tables.reshape(PREDICTORS, -1)):
+            for c, chunk in enumerate(total.reshape(-1, CHUNK)):
+                used = np.flatnonzero(chunk)
+                if len(used):
+                    row = [k], [c], [used.astype(np.uint16).tobytes()], [chunk[used].astype(np.uint32).tobytes()]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, row, kinds)), names=names)
 
-    mean = types.mapInArrow(learn, "i int, total double, seen double").groupBy("i").agg((F.sum("total") / F.sum("seen")).alias("v"))
-    numbers = np.array([r[1] for r in sorted(mean.collect())])
-    if not len(numbers):
-        return Mixer()
-    cut = Mixer.SETS * len(ORDERS)
-    return Mixer(numbers[:cut].reshape(Mixer.SETS, -1), numbers[cut:].reshape(Mixer.SETS, -1))
-
-
-def spell(types: DataFrame, shipped, mixer: Mixer) -> DataFrame:
-    """Every distinct word, its columns, and the log10 of the probability of its spelling."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(shipped.value, mixer)
-        for b in batches:
-            for at in range(0, b.num_rows, WORDS):
-                some = b.slice(at, WORDS)
-                spelled = speller.log10(some.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(spelled)], names=[*some.schema.names, "spelled"])
-
-    return types.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in types.schema) + ", spelled double")
-
-
-class Counts:
-    """Totals of a side: its tokens, distinct words, and the share of each count that is put aside for other words."""
-
-    def __init__(self, tokens: int, types: int, once: int, twice: int):
-        self.tokens, self.types = tokens, types
-        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-        self.aside = math.log10(self.discount * types / tokens) if tokens else 0.0
-
-    def log10(self, count: Column, other: Column) -> Column:
-        """What the count says, less the discount, and the share put aside for `other`, a log10 probability."""
-        kept = (count - F.lit(self.discount)) / F.lit(float(max(self.tokens, 1)))
-        aside = other + F.lit(self.aside)
-        return F.when(count > 0, F.log10(kept + F.pow(F.lit(10.0), aside))).otherwise(aside)
+    def add(group: pa.Table) -> pa.Table:
+        k, c = group.column("k")[0].as_py(), group.column("c")[0].as_py()
+        pairs = zip(group.column("at").to_pylist(), group.column("n").to_pylist(), strict=True)
+        if k < 0:  # the mixers, in an order that does not depend on the tasks
+            seen, numbers = zip(*((np.frombuffer(at)[0], np.frombuffer(n)) for at, n in sorted(pairs)), strict=True)
+            out = np.average(numbers, axis=0, weights=seen)
+        else:
+            total = np.zeros(CHUNK, dtype=np.int64)
+            for at, n in pairs:
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+            out = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        return pa.table({"k": pa.array([k], pa.int32()), "c": pa.array([c], pa.int32()), "n": pa.array([out.tobytes()], pa.binary())})
+
+    sums = texts.mapInArrow(learn, "k int, c int, at binary, n binary").groupBy("k", "c").applyInArrow(add, "k int, c int, n binary")
+    tables, mixer = np.zeros((PREDICTORS, 2 << SLOT_BITS), dtype=np.int32), Mixer()
+    for k, c, n in sums.toLocalIterator():
+        if k < 0:
+            numbers, cut = np.frombuffer(bytes(n)), Mixer.SETS * PREDICTORS
+            mixer = Mixer(numbers[:cut].reshape(PREDICTORS, -1), numbers[cut:].reshape(Mixer.SETS, -1))
+        else:
+            tables[k, c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(bytes(n), dtype=np.int32)
+    return tables.reshape(PREDICTORS, 1 << SLOT_BITS, 2), mixer
 
 
 class Words:
-    """All distinct words with their counts and spelling, and the formulas that score them."""
+    """All distinct words with their counts, the teaching tokens and distinct words, and what scores whole texts."""
 
-    def __init__(self, table: DataFrame, sides: list[Counts], every: Counts):
-        self.table, self.sides, self.every = table, sides, every
+    def __init__(self, table: DataFrame, tokens: int, types: int, reader: Reader, speller: Speller):
+        self.table, self.tokens, self.types, self.reader, self.speller = table, tokens, types, reader, speller
 
     def base(self) -> Column:
-        return F.log10((F.col("train") + 1) / F.lit(float(self.every.tokens + self.every.types + 1)))
+        return F.log10((F.col("train") + 1) / F.lit(float(self.tokens + self.types + 1)))
+
 
-    def scores(self) -> list[Column]:
-        """log10 probabilities: over the whole corpus, then for each group, which falls back on the whole."""
-        whole = self.every.log10(F.col("train"), F.col("spelled"))
-        return [whole, *(side.log10(F.col(f"t{k}"), whole) for k, side in enumerate(self.sides))]
+def texts_log10(read: Reader, speller: Speller, texts: list[list[bytes]]) -> np.ndarray:
+    """log10 of the probability of each text, given as words, and its end."""
+    out = np.zeros(len(texts))
+    for number, spelled in read.spellings(iter(texts)):
+        np.add.at(out, number, speller.rows_log10(spelled))
+    return out
 
 
 def learn_words(texts: DataFrame) -> Words:
-    """Count and spell the words of (text, teaches, grp)."""
+    """Count the words of (text, teaches, grp), and teach the bit predictors and their mixer all bytes of the texts that teach."""
     spark = texts.sparkSession
     sizes = texts.where("teaches and grp is not null").groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(GROUPS)
     groups = [r[0] for r in sizes.collect()]
     counts = materialise(count_words(texts, groups), "word-counts")
-    sides = ["train", *(f"t{k}" for k in range(len(groups)))]
-    totals = counts.agg(*[x for c in sides for x in (
-        F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2),
-    )]).first()
-    every, *own = [Counts(*totals[4 * i : 4 * i + 4]) for i in range(len(sides))]
-    distinct = counts.where("train > 0").select("word").coalesce(max(1, -(-every.types // TASK_WORDS)))
-    shipped = spark.sparkContext.broadcast(context_tables(distinct))
-    mixer = averaged_mixer(distinct, shipped)
-    return Words(materialise(spell(counts, shipped, mixer), "word-spellings"), own, every)
+    size = F.when(F.col("word") == F.lit(END), 1).otherwise(F.octet_length("word") + 1)
+    tokens, types, taught = counts.agg(
+        F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.coalesce(F.sum(F.col("train") * size), F.lit(0)),
+    ).first()
+    read = reader(counts, len(groups))
+    share = texts.where("teaches").select("text").coalesce(max(1, -(-taught // TASK_BYTES)))
+    return Words(counts, tokens, types, read, Speller(*teach(share, spark.sparkContext.broadcast(read))))
 
 
 def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
@@ -342,14 +490,15 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
     by counts plus one; `score` that of the model, whose bits over the bytes of all
     words, each with its end, are `bits_per_byte`.
 
-    Spelling: several predictors, each with hashed counters for the last few bytes of a
-    word, give every bit a probability; weights chosen by a gate mix them in the logistic
-    domain and learn online, and a table refines the mix. Each word teaches once,
-    from the counts of the others. Words: a discounted count, and the discounts' share
-    for the spelling. Texts: if `group` names a column, the largest groups of teaching texts have counts of
-    their own, which fall back on the whole; the whole and the groups start with equal
-    weights, and every token moves them by how well it was foretold. The group of
-    a text that is scored is not looked at.
+    The model foretells every bit of a text's bytes, words with one blank behind each and
+    the text's end. Bits are those of a Huffman code for each pair of bytes before. Predictors
+    with hashed counters for the last bytes, across word ends, for the word so far, and for
+    that and the word before, give every bit a probability; weights chosen by a gate mix them in the logistic
+    domain and learn online, and a table refines the mix. Counters and mixer learn from
+    all bytes of all teaching texts, each foretold before it is counted. If `group` names a column, the words of
+    the largest groups of teaching texts tell from a text's first 64 bytes which it is like,
+    and one predictor knows that for the rest. The group of a text itself is not looked at. Texts
+    over 65,536 bytes are foretold in pieces that look back 64 bytes at most.
 
     Words that make up much of the corpus are looked up where they are met, at most 500,000
     of them; all others are joined, after they were summed up in their text.
@@ -363,13 +512,14 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
     learnt = learn_words(given.select("text", "teaches", "grp"))
     size = F.when(F.col("word") == F.lit(END), 1).otherwise(F.octet_length("word") + 1)
     total = learnt.table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    numbers = [(F.col("train") > 0).cast("double"), size.cast("double"), learnt.base(), *learnt.scores()]
+    numbers = [(F.col("train") > 0).cast("double"), size.cast("double"), learnt.base()]
     width = len(numbers)
     frequent = learnt.table.where((F.col("n") * F.lit(HOT) >= F.lit(total)) & (F.octet_length("word") <= HOT_BYTES))
     collected = frequent.select("word", F.array(*numbers)).collect()
     hot = docs.sparkSession.sparkContext.broadcast(
         ({bytes(r[0]): i for i, r in enumerate(collected)}, np.array([r[1] for r in collected]).reshape(-1, width)),
     )
+    model = docs.sparkSession.sparkContext.broadcast((learnt.reader, learnt.speller))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, table = hot.value
@@ -377,9 +527,11 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
             for at in range(0, b.num_rows, ROWS // 4):
                 some = b.slice(at, ROWS // 4)
                 keys, marks, found, n, own = [], [], [], [], []
-                for row, (key_, text_) in enumerate(zip(some.column(0).to_pylist(), some.column(1), strict=True)):
-                    t = text_.as_py() or ""
-                    counts = Counter(words(t, lower=True))
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                tokens = [words(t, lower=True) for t in texts]
+                scores = texts_log10(*model.value, tokens).tolist()
+                for row, (key_, t, score) in enumerate(zip(some.column(0).to_pylist(), texts, scores, strict=True)):
+                    counts = Counter(tokens[row])
                     counts[END] += 1
                     at_ = np.fromiter((place.get(w, -1) for w in counts), dtype=np.int64, count=len(counts))
                     c = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
@@ -388,7 +540,7 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
                     found += [*rare, b" %d" % zlib.crc32(b"%d %r" % (row, key_))]
                     n += [*c[at_ < 0].tolist(), int(c.sum())]
                     own += [None] * len(rare)
-                    own.append((c[at_ >= 0] @ table[at_[at_ >= 0]]).tolist())
+                    own.append([*(c[at_ >= 0] @ table[at_[at_ >= 0]]).tolist(), score])
                     keys += [key_] * (len(rare) + 1)
                     marks += [zlib.crc32(t.encode("utf-8", "surrogatepass"))] * (len(rare) + 1)
                 kinds = some.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.float64())
@@ -396,22 +548,19 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
 
     kind = given.schema["key"].dataType.simpleString()
     parts = given.select("key", "text").mapInArrow(sums, f"key {kind}, mark long, word binary, c long, own array<double>")
-    counts = [c for c in learnt.table.columns if c not in ("word", "n")]
-    # counts and one spelling travel, not the scores; a text's rows then meet in one task, which scores and adds them
-    met = parts.join(learnt.table.select("word", *counts), "word", "left").withColumn("__size", size).select(
-        "key", "mark", "c", "own", "__size", *counts,
+    # counts travel, not logarithms; a text's rows then meet in one task, which adds them
+    met = parts.join(learnt.table.select("word", "train"), "word", "left").withColumn("__size", size).select(
+        "key", "mark", "c", "own", "__size", "train",
     ).repartition("key", "mark")
     whole = F.col("own").isNotNull()
     wide = [F.when(whole, F.get("own", F.lit(i))).otherwise(F.col("c") * x) for i, x in enumerate([numbers[0], F.col("__size"), *numbers[2:]])]
     # rows equal in identifier and text are summed together and share the sums out again
     per_text = met.groupBy("key", "mark").agg(
         F.count_if(whole).alias("rows"), F.sum(F.when(whole, F.col("c"))).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(wide)],
+        F.sum(F.get("own", F.lit(width))).alias("score"),
     )
-    scores = [F.col(f"s{i}") / F.col("rows") for i in range(3, width)]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    score = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in scores[1:]), F.pow(F.lit(10.0), scores[0] - best)) / F.lit(float(len(scores))))
-    return per_text.withColumn("score", score).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(
+    return per_text.withColumn("score", F.col("score") / F.col("rows")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(
         F.col("key").alias(key), F.expr("n div rows").alias("n_tokens"), F.round(F.col("s0") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(learnt.every.tokens).cast("long").alias("train_tokens"), (F.col("s2") / F.col("rows")).alias("base_score"), "score",
+        F.lit(learnt.tokens).cast("long").alias("train_tokens"), (F.col("s2") / F.col("rows")).alias("base_score"), "score",
         (-F.col("score") * F.lit(math.log2(10)) * F.col("rows") / F.col("s1")).alias("bits_per_byte"),
     )

@@ -82,3 +82,40 @@ def test_empty_and_untaught_tables(spark):
     rows = {r.doc_id: r for r in score_texts(df, F.lit(None).cast("boolean")).collect()}
     assert rows[1].bits_per_byte == pytest.approx(8.0) and rows[1].train_tokens == 0 and rows[2].n_tokens == 1
     assert rows[1].score == pytest.approx(-8 * 6 * math.log10(2))
+
+
+def test_bits_are_learned_from_whole_texts_across_word_ends(spark):
+    # every word is as frequent as any other and follows one other only
+    taught = "red fox jumps over nine lazy dogs near old mills"
+    shuffled = "mills nine red over dogs fox old lazy jumps near"
+    rows = [(i, taught, True) for i in range(60)] + [(100, taught, False), (101, shuffled, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
+    got = {r.doc_id: r for r in score_texts(df, F.col("teaches")).collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score)
+    assert got[100].score > got[101].score + 5
+
+
+def test_every_teaching_byte_is_counted_once_as_often_as_it_stands(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 90)
+    texts = ["The cat  sat\n", "", None, "the cat sat", "x" * 500, "word " * 60]
+    df = spark.createDataFrame([(t, True, None) for t in [*texts, *texts]], "text string, teaches boolean, grp string")
+    learnt = lm.learn_words(df)
+    raw = [b" ".join([*words(t, lower=True), lm.END]) for t in texts]
+    seen = sum(len(spelled.keys) for _, spelled in learnt.reader.spellings(words(t, lower=True) for t in texts))
+    assert seen == sum(map(len, raw))
+    tables, _ = lm.teach(df.select("text"), spark.sparkContext.broadcast(learnt.reader))
+    bits = 2 * sum(learnt.reader.code.length[s.keys].sum() for _, s in learnt.reader.spellings(words(t, lower=True) for t in texts))
+    assert tables.sum(axis=(1, 2)).tolist() == [bits] * lm.PREDICTORS
+
+
+def test_codes_hold_every_byte_and_next_bytes_sum_to_nearly_one():
+    code = lm.Code(np.array([lm.START] * 3 + [lm.STOP[0] * 256 + 97] * 2), np.array([97, 98, 10, 98, 32]), np.array([5, 1, 9, 2, 1]))
+    read = lm.Reader(code)
+    tables = np.zeros((lm.PREDICTORS, 1 << lm.SLOT_BITS, 2), dtype=np.int32)
+    mixer, seen = learned(read.spellings(iter([[b"ab", b"a"], [b"a"]] * 50)), tables, lambda some: some[1])
+    assert seen == 50 * 9
+    speller = Speller(tables, mixer)
+    for prefix in (b"", b"a", b"ab a", b"z"):
+        last = [2 ** speller.bytes_log2(lm.Spelling([prefix + bytes([b])], code=code))[len(prefix)] for b in range(256)]
+        # what an escape says of bytes that have a path of their own is never used
+        assert 1 - 1e-3 < sum(last) < 1 + 1e-6
