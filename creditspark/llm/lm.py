@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.llm.text import ROWS, materialise, words
+from creditspark.llm.text import BLANKS_TO_SPACE, LOWER_BYTES, ROWS, materialise, words
 
 #: Bytes of context that predictors look back on, across word ends. Three more know the last two bytes and the text's
 #: group, the bytes of the word so far, and these with the word before.
@@ -23,23 +23,24 @@ PREDICTORS = len(ORDERS) + 3
 SLOT_BITS = 20
 #: What a counter has before it counts, the step of the online learning, and how finely probabilities are refined.
 PRIOR, RATE, BINS, REACH, FINE = 0.4, 0.02, 24, 8.0, 16
-#: Bytes mixed at a time; bytes of text that one learning task sees.
+#: Bytes whose contexts are made and mixed at a time, and up to twice as many; bytes of text that one learning task sees.
 STEP, TASK_BYTES = 8192, 64_000_000
-#: Bytes whose contexts are made at a time. Longer texts are cut; a piece starts with so many bytes of the piece before it as context.
+#: Texts of more bytes are cut; a piece starts with so many bytes of the piece before it as context.
 PIECE, LEAD = 1 << 16, 64
 #: A text's group is guessed from its first bytes, up to so many; they themselves are foretold without one.
 GUESS = 64
 #: Slots that travel together.
 CHUNK = 1 << 16
-#: A word is looked up in the map task if it is one in so many words of the corpus and at most so long: at most HOT
-#: words are broadcast. All others are joined.
-HOT, HOT_BYTES = 500_000, 64
+#: The most frequent words, at most so many and each at most so long, are broadcast and looked up in the map task. All
+#: others are joined.
+HOT, HOT_BYTES = 200_000, 64
 #: The largest groups of texts are told apart, up to so many.
 GROUPS = 8
 #: Words that a task counts before it sends them.
 REMEMBERED = 300_000
 #: The token that ends every text, and the byte that ends every word: neither stands in a word.
 END, STOP = b"\n", b" "
+LOWER_TO_SPACE = LOWER_BYTES.translate(BLANKS_TO_SPACE)
 #: The pair of bytes before the first byte of any word; only the most frequent pairs have a code of their own.
 START, PAIRS = STOP[0] * 257, 1024
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -59,7 +60,7 @@ class Code:
     """
 
     def __init__(self, pairs: np.ndarray | None = None, after: np.ndarray | None = None, n: np.ndarray | None = None):
-        plain = [[(1 << k | byte >> (8 - k), byte >> (7 - k) & 1) for k in range(8)] for byte in range(256)]
+        plain = [[(256 | 1 << k | byte >> (8 - k), byte >> (7 - k) & 1) for k in range(8)] for byte in range(256)]
         paths = list(plain)
         self.tree = np.zeros(1 << 16, dtype=np.int64)
         for pair in [] if pairs is None else np.unique(pairs).tolist():
@@ -69,18 +70,18 @@ class Code:
         self.length = np.array([len(p) for p in paths])
         self.start = np.cumsum(self.length) - self.length
         node, bits = np.array([x for p in paths for x in p], dtype=np.int16).T
-        self.bits = bits.astype(np.int8)
-        self.marks = (node.astype(np.uint64) * MIX >> np.uint64(32)).astype(np.uint32)
-        self.depth = np.minimum(np.arange(len(node)) - np.repeat(self.start, self.length), 7).astype(np.int8)
+        depth = np.minimum(np.arange(len(node)) - np.repeat(self.start, self.length), 7).astype(np.int16)
+        # a step of a path: its node, nine bits; its place in the path, three; the bit
+        self.steps = node << 4 | depth << 1 | bits
 
     @staticmethod
     def huffman(counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """(node, bit) down to each byte, and to the escape, which is 256."""
+        """(node, bit) down to each byte, and to the escape, which is 256. Nodes are numbered from the root, which is 0."""
         # scaled, so that no path is long
         total = sum(counts.values())
         heap = [(1, 256, 256), *((1 + (v << 20) // total, byte, byte) for byte, v in counts.items())]
         heapq.heapify(heap)
-        children, node = {}, 256
+        children, node, root = {}, 256, 256 + len(counts)
         while len(heap) > 1:
             (v, _, a), (w, _, b) = heapq.heappop(heap), heapq.heappop(heap)
             node += 1
@@ -90,7 +91,7 @@ class Code:
         while open_:
             node, path = open_.pop()
             for bit, child in enumerate(children[node]):
-                further = [*path, (node, bit)]
+                further = [*path, (root - node, bit)]
                 if child <= 256:
                     paths[child] = further
                 else:
@@ -99,6 +100,17 @@ class Code:
 
 
 PLAIN = Code()
+POWERS = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of BASE and of its inverse, made once for all texts of a task."""
+    if len(POWERS[0]) < n:
+        for k, x in enumerate((BASE, UNBASE)):
+            made = np.full(max(n, 2 * PIECE), x)
+            made[0] = 1
+            POWERS[k] = np.cumprod(made)
+    return POWERS[0][:n], POWERS[1][:n]
 
 
 class Spelling:
@@ -113,62 +125,89 @@ class Spelling:
         codes = np.frombuffer(b"".join(raw), dtype=np.uint8)
         n = len(codes)
         starts = np.cumsum(sizes) - sizes
-        place = np.arange(n) - np.repeat(starts, sizes)
+        wide = codes.astype(np.uint64)
         last = np.zeros(n, dtype=np.uint64)
         contexts = {}
         for back in range(1, max(ORDERS) + 1):
             seen = np.zeros(n, dtype=np.uint64)
-            seen[back:] = codes[:-back]
-            seen[place < back] = 0
-            last |= seen << np.uint64(8 * (back - 1))
-            contexts[back] = last.copy() if back in (1, 2, *ORDERS) else None
-        contexts[2][place == 1] |= np.uint64(STOP[0] << 8)
-        before = np.where(place == 0, STOP[0], contexts[1])
+            np.left_shift(wide[:-back], np.uint64(8 * (back - 1)), out=seen[back:])
+            for k in range(back):
+                seen[starts[sizes > k] + k] = 0
+            last |= seen
+            contexts[back] = last.copy() if back in (2, *ORDERS) else None
+        contexts[2][starts[sizes > 1] + 1] |= np.uint64(STOP[0] << 8)
         # a word's bytes so far, as a polynomial in BASE: sums up to a byte less the sums up to the word's start
-        power = np.full(n, BASE)
-        back_power = np.full(n, UNBASE)
-        power[:1] = back_power[:1] = 1
-        power, back_power = np.cumprod(power), np.cumprod(back_power)
+        power, back_power = powers(n)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-        first = (before == STOP[0]) | (place == 0)
+        wide += np.uint64(1)
+        wide *= power
+        np.cumsum(wide, out=sums[1:])
+        first = np.zeros(n, dtype=bool)
+        np.equal(codes[:-1], STOP[0], out=first[1:])
+        first[starts[sizes > 0]] = True
         begins = np.flatnonzero(first)
-        word = np.cumsum(first) - 1
-        so_far = (sums[:-1] - sums[begins][word]) * back_power[begins][word]
         ends = np.append(begins[1:], n)
         whole = (sums[ends] - sums[begins]) * back_power[begins]
         previous = np.zeros(len(begins), dtype=np.uint64)
         previous[1:] = whole[:-1]
-        previous[place[begins] == 0] = 0
+        previous[np.isin(begins, starts[sizes > 0], assume_unique=True)] = 0
+        # of the word that a byte is in: what its sums start from, their power, and the word before
+        word = np.cumsum(first) - 1
+        so_far = sums[:-1] - sums[begins][word]
+        so_far *= back_power[begins][word]
         lead = np.zeros(len(raw), dtype=np.int64) if leads is None else np.array(leads, dtype=np.int64)
-        group = np.zeros(n, dtype=np.uint64)
+        hashed = [contexts[2].copy(), *(contexts[order] for order in ORDERS), so_far, so_far + ((previous + np.uint64(1)) * MIX)[word]]
         if groups is not None:
-            group = np.repeat(np.array(groups, dtype=np.uint64), sizes)
-            group[(place < GUESS) & np.repeat(lead == 0, sizes)] = 0
-        hashed = [contexts[2] | group << np.uint64(32), *(contexts[order] for order in ORDERS), so_far, so_far + (previous[word] + np.uint64(1)) * MIX]
+            group = np.repeat(np.array(groups, dtype=np.uint64) << np.uint64(32), sizes)
+            for start, size, led in zip(starts.tolist(), sizes.tolist(), lead.tolist(), strict=True):
+                if not led:
+                    group[start : start + min(GUESS, size)] = 0
+            hashed[0] |= group
         self.hashes = [self.spread(h + np.uint64(k + 1 << 60)) for k, h in enumerate(hashed)]
-        self.keys = code.tree[np.where(before == STOP[0], START, contexts[2].astype(np.int64))] + codes
+        pair = contexts[2].astype(np.int64)
+        pair[begins] = START
+        self.keys = code.tree[pair]
+        self.keys += codes
         self.code, self.sizes = code, sizes - lead
         if lead.any():
-            counted_ = place >= np.repeat(lead, sizes)
+            counted_ = np.arange(n) - np.repeat(starts, sizes) >= np.repeat(lead, sizes)
             self.hashes, self.keys = [h[counted_] for h in self.hashes], self.keys[counted_]
 
     @staticmethod
     def spread(h: np.ndarray) -> np.ndarray:
-        h = (h ^ h >> np.uint64(32)) * MIX
-        h = (h ^ h >> np.uint64(29)) * BASE
-        return (h >> np.uint64(32)).astype(np.uint32)
+        """The counter of a context's first node."""
+        h ^= h >> np.uint64(32)
+        h *= MIX
+        h ^= h >> np.uint64(29)
+        h *= BASE
+        h >>= np.uint64(64 - SLOT_BITS)
+        return h.view(np.int64)
 
     def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For some bytes at a time: the bits of each byte's code, their number, their depth, and each predictor's counters."""
-        for at in range(0, len(self.keys), STEP):
-            keys = self.keys[at : at + STEP]
+        """For some bytes at a time: the bits of each byte's code, their number, their depth, and each predictor's counters.
+
+        A context's nodes lie around its first one, the frequent ones next to it, so that a byte's counters share a cache line.
+        """
+        n = len(self.keys)
+        step = -(-n // max(1, n // STEP)) or 1
+        for at in range(0, n, step):
+            keys = self.keys[at : at + step]
             length = self.code.length[keys]
             stops = np.cumsum(length)
-            path = np.arange(stops[-1]) + np.repeat(self.code.start[keys] - stops + length, length)
-            marks = self.code.marks[path]
-            slots = [((np.repeat(h[at : at + STEP], length) ^ marks) >> np.uint32(32 - SLOT_BITS)).astype(np.int64) for h in self.hashes]
-            yield self.code.bits[path], length, self.code.depth[path], slots
+            of = np.zeros(stops[-1], dtype=np.int64)
+            of[stops[:-1]] = 1
+            of = np.cumsum(of)
+            path = (self.code.start[keys] - stops + length)[of]
+            path += np.arange(len(path))
+            steps = self.code.steps[path]
+            node = (steps >> np.int16(4)).astype(np.int64)
+            slots = []
+            for h in self.hashes:
+                slot = h[at : at + step][of]
+                slot ^= node
+                slots.append(slot)
+            steps = steps.astype(np.int8)
+            yield steps & np.int8(1), length, steps >> np.int8(1) & np.int8(7), slots
 
 
 def ended(tokens: list[bytes]) -> Spelling:
@@ -198,30 +237,40 @@ class Mixer:
         return (met * np.int8(8) + depth).astype(np.int64)
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The probability of a one, and what learning needs."""
-        weights, table = (self.weights / FINE).astype(np.float32), self.table.reshape(-1).astype(np.float32)
+        """The mixed probability of a one, the bin of the refining table below it, and how near the one above is."""
+        weights = (self.weights / FINE).astype(np.float32)
         dot = np.zeros(len(gate), dtype=np.float32)
         for one, w in zip(x, weights, strict=True):
-            dot += one * w[gate]
+            share = w[gate]
+            share *= one
+            dot += share
         np.clip(dot, -REACH, REACH, out=dot)
-        at = (dot + np.float32(REACH)) * np.float32((BINS - 1) / (2 * REACH))
-        low = np.minimum(at.astype(np.int32), BINS - 2)
-        share = at - low.astype(np.float32)
-        mixed = squash(dot)
-        cell = gate * BINS + low
-        refined = table[cell]
-        refined += share * (table[1:][cell] - refined)
-        return np.clip((mixed + refined) * np.float32(0.5), 1e-6, 1 - 1e-6).astype(np.float64), mixed, cell + (share > 0.5)
+        share = dot + np.float32(REACH)
+        share *= np.float32((BINS - 1) / (2 * REACH))
+        low = np.minimum(share.astype(np.int32), np.int32(BINS - 2))
+        share -= low.astype(np.float32)
+        cell = gate * BINS
+        cell += low
+        return squash(dot), cell, share
+
+    def refine(self, mixed: np.ndarray, cell: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The probability of a one."""
+        table = self.table.reshape(-1).astype(np.float32)
+        share *= np.diff(table, append=table[-1:])[cell]
+        share += table[cell]
+        share += mixed
+        share *= np.float32(0.5)
+        return np.clip(share, 1e-6, 1 - 1e-6, out=share).astype(np.float64)
 
     def learn(self, x: list[np.ndarray], gate: np.ndarray, mixed: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> None:
         """One step against the coding error, for all sets that the bits used."""
         error = (bit - mixed) / np.float32(FINE)
-        used = np.bincount(gate, minlength=self.SETS)
+        zeros, ones = np.bincount(cell * 2 + bit, minlength=2 * self.SETS * BINS).reshape(-1, 2).T
+        met = zeros + ones
+        used = met.reshape(self.SETS, BINS).sum(axis=1)
         scale = RATE * np.sqrt(np.maximum(used, 1)) / np.maximum(used, 1)
         for w, one in zip(self.weights, x, strict=True):
             w += scale * np.bincount(gate, weights=error * one, minlength=self.SETS)
-        met = np.bincount(cell, minlength=self.SETS * BINS)
-        ones = np.bincount(cell, weights=bit, minlength=self.SETS * BINS)
         pull = 1.0 - (1.0 - RATE) ** met
         flat = self.table.reshape(-1)
         flat += pull * (np.where(met > 0, ones / np.maximum(met, 1), flat) - flat)
@@ -229,8 +278,15 @@ class Mixer:
 
 def opinions(tables: np.ndarray) -> list[np.ndarray]:
     """The logarithm of each counter's odds in steps of a sixteenth: a byte each, so that the caches hold them."""
-    odds = (np.log((t[:, 1] + np.float32(PRIOR)) / (t[:, 0] + np.float32(PRIOR))) for t in tables)
-    return [np.clip(np.rint(o * np.float32(FINE)), -127, 127).astype(np.int8) for o in odds]
+    said = np.empty(tables.shape[:2], dtype=np.int8)
+    for table, out in zip(tables, said, strict=True):
+        for at in range(0, len(table), STEP):
+            some = table[at : at + STEP].astype(np.float32)
+            some += np.float32(PRIOR)
+            odds = np.log(some[:, 1] / some[:, 0])
+            odds *= np.float32(FINE)
+            out[at : at + STEP] = np.clip(np.rint(odds, out=odds), -127, 127, out=odds)
+    return list(said)
 
 
 def count(tables: np.ndarray, bit: np.ndarray, slots: list[np.ndarray]) -> None:
@@ -259,7 +315,8 @@ def learned(rows: Iterator, tables: np.ndarray, spelling: Callable[..., Spelling
                 said, due = opinions(tables), 1.5 * seen + STEP
             x = [o[slot] for o, slot in zip(said, slots, strict=True)]
             gate = mixer.gate(depth, x)
-            _, mixed, cell = mixer.mix(x, gate)
+            mixed, cell, share = mixer.mix(x, gate)
+            cell += share > 0.5
             mixer.learn(x, gate, mixed, cell, bit)
             count(tables, bit, slots)
             seen += len(length)
@@ -277,8 +334,9 @@ class Speller:
         out = [np.zeros(0)]
         for bit, length, depth, slots in spelled.parts():
             x = [o[slot] for o, slot in zip(self.opinions, slots, strict=True)]
-            p = self.mixer.mix(x, self.mixer.gate(depth, x))[0]
-            out.append(np.log2(np.multiply.reduceat(np.where(bit == 1, p, 1 - p), np.cumsum(length) - length)))
+            p = self.mixer.refine(*self.mixer.mix(x, self.mixer.gate(depth, x)))
+            # the bit's own share: p of a one, 1 - p of a zero
+            out.append(np.log2(np.multiply.reduceat(np.abs(p - (bit ^ np.int8(1))), np.cumsum(length) - length)))
         return np.concatenate(out)
 
     def log2(self, tokens: list[bytes]) -> np.ndarray:
@@ -292,6 +350,14 @@ class Speller:
         return self.rows_log10(ended(tokens))
 
 
+def plain(text: str | None) -> bytes:
+    """A text's words, each with one blank behind it."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TO_SPACE)
+    if b"  " in raw or raw[:1] == b" " or raw[-1:] == b" ":
+        raw = b" ".join(raw.split())
+    return raw and raw + STOP
+
+
 class Reader:
     """Makes the rows of texts: their code, and the guess of each text's group from the triples of its first bytes."""
 
@@ -305,8 +371,8 @@ class Reader:
         sizes = np.fromiter(map(len, heads), dtype=np.int64, count=len(heads))
         return (np.add.reduceat(self.votes[Spelling(heads, code=self.code).keys], np.cumsum(sizes) - sizes).argmax(axis=1) + 1).tolist()
 
-    def spellings(self, texts: Iterator[list[bytes]]) -> Iterator[tuple[list[int], Spelling]]:
-        """Texts, given as words, in rows of at most `PIECE` bytes and some at a time, with the number of each row's text."""
+    def spellings(self, texts: Iterator[list[bytes] | bytes]) -> Iterator[tuple[list[int], Spelling]]:
+        """Texts, given as words or as `plain` bytes, in rows of at most `PIECE` bytes and some at a time, with the number of each row's text."""
         def made() -> tuple[list[int], Spelling]:
             nonlocal group
             fresh = iter(self.guesses([raw[:GUESS] for _, raw, lead in held if not lead]))
@@ -319,11 +385,11 @@ class Reader:
 
         held, size, group = [], 0, 0
         for i, text in enumerate(texts):
-            whole = b" ".join([*text, END])
+            whole = text + END if isinstance(text, bytes) else b" ".join([*text, END])
             for at in range(0, len(whole), PIECE):
                 held.append((i, whole[max(0, at - LEAD) : at + PIECE], min(at, LEAD)))
                 size += len(held[-1][1])
-                if size >= PIECE:
+                if size >= STEP:
                     yield made()
                     held, size = [], 0
         if held:
@@ -410,7 +476,7 @@ def teach(texts: DataFrame, shipped) -> tuple[np.ndarray, Mixer]:
     """
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((PREDICTORS, 1 << SLOT_BITS, 2), dtype=np.int32)
-        given = (words(t.as_py(), lower=True) for b in batches for t in b.column(0))
+        given = (plain(t) for b in batches for at in range(0, b.num_rows, ROWS) for t in b.column(0).slice(at, ROWS).to_pylist())
         mixer, seen = learned(shipped.value.spellings(given), tables, lambda some: some[1])
         names = ["k", "c", "at", "n"]
         kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary()
@@ -459,8 +525,8 @@ class Words:
         return F.log10((F.col("train") + 1) / F.lit(float(self.tokens + self.types + 1)))
 
 
-def texts_log10(read: Reader, speller: Speller, texts: list[list[bytes]]) -> np.ndarray:
-    """log10 of the probability of each text, given as words, and its end."""
+def texts_log10(read: Reader, speller: Speller, texts: list[list[bytes] | bytes]) -> np.ndarray:
+    """log10 of the probability of each text, given as `Reader.spellings` takes it, and its end."""
     out = np.zeros(len(texts))
     for number, spelled in read.spellings(iter(texts)):
         np.add.at(out, number, speller.rows_log10(spelled))
@@ -482,6 +548,27 @@ def learn_words(texts: DataFrame) -> Words:
     return Words(counts, tokens, types, read, Speller(*teach(share, spark.sparkContext.broadcast(read))))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """At most `HOT` words, from the most frequent down to some count."""
+    short, level = counts.where(F.octet_length("word") <= HOT_BYTES), F.floor(4 * F.log2("n"))
+    least, taken = math.inf, 0
+    for at, n in sorted(short.groupBy(level).count().collect(), reverse=True):
+        taken += n
+        if taken > HOT:
+            break
+        least = at
+    return short.where(level >= F.lit(least))
+
+
+def tallied(tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, word's number, how often) of every word in every row, and the distinct words."""
+    found = pa.array([w for t in tokens for w in t], pa.binary()).dictionary_encode()
+    width = max(1, len(found.dictionary))
+    row = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
+    pair, c = np.unique(row * width + found.indices.to_numpy(), return_counts=True)
+    return *np.divmod(pair, width), c, found.dictionary
+
+
 def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
     """(doc_id under its own name, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
@@ -500,8 +587,8 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
     and one predictor knows that for the rest. The group of a text itself is not looked at. Texts
     over 65,536 bytes are foretold in pieces that look back 64 bytes at most.
 
-    Words that make up much of the corpus are looked up where they are met, at most 500,000
-    of them; all others are joined, after they were summed up in their text.
+    The most frequent words, at most 200,000, are looked up where they are met;
+    all others are joined, after they were summed up in their text.
 
     Null and empty texts are their end alone. Repeated rows repeat their scores; null
     identifiers are scored like others. Without teaching rows every byte
@@ -511,40 +598,41 @@ def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str
     given = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(teaches, F.lit(False)).alias("teaches"), grp.alias("grp"))
     learnt = learn_words(given.select("text", "teaches", "grp"))
     size = F.when(F.col("word") == F.lit(END), 1).otherwise(F.octet_length("word") + 1)
-    total = learnt.table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     numbers = [(F.col("train") > 0).cast("double"), size.cast("double"), learnt.base()]
     width = len(numbers)
-    frequent = learnt.table.where((F.col("n") * F.lit(HOT) >= F.lit(total)) & (F.octet_length("word") <= HOT_BYTES))
-    collected = frequent.select("word", F.array(*numbers)).collect()
-    hot = docs.sparkSession.sparkContext.broadcast(
-        ({bytes(r[0]): i for i, r in enumerate(collected)}, np.array([r[1] for r in collected]).reshape(-1, width)),
-    )
+    named = [f"s{i}" for i in range(width)]
+    collected = frequent(learnt.table).select("word", *[x.alias(name) for x, name in zip(numbers, named, strict=True)]).toArrow().combine_chunks()
+    looked_up = docs.sparkSession.sparkContext.broadcast((collected.column("word"), [collected.column(name).to_numpy() for name in named]))
     model = docs.sparkSession.sparkContext.broadcast((learnt.reader, learnt.speller))
+    sent = pa.list_(pa.float64())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, table = hot.value
+        held, columns = looked_up.value
+        place = {w: i for i, w in enumerate(held.to_pylist())}
         for b in batches:
             for at in range(0, b.num_rows, ROWS // 4):
                 some = b.slice(at, ROWS // 4)
-                keys, marks, found, n, own = [], [], [], [], []
+                rows = some.num_rows
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 tokens = [words(t, lower=True) for t in texts]
-                scores = texts_log10(*model.value, tokens).tolist()
-                for row, (key_, t, score) in enumerate(zip(some.column(0).to_pylist(), texts, scores, strict=True)):
-                    counts = Counter(tokens[row])
-                    counts[END] += 1
-                    at_ = np.fromiter((place.get(w, -1) for w in counts), dtype=np.int64, count=len(counts))
-                    c = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                    rare = [w for w, i in zip(counts, at_.tolist(), strict=True) if i < 0]
-                    # no word holds a blank, so the row of the sums meets none
-                    found += [*rare, b" %d" % zlib.crc32(b"%d %r" % (row, key_))]
-                    n += [*c[at_ < 0].tolist(), int(c.sum())]
-                    own += [None] * len(rare)
-                    own.append([*(c[at_ >= 0] @ table[at_[at_ >= 0]]).tolist(), score])
-                    keys += [key_] * (len(rare) + 1)
-                    marks += [zlib.crc32(t.encode("utf-8", "surrogatepass"))] * (len(rare) + 1)
-                kinds = some.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, (keys, marks, found, n, own), kinds)), names=["key", "mark", "word", "c", "own"])
+                score = texts_log10(*model.value, [plain(t) for t in texts])
+                row, word, c, met = tallied([[*t, END] for t in tokens])
+                at_ = np.fromiter((place.get(w, -1) for w in met.to_pylist()), dtype=np.int64, count=len(met))[word]
+                hot, rare = at_ >= 0, at_ < 0
+                own = [np.bincount(row[hot], weights=c[hot] * x[at_[hot]], minlength=rows) for x in columns]
+                own = np.stack([*own, score], axis=1)
+                # the rare words of all texts, then a row for each text; no word holds a blank, so the row of the sums meets none
+                of = np.concatenate([row[rare], np.arange(rows)])
+                key_ = some.column(0)
+                whole = pa.array([b" %d" % zlib.crc32(b"%d %r" % (i, k)) for i, k in enumerate(key_.to_pylist())], pa.binary())
+                marks = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    key_.take(pa.array(of)), pa.array(marks[of]), pa.concat_arrays([met.take(pa.array(word[rare])), whole]),
+                    pa.array(np.concatenate([c[rare], np.bincount(row, weights=c, minlength=rows).astype(np.int64)])),
+                    pa.concat_arrays([
+                        pa.nulls(len(of) - rows, sent), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * own.shape[1]), pa.array(own.reshape(-1))),
+                    ]),
+                ], names=["key", "mark", "word", "c", "own"])
 
     kind = given.schema["key"].dataType.simpleString()
     parts = given.select("key", "text").mapInArrow(sums, f"key {kind}, mark long, word binary, c long, own array<double>")

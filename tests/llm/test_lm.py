@@ -119,3 +119,38 @@ def test_codes_hold_every_byte_and_next_bytes_sum_to_nearly_one():
         last = [2 ** speller.bytes_log2(lm.Spelling([prefix + bytes([b])], code=code))[len(prefix)] for b in range(256)]
         # what an escape says of bytes that have a path of their own is never used
         assert 1 - 1e-3 < sum(last) < 1 + 1e-6
+
+
+def test_counters_of_a_byte_lie_together_and_apart_from_one_another():
+    pairs = [(lm.START, 97, 5), (lm.START, 98, 2), *((lm.STOP[0] * 256 + 97, b, 1 + b % 7) for b in range(97, 123))]
+    code = lm.Code(*np.array(pairs).T)
+    spelled = lm.Spelling([b"ab" * 50 + b"\n", b"az" + bytes(range(128, 160)), b"a"], code=code)
+    seen = 0
+    for _, length, _, slots in spelled.parts():
+        byte = np.repeat(np.arange(len(length)), length)
+        own = code.length[spelled.keys[seen : seen + len(length)]] <= 6
+        for slot in slots:
+            # a path of own nodes stays within 64 counters, one cache line of opinions
+            assert len(np.unique(np.stack([byte, slot >> 6])[:, own[byte]], axis=1).T) == own.sum()
+            assert len(np.unique(np.stack([byte, slot]), axis=1).T) == len(slot)
+        seen += len(length)
+    assert seen == len(spelled.keys)
+
+
+def test_frequent_words_are_as_many_as_fit(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", 3)
+    rows = [(b"a", 90), (b"b", 40), (b"c", 10), (b"d", 2), (b"e", 2), (b"f", 1), (b"w" * 300, 500)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    assert sorted(bytes(r.word) for r in lm.frequent(counts).collect()) == [b"a", b"b", b"c"]
+    assert lm.frequent(counts.limit(0)).count() == 0
+
+
+def test_words_are_tallied_and_read_plainly():
+    texts = [None, "", "  ", "The\tthe  É\x0bx ", "a b", "\na", "x y   z"]
+    for t in texts:
+        assert lm.plain(t) + lm.END == b" ".join([*words(t, lower=True), lm.END])
+    tokens = [words(t, lower=True) for t in texts]
+    row, word, c, met = lm.tallied(tokens)
+    got = [(r, w, n) for r, w, n in zip(row.tolist(), met.take(word).to_pylist(), c.tolist(), strict=True)]
+    assert sorted(got) == sorted((i, w, n) for i, t in enumerate(tokens) for w, n in Counter(t).items())
+    assert [len(x) for x in lm.tallied([])] == [0] * 4
