@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ SLOT_BITS = 20
 #: What a counter has before it counts, the step of the online learning, and how finely probabilities are refined.
 PRIOR, RATE, BINS, REACH, FINE = 0.4, 0.02, 24, 8.0, 16
 #: Bytes whose contexts are made and mixed at a time, and up to twice as many; bytes of text that one learning task sees.
-STEP, TASK_BYTES = 8192, 64_000_000
+STEP, TASK_BYTES = 32768, 64_000_000
 #: Texts of more bytes are cut; a piece starts with so many bytes of the piece before it as context.
 PIECE, LEAD = 1 << 16, 64
 #: A text's group is guessed from its first bytes, up to so many; they themselves are foretold without one.
@@ -36,8 +35,8 @@ CHUNK = 1 << 16
 HOT, HOT_BYTES = 200_000, 64
 #: The largest groups of texts are told apart, up to so many.
 GROUPS = 8
-#: Words that a task counts before it sends them.
-REMEMBERED = 300_000
+#: Words, and bytes of them, that a task holds before it counts and sends them.
+REMEMBERED, HELD_BYTES = 2_000_000, 32_000_000
 #: The token that ends every text, and the byte that ends every word: neither stands in a word.
 END, STOP = b"\n", b" "
 LOWER_TO_SPACE = LOWER_BYTES.translate(BLANKS_TO_SPACE)
@@ -396,6 +395,20 @@ class Reader:
             yield made()
 
 
+def tally(found: pa.Array, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(side, word's number, how often) of every word on every side, and the distinct words."""
+    coded = found.dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    pair, n = np.unique(side * width + coded.indices.to_numpy(), return_counts=True)
+    return *np.divmod(pair, width), n, coded.dictionary
+
+
+def tallied(tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, word's number, how often) of every word in every row, and the distinct words."""
+    row = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
+    return tally(pa.array([w for t in tokens for w in t], pa.binary()), row)
+
+
 def count_words(texts: DataFrame, groups: list[str]) -> DataFrame:
     """(word, t0, t1, .., train, n): how often each word, and the end of text, stands in the teaching texts of each group, in all that teach, and in all.
 
@@ -406,21 +419,23 @@ def count_words(texts: DataFrame, groups: list[str]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            found = [w for c in counters for w in c]
-            side = [k for k, c in enumerate(counters) for _ in range(len(c))]
-            n = [v for c in counters for v in c.values()]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(side, pa.int32()), pa.array(n, pa.int64())], names=["word", "side", "c"])
+            side, word, n, met = tally(pa.chunked_array(found, pa.binary()).combine_chunks(), np.concatenate(sides))
+            return pa.RecordBatch.from_arrays([met.take(pa.array(word)), pa.array(side, pa.int32()), pa.array(n)], names=["word", "side", "c"])
 
-        counters = [Counter() for _ in range(untaught + 1)]
+        found, sides, held, size = [], [], 0, 0
         for b in batches:
-            for text, teaches, group in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                own = counters[index.get(group.as_py(), none) if teaches.as_py() else untaught]
-                own.update(words(text.as_py(), lower=True))
-                own[END] += 1
-                if sum(map(len, counters)) > REMEMBERED:
+            for at in range(0, b.num_rows, ROWS // 4):
+                text, teaches, group = (c.to_pylist() for c in b.slice(at, ROWS // 4).columns)
+                tokens = [[*words(t, lower=True), END] for t in text]
+                own = [index.get(g, none) if t else untaught for t, g in zip(teaches, group, strict=True)]
+                sides.append(np.repeat(own, [len(t) for t in tokens]))
+                found.append(pa.array([w for t in tokens for w in t], pa.binary()))
+                held, size = held + len(found[-1]), size + found[-1].nbytes
+                if held > REMEMBERED or size > HELD_BYTES:
                     yield rows()
-                    counters = [Counter() for _ in range(untaught + 1)]
-        yield rows()
+                    found, sides, held, size = [], [], 0, 0
+        if held:
+            yield rows()
 
     sent = texts.mapInArrow(count, "word binary, side int, c long")
     of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("c"))), F.lit(0))
@@ -560,15 +575,6 @@ def frequent(counts: DataFrame) -> DataFrame:
     return short.where(level >= F.lit(least))
 
 
-def tallied(tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(row, word's number, how often) of every word in every row, and the distinct words."""
-    found = pa.array([w for t in tokens for w in t], pa.binary()).dictionary_encode()
-    width = max(1, len(found.dictionary))
-    row = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
-    pair, c = np.unique(row * width + found.indices.to_numpy(), return_counts=True)
-    return *np.divmod(pair, width), c, found.dictionary
-
-
 def score_texts(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
     """(doc_id under its own name, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
