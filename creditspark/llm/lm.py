@@ -60,18 +60,21 @@ class Code:
 
     def __init__(self, pairs: np.ndarray | None = None, after: np.ndarray | None = None, n: np.ndarray | None = None):
         plain = [[(256 | 1 << k | byte >> (8 - k), byte >> (7 - k) & 1) for k in range(8)] for byte in range(256)]
-        paths = list(plain)
+        lengths, steps = [], []
+
+        def keep(paths: list[list[tuple[int, int]]]) -> None:
+            # a step of a path: its node, nine bits; its place in the path, three; the bit. Packed at once: the lists are large
+            lengths.append([len(p) for p in paths])
+            steps.append(np.array([node << 4 | min(depth, 7) << 1 | bit for p in paths for depth, (node, bit) in enumerate(p)], dtype=np.int16))
+
+        keep(plain)
         self.tree = np.zeros(1 << 16, dtype=np.int64)
         for pair in [] if pairs is None else np.unique(pairs).tolist():
-            self.tree[pair] = len(paths)
+            self.tree[pair] = 256 * len(lengths)
             own = self.huffman(dict(zip(after[pairs == pair].tolist(), n[pairs == pair].tolist(), strict=True)))
-            paths += [own[byte] if byte in own else own[256] + plain[byte] for byte in range(256)]
-        self.length = np.array([len(p) for p in paths])
+            keep([own[byte] if byte in own else own[256] + plain[byte] for byte in range(256)])
+        self.length, self.steps = np.array(lengths).reshape(-1), np.concatenate(steps)
         self.start = np.cumsum(self.length) - self.length
-        node, bits = np.array([x for p in paths for x in p], dtype=np.int16).T
-        depth = np.minimum(np.arange(len(node)) - np.repeat(self.start, self.length), 7).astype(np.int16)
-        # a step of a path: its node, nine bits; its place in the path, three; the bit
-        self.steps = node << 4 | depth << 1 | bits
 
     @staticmethod
     def huffman(counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
